@@ -227,7 +227,7 @@ def rate_flat(df):
 
 
 def rates(c: Corpus, regional: bool, p=None):
-    return rr.reporting_rate(c.records, c.taxa, c.tiers, c.effort, p or c.p, regional)
+    return rr.reporting_rate(c.visits, c.taxa, c.effort, p or c.p, regional)
 
 
 for _scope, _reg in (("national", False), ("regional", True)):
@@ -240,11 +240,11 @@ query("u1_rate_union_scopes", S.using("select region, count(*) as n, count(flag)
 )
 
 query("j7_consistent_sources", S.using("select taxon_concept_id, region, count(*) as consistent from both_reg group by all", S.tiers(), S.rate(P, True)))(
-    lambda c: rr.consistent_sources(rr.source_windows(rr.visits(c.records, c.tiers, c.p, True))).groupBy("taxon_concept_id", "region").agg(F.count("*").alias("consistent"))
+    lambda c: rr.consistent_sources(rr.source_windows(rr.in_scope(c.visits, True))).groupBy("taxon_concept_id", "region").agg(F.count("*").alias("consistent"))
 )
 
 query("j14_j15_a7_footprint_effort", S.using("select taxon_concept_id, region, eb, er, vb, vr, nb, nr, cells, db, dr from counts_reg join foot_reg using (taxon_concept_id, region) where nb >= 20 and nr >= 20", S.tiers(), S.rate(P, True)))(
-    lambda c: rr.counts(c.records, c.taxa, c.tiers, c.effort, c.p, True).select("taxon_concept_id", "region", "eb", "er", "vb", "vr", "nb", "nr", "cells", "db", "dr")
+    lambda c: rr.counts(c.visits, c.taxa, c.effort, c.p, True).select("taxon_concept_id", "region", "eb", "er", "vb", "vr", "nb", "nr", "cells", "db", "dr")
 )
 
 query("a2_a3_composite_distinct", S.using("select taxon_concept_id, count(distinct data_resource_uid) as datasets, count(distinct (cell_lat, cell_lon)) as cells, count(distinct (cell_lat, cell_lon, date_trunc('month', event_day))) as cell_months from rec group by all"))(
@@ -278,10 +278,12 @@ def co_flat(df):
     )
 
 
-for _name, _p in (("i4_co_movement", P), ("i4_co_movement_low_minima", SMALL)):
-    query(_name, S.using(f"select {dates_sql()} from co", S.tiers(), S.rate(_p, True), S.co_movement(_p)))(
-        lambda c, _p=_p: co_flat(cm.co_movement(rates(c, True, _p), c.taxa, _p))
-    )
+query("i4_co_movement", S.using(f"select {dates_sql()} from co", S.tiers(), S.rate(P, True), S.co_movement(P)))(
+    lambda c: co_flat(cm.co_movement(c.regional_rates, c.taxa, c.p))
+)
+query("i4_co_movement_low_minima", S.using(f"select {dates_sql()} from co", S.tiers(), S.rate(SMALL, True), S.co_movement(SMALL)))(
+    lambda c: co_flat(cm.co_movement(rates(c, True, SMALL), c.taxa, SMALL))
+)
 
 BH_IN = "select ibra_region as way, taxon_concept_id, count(*) / sum(count(*)) over (partition by ibra_region) * 60 as p from rec group by ibra_region, taxon_concept_id"
 
@@ -412,7 +414,7 @@ P29 = """select summary from silent_nat union all select summary from silent_reg
 
 @query("p29_summary_sentences", S.using(P29, S.tiers(), S.silent(), S.rate(P, True), S.co_movement(P), S.notable()))
 def _(c: Corpus):
-    reg = rates(c, True)
+    reg = c.regional_rates
     parts = [
         si.national(c.records, c.taxa, c.p), si.regional(c.records, c.taxa, c.p), reg, cm.co_movement(reg, c.taxa, c.p),
         nt.notable_records(c.occurrences, c.records, c.datasets, c.taxa, c.tiers, c.p),

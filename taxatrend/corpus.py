@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from taxatrend.operators.curation import analysable, derived_columns, taxon_tiers
 from taxatrend.operators.effort import build_effort
+from taxatrend.operators.reporting_rate import reporting_rate, visits
 from taxatrend.params import Params, Window
 from taxatrend.workspace import Workspace
 
@@ -149,7 +150,18 @@ class Corpus:
 
     def __init__(self, ws: Workspace, sf_dir: str, params: Params = PARAMS):
         self.ws, self.spark, self.sf_dir, self.p = ws, ws.spark, sf_dir, params
-        self.taxa, self.datasets, self.rules = (f(ws.spark, sf_dir) for f in (taxa, datasets, rules))
+
+    @property
+    def taxa(self) -> DataFrame:
+        return self.ws.table("taxa", lambda: taxa(self.spark, self.sf_dir))
+
+    @property
+    def datasets(self) -> DataFrame:
+        return self.ws.table("datasets", lambda: datasets(self.spark, self.sf_dir))
+
+    @property
+    def rules(self) -> DataFrame:
+        return self.ws.table("rules", lambda: rules(self.spark, self.sf_dir))
 
     @property
     def occurrences(self) -> DataFrame:
@@ -172,4 +184,12 @@ class Corpus:
 
     @property
     def tiers(self) -> DataFrame:
-        return taxon_tiers(self.records, self.taxa, self.p)
+        return self.ws.table("tiers", lambda: taxon_tiers(self.records, self.taxa, self.p))
+
+    @property
+    def visits(self) -> DataFrame:
+        return self.ws.table("visits", lambda: visits(self.records, self.tiers, self.p))
+
+    @property
+    def regional_rates(self) -> DataFrame:
+        return self.ws.table("regional_rates", lambda: reporting_rate(self.visits, self.taxa, self.effort, self.p, True))

@@ -39,17 +39,21 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = configure(spark)
         self.root = root or f"{shared_root(spark)}/taxatrend-{uuid.uuid4().hex[:12]}"
-        self._written: set[str] = set()
+        self._tables: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, name: str, build, partition_by: str | None = None) -> DataFrame:
-        """Read a table of this workspace, writing it from ``build()`` on first use."""
-        if name not in self._written:
+        """A table of this workspace, written from ``build()`` on first use.
+
+        Being files, tables have known sizes: the optimizer broadcasts a dimension while it is small and
+        stops doing so by itself when it is not.
+        """
+        if name not in self._tables:
             write(build(), self.path(name), partition_by)
-            self._written.add(name)
-        return self.spark.read.parquet(self.path(name))
+            self._tables[name] = self.spark.read.parquet(self.path(name))
+        return self._tables[name]
 
 
 def write(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
