@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["insights"]
+MODULES = ["insights", "ingest"]
 
 
 def all_checks():

@@ -10,9 +10,13 @@ from taxatrend.functions.numeric import round_int
 BANDS = ["absent", "trivial", "short", "substantive"]
 
 
+# Fixed value: the characters trimmed from both ends of a value (blank, control, Unicode space and byte-order mark).
+SPACE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_space(s: Column) -> Column:
     """Trim every kind of leading and trailing white space, not only blanks."""
-    return F.regexp_replace(s, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    return F.btrim(s, F.lit(SPACE))
 
 
 def text_band(value: Column) -> Column:

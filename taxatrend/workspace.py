@@ -40,6 +40,8 @@ class Workspace:
         self.spark = configure(spark)
         self.root = root or f"{shared_root(spark)}/taxatrend-{uuid.uuid4().hex[:12]}"
         self._tables: dict[str, DataFrame] = {}
+        #: Names of other outputs already written under this workspace.
+        self.marks: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
