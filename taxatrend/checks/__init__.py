@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["insights", "ingest"]
+MODULES = ["insights", "ingest", "store"]
 
 
 def all_checks():
