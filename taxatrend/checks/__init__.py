@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["insights", "ingest", "store"]
+MODULES = ["insights", "ingest", "store", "report", "score"]
 
 
 def all_checks():

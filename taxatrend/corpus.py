@@ -15,12 +15,14 @@ from taxatrend.operators.curation import analysable, derived_columns, taxon_tier
 from taxatrend.operators.effort import build_effort
 from taxatrend.operators.reporting_rate import reporting_rate, visits
 from taxatrend.params import Params, Window
+from taxatrend.plans.calculated import calculated_run
 from taxatrend.workspace import Workspace
 
 CLASSES = ["Aves", "Mammalia", "Reptilia", "Amphibia", "Insecta", "Magnoliopsida"]
 STATUSES = ["Vulnerable", "Endangered", "Critically Endangered"]
 TAXA = 120
 HARVEST = "benchmark/run-1"
+RUN_ID = "calc-1"
 
 PARAMS = Params(
     report_month="2001-06",
@@ -193,3 +195,15 @@ class Corpus:
     @property
     def regional_rates(self) -> DataFrame:
         return self.ws.table("regional_rates", lambda: reporting_rate(self.visits, self.taxa, self.effort, self.p, True))
+
+    @property
+    def insights(self) -> DataFrame:
+        """The packed insights of one calculated run."""
+        return self.ws.table(
+            "insights",
+            lambda: calculated_run(
+                self.occurrences, self.records, self.datasets, self.taxa, self.tiers, self.effort, self.visits,
+                self.regional_rates, self.p, RUN_ID,
+            ),
+            partition_by="insight_type",
+        )
