@@ -39,7 +39,7 @@ pairs as (
   from ai a left join calc c on c.insight_type = a.insight_type and c.taxon_concept_id is not distinct from a.taxon_concept_id and c.region is not distinct from a.region
     and ((a.insight_type = 'silent_species' and a.region is null) or (c.period_start = a.period_start and c.period_end = a.period_end))
 ),
-near as (
+matched_pairs as (
   select *, cid is not null as matched, case when cid is null then null else list_transform(case insight_type
     when 'silent_species' then [kind is not distinct from ckind or coalesce(kind = 'evidence_gap' and cgap, false), coalesce(abs(records_since_2015 - csince) <= 0.0015, false), coalesce(last_record_date = clast, false)]
     when 'range_change' then [flag is not distinct from cflag, aoo_10km_b = cab, aoo_10km_r = car, coalesce(abs(aoo_10km_change - cch) <= greatest(0.0015, 0.02 * abs(cch)), false), coalesce(crb, 0) > 2, records_b = crb, abs(records_r - crr) <= 0.0015]
@@ -105,18 +105,18 @@ def _ai(c: Corpus):
     return out.unionByName(heads)
 
 
-@query("j22_match_by_key", using("select insight_id, matched, cid as calculated_insight_id from near"))
+@query("j22_match_by_key", using("select insight_id, matched, cid as calculated_insight_id from matched_pairs"))
 def _(c: Corpus):
     return sc.reproduction(ai(c), ins(c)).select("insight_id", "matched", "calculated_insight_id")
 
 
-@query("e1_figure_checks", using("select insight_type, len(checks) as checks, len(list_filter(checks, lambda x: x)) as agreed, count(*) as n from near where matched group by all"))
+@query("e1_figure_checks", using("select insight_type, len(checks) as checks, len(list_filter(checks, lambda x: x)) as agreed, count(*) as n from matched_pairs where matched group by all"))
 def _(c: Corpus):
     r = sc.reproduction(ai(c), ins(c)).filter("matched")
     return r.groupBy("insight_type", F.size("checks").alias("checks"), F.size(F.filter("checks", lambda x: x["agrees"])).alias("agreed")).agg(F.count("*").alias("n"))
 
 
-TOTALS = "select count(*) filter (matched) as matched, count(*) filter (not matched) as unmatched, cast(sum(len(list_filter(checks, lambda x: x))) as bigint) as agreed, cast(sum(len(checks)) as bigint) as checked from near"
+TOTALS = "select count(*) filter (matched) as matched, count(*) filter (not matched) as unmatched, cast(sum(len(list_filter(checks, lambda x: x))) as bigint) as agreed, cast(sum(len(checks)) as bigint) as checked from matched_pairs"
 
 
 @query("a31_reproduction_totals", using(f"select *, {S.fx('agreed / checked', 3)} as figure_agreement from ({TOTALS})"))
@@ -306,7 +306,7 @@ def _(c: Corpus):
     return e.select("event_id", F.array_join(sc.record_issues(False), ",").alias("issues"))
 
 
-@query("j25_reference_checks", S.using("""select event_id as insight_id, issue, value from (select *, unnest([
+@query("j25_reference_checks", S.using("""select event_id as insight_id, issue, value from (select event_id, unnest([
     struct_pack(issue := case when event_id % 150 >= 120 then 'unknown_taxon' end, value := 'T' || event_id % 150), struct_pack(issue := case when event_id % 130 >= 120 then 'unknown_related_taxon' end, value := 'T' || event_id % 130),
     struct_pack(issue := case when event_id % 6 = 5 then 'unknown_region' end, value := 'NOWHERE'), struct_pack(issue := case when event_id % 10 = 0 then 'no_query' end, value := null),
     struct_pack(issue := case when event_id % 10 = 1 then 'foreign_query' end, value := cast(-1 as varchar)), struct_pack(issue := case when event_id % 10 > 1 and event_type = 'error' then 'failed_query' end, value := cast(event_id as varchar))], recursive := true) from events) where issue is not null"""))
