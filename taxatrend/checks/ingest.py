@@ -197,15 +197,16 @@ def _(c: Corpus):
 
 
 @query("p2_mapping_trace", using("""select status, note, count(*) as n from (
-  select case when k = 11 and ln = 4 and ok % 2 = 1 then 'empty_in_source' when k = 11 and ln = 4 then 'mapped' when l_partkey % 7 = 0 then 'derived' else 'mapped' end as status, cast(null as varchar) as note from kept
-  union all select case when l_partkey % 9 = 0 then 'derived' when l_partkey % 9 = 1 then 'empty_in_source' else 'absent_from_source' end, null from kept
-  union all select case when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end, case when ln = 3 and ok % 25 = 0 then 'source value present but could not be interpreted' end from kept
-  union all select case when ln = 6 and ok % 10 = 1 then 'rejected' when ln = 7 then 'absent_from_source' else 'derived' end, 'epoch milliseconds or ISO text, kept as a UTC instant' from kept
-  union all select case when ln = 1 or ln = 2 then case ln when 1 then 'derived' else 'mapped' end when ln = 3 then 'rejected' else 'absent_from_source' end, case when ln = 3 then 'source value present but could not be interpreted' end from kept
-  union all select case when ln = 4 and ok % 30 = 2 then 'mapped' else 'derived' end, null from kept) group by all"""))
+  select case when k = 11 and ln = 4 and ok % 2 = 1 then 'empty_in_source' when k = 11 and ln = 4 then 'mapped' when l_partkey % 7 = 0 then 'derived' else 'mapped' end as status, cast(null as varchar) as note from delivered
+  union all select case when l_partkey % 9 = 0 then 'derived' when l_partkey % 9 = 1 then 'empty_in_source' else 'absent_from_source' end, null from delivered
+  union all select case when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end, case when ln = 3 and ok % 25 = 0 then 'source value present but could not be interpreted' end from delivered
+  union all select case when ln = 6 and ok % 10 = 1 then 'rejected' when ln = 7 then 'absent_from_source' else 'derived' end, 'epoch milliseconds or ISO text, kept as a UTC instant' from delivered
+  union all select case when ln = 1 or ln = 2 then case ln when 1 then 'derived' else 'mapped' end when ln = 3 then 'rejected' else 'absent_from_source' end, case when ln = 3 then 'source value present but could not be interpreted' end from delivered
+  union all select case when ln = 4 and ok % 30 = 2 then 'mapped' else 'derived' end, null from delivered) group by all"""))
 def _(c: Corpus):
     chosen = ["scientificName", "vernacularName", "decimalLatitude", "eventDate", "sourceAssertions", "individualCount"]
-    return kept(c).select(F.explode("trace").alias("t")).filter(F.col("t.canonical_field").isin(chosen)).groupBy("t.status", "t.note").agg(F.count("*").alias("n"))
+    lines = mp.adapt(rows(c), dv.SALT, dv.AS_OF, full_trace=True).select(F.explode(F.filter("trace", lambda t: t["canonical_field"].isin(chosen))).alias("t"))
+    return lines.groupBy("t.status", "t.note").agg(F.count("*").alias("n"))
 
 
 @query("p1_flatten_nested", using("select 'month' || case ln % 3 when 2 then '' else ',raw_occurrenceRemarks' end || case when k = 11 and ln = 4 and ok % 2 = 0 then ',scientificName' else '' end as lifted, count(*) as n from kept group by all"))

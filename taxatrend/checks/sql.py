@@ -387,9 +387,9 @@ cur as (
 ),
 prior as (select distinct taxon_concept_id, lon, lat from occ where is_valid and event_day < date '{w.start}' and data_resource_uid <> 'd0'),
 near as (
-  select record_id, arg_min({geodesic_sql('cur.lon', 'cur.lat', 'p.lon', 'p.lat')},
-                            pow(p.lon - cur.lon, 2) + pow(p.lat - cur.lat, 2)) as km
-  from cur join prior p on p.taxon_concept_id = cur.taxon_concept_id group by record_id
+  select record_id, {geodesic_sql('lon', 'lat', 'p.plon', 'p.plat')} as km from (
+    select record_id, cur.lon, cur.lat, arg_min({{'plon': p.lon, 'plat': p.lat}}, {{'d': (p.lon - cur.lon) * (p.lon - cur.lon) + (p.lat - cur.lat) * (p.lat - cur.lat), 'x': p.lon, 'y': p.lat}}) as p
+    from cur join prior p on p.taxon_concept_id = cur.taxon_concept_id group by record_id, cur.lon, cur.lat)
 ),
 seen as (select distinct taxon_concept_id, ibra_region from occ where is_valid and event_day < date '{w.start}'),
 season as (

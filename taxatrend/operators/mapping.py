@@ -109,13 +109,16 @@ def map_field(f: sc.Field, c: Column, salt: str) -> Column:
     return F.struct(F.when(populated, value).alias("value"), F.coalesce(unchanged, F.lit(False)).alias("unchanged"))
 
 
-def trace_line(f: sc.Field, c: Column, m: Column) -> Column:
-    """What happened to one field on its way."""
-    value = m["value"]
-    status = (
-        F.when(c["present"].isNull(), "absent_from_source").when(c["used"].isNull(), "empty_in_source").when(value.isNull(), "rejected")
+def field_status(c: Column, m: Column) -> Column:
+    return (
+        F.when(c["present"].isNull(), "absent_from_source").when(c["used"].isNull(), "empty_in_source").when(m["value"].isNull(), "rejected")
         .when(m["unchanged"], "mapped").otherwise("derived")
     )
+
+
+def trace_line(f: sc.Field, c: Column, m: Column) -> Column:
+    """What happened to one field on its way."""
+    value, status = m["value"], field_status(c, m)
     if f.note:
         note = F.lit(f.note)
     else:
@@ -161,10 +164,12 @@ def unmapped_fields(flat: Column) -> Column:
     return F.transform(names, lambda k: F.struct(k.alias("field"), F.try_element_at(flat, k)["json"].alias("value")))
 
 
-def adapt(rows: DataFrame, salt: str, as_of: str) -> DataFrame:
-    """``rows``: page, pos, raw, harvest_id, fetched_at -> canonical columns plus the mapping trace.
+def adapt(rows: DataFrame, salt: str, as_of: str, full_trace: bool = False) -> DataFrame:
+    """``rows``: page, pos, raw, harvest_id, fetched_at -> canonical columns plus what the analyses need of the trace.
 
-    ``as_of``: the instant that dates are judged future against. Write the result to a table before filtering
+    ``statuses`` holds the status of every mapped field in declaration order, which is what field coverage reads.
+    The full trace, several times the size of the record, is added on request: mapping is deterministic, so the
+    trace of any record is had again from its page. ``as_of``: the instant that dates are judged future against. Write the result to a table before filtering
     it: a filter on a computed column would be pushed below the mapping and repeat it.
     """
     step = flatten_rows(rows, ["page", "pos", "harvest_id", "fetched_at"])
@@ -181,7 +186,8 @@ def adapt(rows: DataFrame, salt: str, as_of: str) -> DataFrame:
         F.lit(sc.SOURCE).alias("source"),
         *[v.alias(c) for c, v in values.items()],
         "harvest_id", F.col("page").alias("snapshot_page"), "fetched_at", F.col("pos").alias("page_pos"),
-        F.array(*[trace_line(f, F.col(c[f.path]), F.col(m[f.path])) for f in sc.MAPPED]).alias("trace"),
+        F.array(*[field_status(F.col(c[f.path]), F.col(m[f.path])) for f in sc.MAPPED]).alias("statuses"),
+        *([F.array(*[trace_line(f, F.col(c[f.path]), F.col(m[f.path])) for f in sc.MAPPED]).alias("trace")] if full_trace else []),
         excluded_fields(F.col("flat")).alias("excluded_fields"),
         unmapped_fields(F.col("flat")).alias("unmapped_fields"),
         F.col("lifted").alias("lifted_fields"),

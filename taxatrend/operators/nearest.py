@@ -18,7 +18,7 @@ from taxatrend.functions.geo import geodesic_km
 #: Cell sizes in degrees, coarse to fine; each is 16 of the next.
 LEVELS = [16.0 / 16**i for i in range(6)]
 #: A leaf cell may hold this many distinct points before the next finer level is used.
-LEAF_POINTS = 2048
+LEAF_POINTS = 512
 
 
 def _cells(size: float) -> list[Column]:
@@ -52,20 +52,23 @@ def leaf_level(points: DataFrame, key: str, levels: list[float] = LEVELS, leaf_p
 
 
 def _summaries(points: DataFrame, key: str, leaf: int, levels: list[float]) -> list[DataFrame]:
-    """Per level 0..leaf: cell, bounding box, one actual point, and the parent cell."""
+    """Tables to descend by. The first holds a key's coarsest cells, the others a cell's occupied children:
+    for each child its grid position, bounding box and one actual point. A cell has at most 256 children."""
     lon, lat = F.col("lon"), F.col("lat")
-    box = [F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.min(lat).alias("y0"), F.max(lat).alias("y1")]
     rep = F.min(F.struct("lon", "lat")).alias("rep")
-    cur = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[leaf]), _names(leaf))]).agg(*box, rep)
-    out = [cur]
-    for lv in range(leaf, 0, -1):
-        cur = cur.groupBy(
-            key, *[F.floor(F.col(a) / 16).alias(b) for a, b in zip(_names(lv), _names(lv - 1))]
-        ).agg(
-            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-            F.min("rep").alias("rep"),
+    cur = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[leaf]), _names(leaf))]).agg(
+        F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), rep
+    )
+    out = []
+    for lv in range(leaf, -1, -1):
+        cx, cy = _names(lv)
+        child = F.struct(F.col(cx).alias("cx"), F.col(cy).alias("cy"), "x0", "x1", "y0", "y1", "rep")
+        up = [F.floor(F.col(a) / 16).alias(b) for a, b in zip((cx, cy), _names(lv - 1))] if lv else []
+        cur = cur.groupBy(key, *up).agg(
+            F.collect_list(child).alias("children"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"),
+            F.max("y1").alias("y1"), F.min("rep").alias("rep"),
         )
-        out.insert(0, cur)
+        out.insert(0, cur.select(key, *(_names(lv - 1) if lv else []), "children"))
     return out
 
 
@@ -73,46 +76,46 @@ def _square(dx: Column, dy: Column) -> Column:
     return dx * dx + dy * dy
 
 
-def _lower() -> Column:
-    dx = F.greatest(F.col("x0") - F.col("qlon"), F.col("qlon") - F.col("x1"), F.lit(0.0))
-    dy = F.greatest(F.col("y0") - F.col("qlat"), F.col("qlat") - F.col("y1"), F.lit(0.0))
-    return _square(dx, dy)
+def _bounds(c: Column) -> Column:
+    """Grid position of a cell, and how near its points can be (``lb``) and one of them surely is (``ub``)."""
+    qlon, qlat, none = F.col("qlon"), F.col("qlat"), F.lit(0.0)
+    lower = _square(F.greatest(c["x0"] - qlon, qlon - c["x1"], none), F.greatest(c["y0"] - qlat, qlat - c["y1"], none))
+    upper = _square(c["rep"]["lon"] - qlon, c["rep"]["lat"] - qlat)
+    return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), lower.alias("lb"), upper.alias("ub"))
 
 
-def _upper() -> Column:
-    return _square(F.col("rep.lon") - F.col("qlon"), F.col("rep.lat") - F.col("qlat"))
+def _prune(cells: Column) -> Column:
+    """Cells that may hold the nearest point, given all cells in the array."""
+    best = F.array_min(F.transform(cells, lambda c: c["ub"]))
+    # The bound is bound once as an array of one, not worked out again for every cell.
+    return F.flatten(F.transform(F.array(best), lambda b: F.filter(cells, lambda c: c["lb"] <= b)))
 
 
 def nearest_earlier(
     queries: DataFrame, points: DataFrame, key: str, leaf: int | None = None, levels: list[float] = LEVELS
 ) -> DataFrame:
     """``queries`` and ``points``: key, lon, lat. Returns each distinct query (key, lon, lat) that has a point
-    with ``nearest_km``: the point nearest in planar degrees, measured on the ellipsoid. Among points equally
-    near in degrees the least distance is reported."""
+    with ``nearest_km``: the point nearest in planar degrees, measured on the ellipsoid. Of points equally near
+    in degrees the one first by longitude, then latitude, is measured."""
     q = queries.select(key, F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).distinct()
     pts = points.join(q.select(key).distinct(), key, "left_semi").select(key, "lon", "lat").distinct()
     if leaf is None:
         leaf = leaf_level(pts, key, levels)
     qkey = [key, "qlon", "qlat"]
-    frontier: DataFrame | None = None
-    for lv, cells in enumerate(_summaries(pts, key, leaf, levels)):
-        names = _names(lv)
-        if frontier is None:
-            # At most a few hundred of the coarsest cells cover the globe, so a key has few of them.
-            opened = q.join(cells, key)
-        else:
-            parents = cells.withColumns({b: F.floor(F.col(a) / 16) for a, b in zip(names, _names(lv - 1))})
-            opened = frontier.join(parents, [key, *_names(lv - 1)])
-        bounded = opened.select(*qkey, *names, _lower().alias("lb"), _upper().alias("ub"))
-        best = bounded.groupBy(*qkey).agg(F.min("ub").alias("best"))
-        frontier = bounded.join(best, qkey).filter(F.col("lb") <= F.col("best")).select(*qkey, *names)
+    frontier = q
+    for lv, table in enumerate(_summaries(pts, key, leaf, levels)):
+        opened = frontier.join(table, [key, *(_names(lv - 1) if lv else [])])
+        local = opened.select(*qkey, F.transform("children", _bounds).alias("cells")).select(*qkey, _prune(F.col("cells")).alias("cells"))
+        if lv:
+            local = local.groupBy(*qkey).agg(F.flatten(F.collect_list("cells")).alias("cells")).select(*qkey, _prune(F.col("cells")).alias("cells"))
+        frontier = local.select(*qkey, F.explode("cells").alias("c")).select(
+            *qkey, *[F.col(f"c.{a}").alias(b) for a, b in zip(("cx", "cy"), _names(lv))]
+        )
     leaves = pts.withColumns({n: c for n, c in zip(_names(leaf), _cells(levels[leaf]))})
-    pairs = frontier.join(leaves, [key, *_names(leaf)]).select(
-        *qkey,
-        _square(F.col("lon") - F.col("qlon"), F.col("lat") - F.col("qlat")).alias("d2"),
-        geodesic_km(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat")).alias("km"),
+    near = frontier.join(leaves, [key, *_names(leaf)]).groupBy(*qkey).agg(
+        F.min(F.struct(_square(F.col("lon") - F.col("qlon"), F.col("lat") - F.col("qlat")).alias("d2"), "lon", "lat")).alias("p")
     )
-    return pairs.groupBy(*qkey).agg(F.min(F.struct("d2", "km"))["km"].alias("nearest_km")).select(
-        key, F.col("qlon").alias("lon"), F.col("qlat").alias("lat"), "nearest_km"
+    return near.select(
+        key, F.col("qlon").alias("lon"), F.col("qlat").alias("lat"),
+        geodesic_km(F.col("qlon"), F.col("qlat"), F.col("p.lon"), F.col("p.lat")).alias("nearest_km"),
     )
-
