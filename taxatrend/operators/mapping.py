@@ -15,44 +15,47 @@ from taxatrend.operators.validate import issues, is_valid
 REJECTED_NOTE = "source value present but could not be interpreted"
 
 
-def _scalar_text(v: Column) -> Column:
-    """Text of a scalar variant, whole numbers without a decimal point."""
-    return F.regexp_replace(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)), r"^(-?\d+)\.0$", "$1")
+# First character of a JSON value -> kind; anything else is a number.
+KINDS = {'"': "string", "[": "array", "{": "object", "t": "boolean", "f": "boolean", "n": "null"}
+
+
+def _plain(json: Column) -> Column:
+    """JSON text of a scalar other than a string, whole numbers without a decimal point."""
+    return F.when(json.endswith(".0"), F.left(json, F.length(json) - 2)).otherwise(json)
+
+
+def _item_text(v: Column) -> Column:
+    json = F.to_json(v)
+    return F.when(json.startswith('"'), F.try_variant_get(v, "$", "string")).otherwise(_plain(json))
 
 
 def cells(raw: Column) -> Column:
     """What the mapping needs of each raw value, worked out once per value.
 
     kind; ``raw``: text of a scalar; ``items``: texts of an array; ``text``: trimmed text, array parts joined by
-    '; '; ``empty``; ``json``. The passes are separate so that each one reads the results of the one before it.
+    '; '; ``empty``; ``json``. The passes are separate so that each one reads the results of the one before it, and
+    the costlier expressions stand behind the kind they are for.
     """
-    typed = F.transform_values(
-        raw,
-        lambda k, v: F.struct(
-            F.schema_of_variant(v).alias("type"), F.to_json(v).alias("json"), _scalar_text(v).alias("scalar"),
-            F.transform(F.try_variant_get(v, "$", "array<variant>"), _scalar_text).alias("items"),
-        ),
-    )
-    trimmed = F.transform_values(
-        typed,
-        lambda k, t: F.struct(
-            t["type"].alias("type"), t["json"].alias("json"), t["items"].alias("items"),
-            F.when(t["items"].isNull() & (t["type"] != "VOID"), t["scalar"]).alias("raw"),
-            F.nullif(F.trim(F.when(t["items"].isNull(), trim_space(t["scalar"]))), F.lit("")).alias("one"),
-            F.filter(F.transform(t["items"], trim_space), lambda x: x.isNotNull() & (x != "")).alias("parts"),
-        ),
-    )
-
-    def final(k: Column, t: Column) -> Column:
-        kind = (
-            F.when(t["items"].isNotNull(), "array").when(t["type"] == "STRING", "string").when(t["type"] == "BOOLEAN", "boolean")
-            .when(t["type"] == "VOID", "null").when(t["type"].startswith("OBJECT"), "object").otherwise("number")
+    first = F.transform_values(raw, lambda k, v: F.struct(F.to_json(v).alias("json"), v.alias("v")))
+
+    def read(k: Column, t: Column) -> Column:
+        json, head = t["json"], F.left(t["json"], F.lit(1))
+        kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+        return F.struct(
+            json.alias("json"), F.coalesce(F.try_element_at(kinds, head), F.lit("number")).alias("kind"),
+            F.when(head == '"', F.try_variant_get(t["v"], "$", "string")).when(~head.isin("[", "n"), _plain(json)).alias("raw"),
+            F.when(head == "[", F.transform(F.try_variant_get(t["v"], "$", "array<variant>"), _item_text)).alias("items"),
         )
-        text = F.when(t["items"].isNull(), F.when(t["type"] != "VOID", t["one"])).when(F.size(t["parts"]) > 0, F.array_join(t["parts"], "; "))
-        empty = F.when(t["items"].isNull(), t["one"].isNull() | (t["type"] == "VOID")).otherwise(F.size(t["parts"]) == 0)
-        return F.struct(kind.alias("kind"), t["raw"].alias("raw"), t["items"].alias("items"), text.alias("text"), empty.alias("empty"), t["json"].alias("json"))
 
-    return F.transform_values(trimmed, final)
+    def finish(k: Column, t: Column) -> Column:
+        parts = F.filter(F.transform(t["items"], trim_space), lambda x: x != "")
+        text = F.nullif(F.when(t["kind"] == "array", F.array_join(parts, "; ")).otherwise(trim_space(t["raw"])), F.lit(""))
+        return F.struct(t["kind"].alias("kind"), t["raw"].alias("raw"), t["items"].alias("items"), text.alias("text"), t["json"].alias("json"))
+
+    texts = F.transform_values(F.transform_values(first, read), finish)
+    return F.transform_values(
+        texts, lambda k, t: F.struct(t["kind"].alias("kind"), t["raw"].alias("raw"), t["items"].alias("items"), t["text"].alias("text"), t["text"].isNull().alias("empty"), t["json"].alias("json"))
+    )
 
 
 def flatten_rows(rows: DataFrame, keep: list[str], nested: str = "otherProperties") -> DataFrame:

@@ -8,8 +8,6 @@ rows is spread over its cells, and a query meets a handful of cells per level.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +34,15 @@ def leaf_level(points: DataFrame, key: str, levels: list[float] = LEVELS, leaf_p
     level simply use it: the search stays exact, its leaves are larger.
     """
     finest = len(levels) - 1
-    counts = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[finest]), _names(finest))]).agg(
-        F.count("*").alias("n")
-    )
-    maxima = []
-    for lv in range(finest, -1, -1):
-        maxima.append(counts.agg(F.lit(lv).alias("level"), F.max("n").alias("most")))
-        if lv:
-            # 16 finer cells fall in one coarser cell along each axis.
-            counts = counts.groupBy(
-                key, *[F.floor(F.col(a) / 16).alias(b) for a, b in zip(_names(lv), _names(lv - 1))]
-            ).agg(F.sum("n").alias("n"))
-    fits = reduce(DataFrame.unionByName, maxima).filter(F.col("most") <= leaf_points).agg(F.min("level")).first()[0]
-    return finest if fits is None else int(fits)
+    cur = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[finest]), _names(finest))]).agg(F.count("*").alias("n"))
+    cur = cur.withColumn(f"most{finest}", F.col("n"))
+    for lv in range(finest, 0, -1):
+        # 16 finer cells fall in one coarser cell along each axis; the maxima so far are carried along.
+        cur = cur.groupBy(key, *[F.floor(F.col(a) / 16).alias(b) for a, b in zip(_names(lv), _names(lv - 1))]).agg(
+            F.sum("n").alias("n"), *[F.max(f"most{x}").alias(f"most{x}") for x in range(lv, finest + 1)]
+        ).withColumn(f"most{lv - 1}", F.col("n"))
+    most = cur.agg(*[F.max(f"most{x}").alias(f"most{x}") for x in range(finest + 1)]).first()
+    return next((lv for lv in range(finest + 1) if (most[f"most{lv}"] or 0) <= leaf_points), finest)
 
 
 def _summaries(points: DataFrame, key: str, leaf: int, levels: list[float]) -> list[DataFrame]:
