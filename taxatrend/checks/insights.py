@@ -188,11 +188,21 @@ def _(c: Corpus):
     )
 
 
-@query("p30_public_view_catalogue")
+PUBLIC = ["record_id", "source", "source_record_id", "harvest_id", "data_resource_uid", "taxon_concept_id", "scientific_name", "event_date", "coordinate_uncertainty_m", "state_province",
+          "ibra_region", "is_valid", "managed_by_rule", "decimal_latitude", "decimal_longitude", "cell_lat", "cell_lon", "event_day", "event_year"]
+
+
+@query("p30_s10_public_view_catalogue", S.using(f"select unnest({PUBLIC}) as column_name, (select count(*) from occ) as records"))
 def _(c: Corpus):
     t = cu.public_view(c.occurrences)
-    listed = c.spark.createDataFrame([("occurrences", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema))], "relation string, columns string")
-    return listed.crossJoin(t.agg(F.count("*").alias("records")))
+    names = F.array(*[F.lit(f.name) for f in t.schema])
+    return t.agg(F.count("*").alias("records")).select(F.explode(names).alias("column_name"), "records")
+
+
+@query("w5_first_per_key", S.using("select taxon_concept_id, min(record_id) as first_record, arg_min(ibra_region, record_id) as first_region from rec group by taxon_concept_id"))
+def _(c: Corpus):
+    first = F.min_by(F.struct("record_id", "ibra_region"), "record_id")
+    return c.records.groupBy("taxon_concept_id").agg(first.alias("f")).select("taxon_concept_id", F.col("f.record_id").alias("first_record"), F.col("f.ibra_region").alias("first_region"))
 
 
 # --- effort ---

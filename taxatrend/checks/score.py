@@ -323,7 +323,7 @@ def _(c: Corpus):
     return sc.reference_issues(a, c.taxa, regions, q)
 
 
-@query("k9_comparison_log")
+@query("k9_comparison_log", using(f"select 'ai-1' as ai_run_id, 'calc-1' as calculated_run_id, matched, agreed from ({TOTALS}), range(2)"))
 def _(c: Corpus):
     import uuid
 
@@ -334,7 +334,8 @@ def _(c: Corpus):
     row = totals.select(F.lit("ai-1").alias("ai_run_id"), F.lit("calc-1").alias("calculated_run_id"), F.to_json(F.struct("*")).alias("summary"))
     append(row, path)
     append(row, path)
-    return c.spark.read.parquet(path)
+    t = c.spark.read.parquet(path)
+    return t.select("ai_run_id", "calculated_run_id", *[F.get_json_object("summary", f"$.{x}").cast("bigint").alias(x) for x in ("matched", "agreed")])
 
 
 @query("f_score_numbers", "select event_id, abs(value - round(value, 1)) <= greatest(0.0015, 0.01 * abs(round(value, 1))) as near, floor(abs(value) * 10 + 0.5) / 10 as rounded from events where value >= 0")
