@@ -94,32 +94,42 @@ def _value(f: sc.Field, c: Column, salt: str) -> tuple[Column, Column]:
     return c["text"], (c["kind"] == "string") & (c["raw"] == c["text"])
 
 
-def chosen_cell(f: sc.Field, flat: Column) -> Column:
-    """First populated source field of ``f``: its cell, the name used, and the JSON of the first one present."""
+def chosen(f: sc.Field, flat: Column) -> dict[str, Column]:
+    """First populated source field of ``f``: its cell, the name used, and the JSON of the first one present.
+
+    Plain columns, not one struct: the optimizer would fold a struct that is only taken apart again back into
+    every place that uses it, and look each cell up many times over.
+    """
     found = [F.try_element_at(flat, F.lit(s)) for s in f.sources]
     if len(found) == 1:
-        return F.struct(found[0].alias("cell"), F.when(~found[0]["empty"], f.sources[0]).alias("used"), found[0]["json"].alias("present"))
+        return {"cell": found[0]}
     named = F.array(*[F.struct(c.alias("cell"), F.lit(s).alias("used")) for c, s in zip(found, f.sources)])
     first = F.get(F.filter(named, lambda x: ~x["cell"]["empty"]), 0)
     present = F.get(F.filter(named, lambda x: x["cell"].isNotNull()), 0)
-    return F.struct(first["cell"].alias("cell"), first["used"].alias("used"), F.coalesce(first["cell"]["json"], present["cell"]["json"]).alias("present"))
+    return {"cell": first["cell"], "used": first["used"], "present": present["cell"]["json"]}
+
+
+def picked(f: sc.Field) -> dict[str, Column]:
+    """The columns of a field after the first step: cell, used, present."""
+    cell = F.col(f"cell_{f.column}")
+    if len(f.sources) == 1:
+        return {"cell": cell, "used": F.when(~cell["empty"], f.sources[0]), "present": cell["json"]}
+    return {"cell": cell, "used": F.col(f"used_{f.column}"), "present": F.coalesce(cell["json"], F.col(f"present_{f.column}"))}
 
 
-def map_field(f: sc.Field, c: Column, salt: str) -> Column:
-    """A chosen cell as struct(value, unchanged): the canonical value, and whether it was carried across as it is."""
-    value, unchanged = _value(f, c["cell"], salt)
-    populated = c["used"].isNotNull()
-    return F.struct(F.when(populated, value).alias("value"), F.coalesce(unchanged, F.lit(False)).alias("unchanged"))
+def mapped(f: sc.Field) -> dict[str, Column]:
+    """The columns of a field after the second step: its value, and whether that is the raw value unchanged."""
+    return {"value": F.col(f"value_{f.column}"), "unchanged": F.col(f"same_{f.column}")}
 
 
-def field_status(c: Column, m: Column) -> Column:
+def field_status(c: dict[str, Column], m: dict[str, Column]) -> Column:
     return (
         F.when(c["present"].isNull(), "absent_from_source").when(c["used"].isNull(), "empty_in_source").when(m["value"].isNull(), "rejected")
         .when(m["unchanged"], "mapped").otherwise("derived")
     )
 
 
-def trace_line(f: sc.Field, c: Column, m: Column) -> Column:
+def trace_line(f: sc.Field, c: dict[str, Column], m: dict[str, Column]) -> Column:
     """What happened to one field on its way."""
     value, status = m["value"], field_status(c, m)
     if f.note:
@@ -177,11 +187,15 @@ def adapt(rows: DataFrame, salt: str, as_of: str, full_trace: bool = False) -> D
     """
     step = flatten_rows(rows, ["page", "pos", "harvest_id", "fetched_at"])
     # One projection per step, so that a cell is looked up once and a value computed once, however often used.
-    c = {f.path: f"c_{f.column}" for f in sc.MAPPED}
-    m = {f.path: f"m_{f.column}" for f in sc.MAPPED}
-    step = step.select("*", *[chosen_cell(f, F.col("flat")).alias(c[f.path]) for f in sc.MAPPED])
-    step = step.select("*", *[map_field(f, F.col(c[f.path]), salt).alias(m[f.path]) for f in sc.MAPPED])
-    values = {f.column: F.col(m[f.path])["value"] for f in sc.MAPPED}
+    first = [e.alias(f"{name}_{f.column}") for f in sc.MAPPED for name, e in chosen(f, F.col("flat")).items()]
+    step = step.select("*", *first)
+    second = []
+    for f in sc.MAPPED:
+        c = picked(f)
+        value, unchanged = _value(f, c["cell"], salt)
+        second += [F.when(c["used"].isNotNull(), value).alias(f"value_{f.column}"), F.coalesce(unchanged, F.lit(False)).alias(f"same_{f.column}")]
+    step = step.select("*", *second)
+    values = {f.column: mapped(f)["value"] for f in sc.MAPPED}
     values["source_record_id"] = F.coalesce(values["source_record_id"], F.lit(""))
     values["source_assertions"] = F.coalesce(values["source_assertions"], F.array().cast("array<string>"))
     out = step.select(
@@ -189,8 +203,8 @@ def adapt(rows: DataFrame, salt: str, as_of: str, full_trace: bool = False) -> D
         F.lit(sc.SOURCE).alias("source"),
         *[v.alias(c) for c, v in values.items()],
         "harvest_id", F.col("page").alias("snapshot_page"), "fetched_at", F.col("pos").alias("page_pos"),
-        F.array(*[field_status(F.col(c[f.path]), F.col(m[f.path])) for f in sc.MAPPED]).alias("statuses"),
-        *([F.array(*[trace_line(f, F.col(c[f.path]), F.col(m[f.path])) for f in sc.MAPPED]).alias("trace")] if full_trace else []),
+        F.array(*[field_status(picked(f), mapped(f)) for f in sc.MAPPED]).alias("statuses"),
+        *([F.array(*[trace_line(f, picked(f), mapped(f)) for f in sc.MAPPED]).alias("trace")] if full_trace else []),
         excluded_fields(F.col("flat")).alias("excluded_fields"),
         unmapped_fields(F.col("flat")).alias("unmapped_fields"),
         F.col("lifted").alias("lifted_fields"),
