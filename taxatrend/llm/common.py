@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from taxatrend.workspace import shared_root
 
@@ -53,6 +56,20 @@ def whole_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def map_arrow(df: DataFrame, read, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name (dots, clashes): batches go in and come out by position."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    names = [f"c{i}" for i in range(len(schema.fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in read(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names)
+
+    inner = StructType([StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 #: Models and tables of this Python worker, kept between tasks.
 KEPT: dict = {}
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from taxatrend.llm.chunk_table import ChunkTable
-from taxatrend.llm.common import configure, kept, quoted, whole_text, written
+from taxatrend.llm.common import configure, kept, map_arrow, quoted, whole_text, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -132,7 +132,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(read, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return map_arrow(rows, read, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxatrend.llm import packing, sentencepiece_codec, toxicity
+from taxatrend.llm import packing, pii, sentencepiece_codec, toxicity
 from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
 from taxatrend.llm.simhash import simhash_groups
@@ -43,6 +43,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def span_list(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text. n_email to n_phone count base spans, n_added the spans beyond them; ``spans`` has all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    return found.select(
+        "doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""

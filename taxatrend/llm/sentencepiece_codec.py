@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from taxatrend.llm.chunk_table import ChunkTable
-from taxatrend.llm.common import configure, fresh, kept, quoted, whole_text
+from taxatrend.llm.common import configure, fresh, kept, map_arrow, quoted, whole_text
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -94,7 +94,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", add_eos: bool =
             ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:width], ids, pa.array(decoded, pa.string())], [*b.schema.names[:width], "ids", "decoded"])
 
-    return rows.mapInArrow(read, schema)
+    return map_arrow(rows, read, schema)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -111,4 +111,4 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             texts = [m.decode(x) if x else "" for x in b.column(width).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(texts, pa.string())], [*b.schema.names[:width], "decoded"])
 
-    return given.mapInArrow(read, StructType([*given.schema.fields[:-1], StructField("decoded", StringType())]))
+    return map_arrow(given, read, StructType([*given.schema.fields[:-1], StructField("decoded", StringType())]))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxatrend.llm.common import configure, quoted, whole_text, written
+from taxatrend.llm.common import configure, map_arrow, quoted, whole_text, written
 from taxatrend.llm.components import components
 
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint_of(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return rows.mapInArrow(read, f"doc_id {kind}, fp bigint")
+    return map_arrow(rows, read, f"doc_id {kind}, fp bigint")
 
 
 def segment(fp: Column, i: int) -> Column:

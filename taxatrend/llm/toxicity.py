@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxatrend.llm.common import configure, kept, quoted, whole_text
+from taxatrend.llm.common import configure, kept, map_arrow, quoted, whole_text
 from taxatrend.llm.labelled import held_out, sample
 from taxatrend.llm.logistic import Logistic, area_under_curve, fit
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], ["words", "y"])
 
     configure(docs.sparkSession)
-    found = sorted((bytes(r.words), r.y) for r in rows.mapInArrow(shorten, "words binary, y int").collect())  # 2 * per_class rows at most
+    found = sorted((bytes(r.words), r.y) for r in map_arrow(rows, shorten, "words binary, y int").collect())  # 2 * per_class rows at most
     order = np.random.default_rng(0).permutation(len(found))
     return learn([found[i][0].split() for i in order], np.array([found[i][1] for i in order], float))
 
@@ -155,5 +155,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(b.column(1).to_pylist(), d), pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(read, f"doc_id {kind}, score double")
+    scored = map_arrow(rows, read, f"doc_id {kind}, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
