@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxatrend.llm import packing, pii, sentencepiece_codec, toxicity
+from taxatrend.llm import packing, pii, quality, sentencepiece_codec, toxicity
 from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
 from taxatrend.llm.simhash import simhash_groups
@@ -62,6 +62,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
