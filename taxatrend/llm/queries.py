@@ -12,6 +12,7 @@ from taxatrend.llm import packing, pii, quality, sentencepiece_codec, toxicity
 from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
 from taxatrend.llm.simhash import simhash_groups
+from taxatrend.llm.topk_search import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +63,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+with v as (
+  select vec_id, [floor(64 * x::double) for x in embedding] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0
+), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+""")
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
 @query()
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-trained quality of every document."""
