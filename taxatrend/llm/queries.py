@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxatrend.llm import packing, pii, quality, sentencepiece_codec, toxicity
+from taxatrend.llm.chat_format import format_chats
 from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
 from taxatrend.llm.simhash import simhash_groups
@@ -109,3 +110,9 @@ from t window w as (partition by text_sha256)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of the normalised texts."""
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired at least cost and rendered, turn by turn."""
+    return format_chats(table(spark, sf_dir, "conversations"))
