@@ -38,8 +38,26 @@ def repeated_slots(digests: DataFrame, digest: str, bits: int) -> DataFrame:
     """(f, word, hit): for hash function f, the slots hit more than once, 64 to a word. At most 2 * 2^bits / 64 rows."""
     both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), s.alias("slot")) for f, s in enumerate(slots(quoted(digest), bits))])).alias("s")
     twice = digests.select(both).select("s.f", "s.slot").groupBy("f", "slot").agg(F.count("*").alias("n")).filter("n > 1")
+    return words_of(twice)
+
+
+def words_of(slots_hit: DataFrame) -> DataFrame:
     bit = F.expr("shiftleft(1L, int(slot % 64))")
-    return twice.groupBy("f", F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("hit"))
+    return slots_hit.groupBy("f", F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("hit"))
+
+
+def split_by_filter(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose key may be in ``keys`` (one column, written), and rows whose key is surely not.
+
+    The same filter of bounded size as above, here of all keys: only the first part, little more than the matches, need
+    be shuffled to meet them.
+    """
+    (k,), (flag,) = keys.columns, fresh(df, "may_match")
+    bits = slot_bits(keys.count())
+    both = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), s.alias("slot")) for f, s in enumerate(slots(quoted(k), bits))])).alias("s")
+    filters = written(words_of(keys.select(both).select("s.f", "s.slot")), "key-filter")
+    flagged = with_suspicion(df, key, filters, bits, flag)
+    return flagged.filter(F.col(flag)).drop(flag), flagged.filter(~F.col(flag)).drop(flag)
 
 
 def with_suspicion(df: DataFrame, digest: str, filters: DataFrame, bits: int, flag: str) -> DataFrame:

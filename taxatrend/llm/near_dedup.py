@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from taxatrend.llm import simhash
 from taxatrend.llm.common import configure, fresh, map_arrow, quoted, whole_text, written
 from taxatrend.llm.components import components
+from taxatrend.llm.exact_dedup import split_by_filter
 
 WORDS, SIMILARITY = 5, 0.8
 ORDERS, SAMPLED = 8, 3
@@ -104,8 +105,9 @@ def similar_pairs(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     """Pairs (a, b) of ``docs`` (doc_id, text) whose shingle sets have the Jaccard similarity or more."""
     sketched = written(sketches(docs, words), "near-sketches")
     pairs = written(candidates(sketched, similarity), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), "near-sets").dropDuplicates(["doc_id"])
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
+    asked, _ = split_by_filter(docs, "doc_id", wanted)  # only these texts move
+    sets = written(shingle_sets(asked.join(wanted, "doc_id", "left_semi").select(docs.columns), words), "near-sets").dropDuplicates(["doc_id"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     whole = F.size("x") + F.size("y") - common
@@ -132,4 +134,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """``docs``, all columns, less every document with a smaller id in its group."""
     (gone,) = fresh(docs, "gone")
     out = near_groups(docs, id_col, text_col, words, similarity).filter("doc_id != component_id").select(F.col("doc_id").alias(gone))
-    return docs.join(written(out, "near-gone"), quoted(id_col) == F.col(gone), "left_anti")
+    listed = written(out, "near-gone")
+    maybe, staying = split_by_filter(docs, id_col, listed)
+    return staying.unionByName(maybe.join(listed, quoted(id_col) == F.col(gone), "left_anti"))
