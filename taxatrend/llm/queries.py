@@ -14,6 +14,7 @@ from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
 from taxatrend.llm.simhash import simhash_groups
 from taxatrend.llm.topk_search import top_k
+from taxatrend.llm.url_filter import filter_captures, host
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,43 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries made out of the hosts of ``pages``: of a host or its parent domain, added, removed and added again."""
+    hosts = pages.select("page_id", host(F.col("url")).alias("h")).filter("h is not null").groupBy("h").agg(F.min("page_id").alias("m"))
+    at = lambda days: F.date_add(F.lit("2020-01-01").cast("date"), days.cast("int"))
+    m, first = F.col("m"), F.col("m") * 7 % 700
+    event = lambda when, action, day: F.when(when, F.struct(F.lit(action).alias("action"), at(day).alias("day")))
+    events = F.array(event(m % 4 != 3, "add", first), event(m % 2 == 0, "remove", first + 30 + m % 200), event(m % 3 == 0, "add", first + 300), event(m % 7 == 0, "remove", first))
+    return hosts.select(
+        F.when(m % 5 == 0, "allow").otherwise("block").alias("list"),
+        F.when(m % 3 == 1, F.regexp_replace("h", r"^[^.]*\.", "")).otherwise(F.col("h")).alias("key"), F.explode(events).alias("e"),
+    ).filter("e is not null").select("list", "key", "e.action", "e.day")
+
+
+@query(r"""
+with p as (
+  select page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) as h, date '2020-01-01' + cast(page_id * 37 % 1000 as integer) as fetch_day from pages
+), hosts as (select h, min(page_id) as m from p where h <> '' group by h),
+e0 as (select *, case when m % 5 = 0 then 'allow' else 'block' end as list, case when m % 3 = 1 then regexp_replace(h, '^[^.]*\.', '') else h end as key, m * 7 % 700 as first from hosts),
+e as (
+  select list, key, 'add' as action, first as nth from e0 where m % 4 <> 3 union all select list, key, 'remove', first + 30 + m % 200 from e0 where m % 2 = 0
+  union all select list, key, 'add', first + 300 from e0 where m % 3 = 0 union all select list, key, 'remove', first from e0 where m % 7 = 0
+), daily as (select list, key, date '2020-01-01' + cast(nth as integer) as day, bool_or(action = 'remove') as removed from e group by 1, 2, 3),
+v as (select *, lead(day) over (partition by list, key order by day) as until from daily),
+a as (select * from v where not removed),
+hits as (
+  select p.page_id, a.list, a.key from p join a on (p.h = a.key or ends_with(p.h, '.' || a.key)) and p.fetch_day >= a.day and (a.until is null or p.fetch_day < a.until)
+), best as (select page_id, list, arg_max(key, length(key)) as key, max(length(key)) as n from hits group by 1, 2)
+select p.page_id, nullif(p.h, '') as host, cast(p.fetch_day as varchar) as fetch_day, b.key as blocked_by, w.key as allowed_by, b.key is null or coalesce(w.n >= b.n, false) as kept
+from p left join best b on b.page_id = p.page_id and b.list = 'block' left join best w on w.page_id = p.page_id and w.list = 'allow'
+""")
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries active on the day it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") * 37 % 1000).cast("int")))
+    return filter_captures(captures, list_entries(pages)).select("page_id", "host", F.col("fetch_day").cast("string").alias("fetch_day"), "blocked_by", "allowed_by", "kept")
+
+
 def span_list(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
