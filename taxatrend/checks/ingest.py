@@ -61,8 +61,7 @@ def rows(c: Corpus):
     root = dv.write_pages(c)
     finished = fr.read_manifests(c.spark, root)
     pages = fr.manifest_pages(finished)
-    raw = fr.read_pages(c.spark, f"{root}/run=[0-{dv.FINISHED - 1}]/pages")
-    return fr.with_context(raw, pages, dv.HARVEST)
+    return fr.with_context(fr.read_pages(c.spark, f"{root}/run=*/pages"), pages)
 
 
 def adapted(c: Corpus):
@@ -316,14 +315,11 @@ def _(c: Corpus):
 
 WORDS = "len(regexp_extract_all(t, '[A-Za-z]{2,}'))"
 BAND = f"case when t is null or t = '' then 'absent' when {WORDS} = 0 or length(t) < 3 then 'trivial' when length(t) < 20 or {WORDS} < 3 then 'short' else 'substantive' end"
-DOCS = f"""docs as (select *, {BAND} as band from (select doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from
-  (select doc_id, source, case doc_id % 10 when 0 then '0' when 1 then ', K2' when 2 then left(text, 12) when 3 then '  ' else text end as text from documents)))"""
+DOCS = f"""docs as (select *, {BAND} as band from (select doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents))"""
 
 
 def documents(c: Corpus):
-    d = read(c.spark, c.sf_dir, "documents")
-    r = F.col("doc_id") % 10
-    return d.withColumn("text", F.when(r == 0, "0").when(r == 1, ", K2").when(r == 2, F.substring("text", 1, 12)).when(r == 3, "  ").otherwise(F.col("text")))
+    return read(c.spark, c.sf_dir, "documents")
 
 
 @query("a14_free_text_bands", "with " + DOCS + """ select source, count(*) as total, count(*) filter (band = 'absent') as absent, count(*) filter (band = 'trivial') as trivial, count(*) filter (band = 'short') as short,
@@ -333,7 +329,7 @@ def _(c: Corpus):
     return cv.text_bands(documents(c), "text", ["doc_id"], ["source"]).withColumn("substantive_share", F.round("substantive_share", 9))
 
 
-@query("a14_free_text_samples", "with " + DOCS + " select source, band, arg_min(left(t, 160), doc_id) as sample from docs where band <> 'absent' group by source, band")
+@query("a14_free_text_samples", "with " + DOCS + " select source, band, arg_min(t, doc_id) as sample from docs where band <> 'absent' group by source, band")
 def _(c: Corpus):
     return cv.text_samples(documents(c), "text", ["doc_id"], ["source"])
 
@@ -372,7 +368,7 @@ def _(c: Corpus):
 
 @query("o9_lowest_coverage")
 def _(c: Corpus):
-    return cv.lowest_coverage(cv.field_coverage(kept(c))).select("canonical_field", "total", "populated")
+    return cv.lowest_coverage(cv.field_coverage(kept(c)), 18).select("canonical_field", "total", "populated")
 
 
 @query("f_hash_functions", "select o_orderkey, md5(o_orderpriority) as md5, sha256(o_orderpriority) as sha256 from orders")

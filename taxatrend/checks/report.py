@@ -119,7 +119,7 @@ query("o2_page_total", using("select count(*) as total from calc where insight_t
 @query("o3_result_cap", "select true as truncated, 200 as row_count, count(*) > 200 as really from orders")
 def _(c: Corpus):
     o = read(c.spark, c.sf_dir, "orders")
-    return rp.capped(o)[1].crossJoin(o.agg((F.count("*") > 200).alias("really")))
+    return rp.capped(o, 200, "o_orderkey")[1].crossJoin(o.agg((F.count("*") > 200).alias("really")))
 
 
 LISTS = {
@@ -254,10 +254,10 @@ query("w4_latest_baseline", "select o_custkey as calculated_run_id, max(o_orderk
 query("j18_run_list", runs_using("select r.run_id, coalesce(n.n, 0) as insights, l.calculated_run_id, l.scorer_version from runs r left join (select 'r' || user_id % 1000 as run_id, count(*) as n from events group by 1) n using (run_id) left join latest l on l.ai_run_id = r.run_id"))(
     lambda c: rp.run_list(runs(c), ai_insights(c), comparisons(c)).select("run_id", "insights", "calculated_run_id", "scorer_version")
 )
-query("j20_ai_insights_of_taxon", runs_using("select event_id as insight_id, run_id, brief from (select *, 'r' || user_id % 1000 as run_id from events) e join runs r using (run_id) where arm = 'ai' and status = 'done' and (event_id % 120 = 5 or event_id % 7 = 5) order by started_at desc, event_id limit 50"))(
+query("j20_ai_insights_of_taxon", runs_using("select event_id as insight_id, run_id, brief from (select *, 'r' || user_id % 1000 as run_id from events) e join runs r using (run_id) where arm = 'ai' and status = 'done' and (event_id % 120 = 5 or event_id % 7 = 5)"))(
     lambda c: rp.ai_insights_of(ai_insights(c), runs(c), "T5").select("insight_id", "run_id", "brief")
 )
-query("o8_queries_by_id", "select event_id as query_id, event_type as sql from events where event_id in (select range from range(0, 500, 10))")(
+query("o8_queries_by_id", "select event_id as query_id, event_type as sql from events where event_id in (select range from range(0, 1000, 10))")(
     lambda c: rp.queries_by_id(read(c.spark, c.sf_dir, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("sql")), list(range(0, 1000, 10)))
 )
 query("a29_j21_ai_usage", runs_using(f"""select brief, count(*) as runs, {S.fx('avg(cost)', 4)} as mean_cost, {S.fx('avg(epoch(finished_at - started_at) / 60)', 4)} as mean_minutes, {S.fx('avg(turns)', 4)} as mean_turns from runs r

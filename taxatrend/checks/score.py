@@ -285,10 +285,10 @@ def _(c: Corpus):
     return summary
 
 
-@query("f_numeric_leaves", "select event_id, path, value from (select event_id, unnest([struct_pack(path := 'a.b', value := value), struct_pack(path := 'a.c[0]', value := cast(user_id as double)), struct_pack(path := 'a.c[1]', value := 2.5), struct_pack(path := 'k', value := cast(json_extract_string(props, '$.k') as double))], recursive := true) from events)")
+@query("f_numeric_leaves", "select event_id, path, value from (select event_id, unnest([struct_pack(path := 'a.b', value := value), struct_pack(path := 'a.c[0]', value := cast(user_id as double)), struct_pack(path := 'a.c[1]', value := 2.5), struct_pack(path := 'k', value := cast(json_extract_string(props, '$.k') as double)), struct_pack(path := 'd.e.f[0].g.h', value := cast(event_id as double))], recursive := true) from events)")
 def _(c: Corpus):
     e = read(c.spark, c.sf_dir, "events")
-    doc = F.concat(F.lit('{"a": {"b": '), F.col("value").cast("string"), F.lit(', "c": ['), F.col("user_id").cast("string"), F.lit(', "2.5", "x", null]}, "k": '), F.get_json_object("props", "$.k"), F.lit(', "t": true}'))
+    doc = F.concat(F.lit('{"a": {"b": '), F.col("value").cast("string"), F.lit(', "c": ['), F.col("user_id").cast("string"), F.lit(', "2.5", "x", null]}, "k": '), F.get_json_object("props", "$.k"), F.lit(', "t": true, "d": {"e": {"f": [{"g": {"h": '), F.col("event_id").cast("string"), F.lit(', "plus": "+5", "open": "5.", "bare": ".5", "{[": "\\"["}}]}}}'))
     return sc.numeric_leaves(e.select("event_id", F.parse_json(doc).alias("f")), ["event_id"], "f")
 
 

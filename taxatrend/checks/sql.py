@@ -72,13 +72,12 @@ un as (
   from every_rec
 ),
 occ as (
-  select * from un
-  where not (
+  select * exclude (k, taxon_concept_id, moved), if(moved, k - k % 10 + 8, k) as k, 'T' || if(moved, k - k % 10 + 8, k) as taxon_concept_id from (select *, (
     (k % 10 = 0 and event_day >= date '1998-06-01') or (k % 10 = 1 and l_orderkey % 200 <> 0)
     or (k % 10 = 2 and rk = 1 and event_day >= date '1998-06-01')
     or (k % 10 = 3 and event_day >= date '1999-01-01' and l_orderkey % 10 < 6)
     or (k % 10 = 4 and event_day < date '1998-01-01' and l_orderkey % 10 < 6)
-    or (k % 10 in (5, 6) and rk = 3 and event_day >= date '1999-01-01' and l_orderkey % 10 < 7))
+    or (k % 10 in (5, 6) and rk = 3 and event_day >= date '1999-01-01' and l_orderkey % 10 < 7)) as moved from un)
 ),
 rec as (
   select o.*, coalesce(d.kind, 'wild') as dataset_kind,

@@ -89,7 +89,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their place, before thinning."""
+    """Line items with their place."""
     place = (
         read(spark, sf_dir, "customer")
         .join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -104,11 +104,11 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def thinned(b: DataFrame) -> DataFrame:
-    """Drop rows so that some taxa fall silent, decline, shrink or grow."""
+def shaped(b: DataFrame) -> DataFrame:
+    """Name some records for another taxon of the same ten, so that taxa fall silent, decline, shrink or grow; no row is dropped."""
     k, d, ok = F.col("k") % 10, F.col("l_shipdate"), F.col("l_orderkey")
     day = lambda s: F.lit(s).cast("timestamp_ntz")
-    drop = (
+    moved = (
         ((k == 0) & (d >= day("1998-06-01")))
         | ((k == 1) & (ok % 200 != 0))
         | ((k == 2) & (F.col("r_regionkey") == 1) & (d >= day("1998-06-01")))
@@ -116,7 +116,7 @@ def thinned(b: DataFrame) -> DataFrame:
         | ((k == 4) & (d < day("1998-01-01")) & (ok % 10 < 6))
         | (k.isin(5, 6) & (F.col("r_regionkey") == 3) & (d >= day("1999-01-01")) & (ok % 10 < 7))
     )
-    return b.filter(~drop)
+    return b.withColumn("k", F.when(moved, F.col("k") - k + 8).otherwise(F.col("k")))
 
 
 def as_occurrences(b: DataFrame) -> DataFrame:
@@ -168,12 +168,12 @@ class Corpus:
     @property
     def occurrences(self) -> DataFrame:
         return self.ws.table(
-            "occurrences", lambda: as_occurrences(thinned(base(self.spark, self.sf_dir))), partition_by="event_year"
+            "occurrences", lambda: as_occurrences(shaped(base(self.spark, self.sf_dir))), partition_by="event_year"
         )
 
     @property
     def effort(self) -> DataFrame:
-        """Effort counts the unthinned records: all recording, whatever the listed taxa did."""
+        """Effort counts the records under the names they were made with: all recording, whatever the listed taxa did."""
         return self.ws.table(
             "effort",
             lambda: build_effort(as_occurrences(base(self.spark, self.sf_dir)), self.taxa, self.datasets, HARVEST),

@@ -30,11 +30,11 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def text_number(s: Column) -> Column:
+def text_number(s: Column, pattern: str = NUMBER_TEXT) -> Column:
     """A finite number written as text, otherwise null."""
     trimmed = F.trim(s)
     n = trimmed.try_cast("double")
-    return F.when(trimmed.rlike(NUMBER_TEXT) & is_finite(n), n)
+    return F.when(trimmed.rlike(pattern) & is_finite(n), n)
 
 
 def close(a: Column, b: Column, rel: float = 0.01, floor: float = 0.0015) -> Column:

@@ -22,19 +22,34 @@ def in_window(day: Column, w: Window) -> Column:
     return day.between(F.lit(w.start).cast("date"), F.lit(w.end).cast("date"))
 
 
+def in_any_window(df: DataFrame, *windows: Window, day: str = "event_day", year: str = "event_year") -> DataFrame:
+    """Rows whose day lies in one of the windows. Where the table is partitioned by the day's year, only those years are read."""
+    c = in_window(F.col(day), windows[0])
+    y = F.col(year).between(int(windows[0].start[:4]), int(windows[0].end[:4])) if year in df.columns else F.lit(True)
+    for w in windows[1:]:
+        c = c | in_window(F.col(day), w)
+        y = y | F.col(year).between(int(w.start[:4]), int(w.end[:4])) if year in df.columns else y
+    return df.filter(y & c)
+
+
 def window_label(day: Column, baseline: Window, recent: Window) -> Column:
     """'baseline', 'recent' or null."""
     return F.when(in_window(day, baseline), "baseline").when(in_window(day, recent), "recent")
 
 
 def text_instant(s: Column) -> Column:
-    """Epoch milliseconds or an ISO date-time, as an instant; null when neither."""
+    """Epoch milliseconds or an ISO date-time, as an instant; null when neither. A time without a date is none."""
     ms = text_number(s)
     return F.when(ms.isNotNull(), F.timestamp_millis(F.when(F.abs(ms) <= 8.64e15, ms).cast("bigint"))).otherwise(
-        F.try_to_timestamp(F.trim(s))
+        dated_instant(s)
     )
 
 
+def dated_instant(s: Column) -> Column:
+    """Text that begins with a year and holds a date, as an instant; otherwise null."""
+    return F.when(F.trim(s).rlike(r"^[+-]?\d{4,}(-|$)"), F.try_to_timestamp(F.trim(s)))
+
+
 def iso_utc(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

@@ -5,17 +5,25 @@ Functions take insights as ``insight.unpack`` gives them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from taxatrend.functions.numeric import close, fixed, share, text_number
 from taxatrend.functions.text import mention_form
 from taxatrend.operators.insight import TYPES, fig, fig_number
 
-#: Findings per priority set, and values combined in pairs when a number is checked: both define the score.
+#: Findings per priority set that a score is stated for; every function takes its own number.
 PRIORITY_K = 15
-PAIR_POOL = 400
-LEAF_DEPTH = 4
+
+#: A number written as text, as scoring reads it: a fixed pattern, stricter than the one of the mapping.
+SCORED_NUMBER = r"(?i)^-?\d+(\.\d+)?(e-?\d+)?$"
+
+
+def scored_number(s: Column) -> Column:
+    return text_number(s, SCORED_NUMBER)
 
 
 def match_key() -> Column:
@@ -42,7 +50,7 @@ def _get(of: str, path: str, kind: str = "string") -> Column:
 
 
 def _num(of: str, path: str) -> Column:
-    return F.coalesce(F.when(F.schema_of_variant(_get(of, path, "variant")) != "STRING", _get(of, path, "double")), text_number(_get(of, path)))
+    return F.coalesce(F.when(F.schema_of_variant(_get(of, path, "variant")) != "STRING", _get(of, path, "double")), scored_number(_get(of, path)))
 
 
 def _same(path: str) -> Column:
@@ -210,7 +218,7 @@ def discovered(ai: DataFrame, calc: DataFrame, taxa: DataFrame, k: int = PRIORIT
     found = F.when(F.col("taxon_concept_id").isNull(), F.col("reg")).when(F.col("set") == "regional_silence", F.col("here")).otherwise(F.col("any"))
     out = out.withColumn("found", F.coalesce(found, F.lit(False)))
     return out.withColumn("mentioned", F.col("found") | F.coalesce("named", F.lit(False))).select(
-        "set", "rank", "insight_id", "taxon_concept_id", "region", "score", "found", "mentioned", F.substring("summary", 1, 120).alias("summary")
+        "set", "rank", "insight_id", "taxon_concept_id", "region", "score", "found", "mentioned", "summary"
     )
 
 
@@ -239,10 +247,22 @@ def unflagged_taxa_insights(ai: DataFrame, calc: DataFrame) -> DataFrame:
 # --- grounding ---
 
 
-def numeric_leaves(df: DataFrame, keys: list[str], figures: str, depth: int = LEAF_DEPTH) -> DataFrame:
-    """keys, path, value: every number in a JSON value, numbers written as text included."""
+def nesting(v: Column) -> Column:
+    """How many objects and arrays a variant's deepest value lies in."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct(
+        (acc["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(acc["most"], acc["at"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most")
+    )
+    return F.coalesce(F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step)["most"], F.lit(0))
+
+
+def numeric_leaves(df: DataFrame, keys: list[str], figures: str) -> DataFrame:
+    """keys, path, value: every number in a JSON value at any depth, numbers written as text included.
+
+    The plan has one step per level of the deepest value, which is looked up first (one number).
+    """
     cur = df.select(*keys, F.lit("").alias("path"), F.col(figures).alias("v"))
-    for _ in range(depth):
+    for _ in range(df.agg(F.max(nesting(F.col(figures)))).first()[0] or 0):
         kind = F.schema_of_variant("v")
         as_object = F.transform(
             F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")),
@@ -255,7 +275,7 @@ def numeric_leaves(df: DataFrame, keys: list[str], figures: str, depth: int = LE
         parts = F.when(kind.startswith("OBJECT"), as_object).when(kind.startswith("ARRAY"), as_array).otherwise(itself)
         cur = cur.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.path", "p.v")
     kind = F.schema_of_variant("v")
-    n = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double")).when(kind == "STRING", text_number(F.try_variant_get("v", "$", "string")))
+    n = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double")).when(kind == "STRING", scored_number(F.try_variant_get("v", "$", "string")))
     return cur.select(*keys, "path", n.alias("value")).filter(F.col("value").isNotNull())
 
 
@@ -264,7 +284,7 @@ def result_values(results: DataFrame) -> DataFrame:
 
     ``results``: query_id, row, column, value (text). Logged results are capped when they are logged.
     """
-    n = results.withColumn("n", text_number(F.col("value"))).filter(F.col("n").isNotNull())
+    n = results.withColumn("n", scored_number(F.col("value"))).filter(F.col("n").isNotNull())
     totals = n.groupBy("query_id", "column").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter(F.col("c") > 1)
     tagged = n.select("query_id", F.struct(F.lit(0).alias("part"), F.col("row").cast("bigint").alias("row"), "column", "n").alias("x")).unionByName(
         totals.select("query_id", F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("row"), "column", "n").alias("x"))
@@ -273,7 +293,7 @@ def result_values(results: DataFrame) -> DataFrame:
 
 
 def column_totals(results: DataFrame) -> DataFrame:
-    n = results.withColumn("n", text_number(F.col("value"))).filter(F.col("n").isNotNull())
+    n = results.withColumn("n", scored_number(F.col("value"))).filter(F.col("n").isNotNull())
     return n.groupBy("query_id", "column").agg(F.sum("n").alias("total"), F.count("*").alias("c")).filter(F.col("c") > 1).drop("c")
 
 
@@ -283,35 +303,62 @@ def decimals(x: Column) -> Column:
     return F.length(F.regexp_extract(plain, r"\.(\d+)$", 1))
 
 
-def grounded(x: Column, values: Column) -> Column:
-    """Whether x is one of the values, or a difference, ratio or percentage change of two of the first 400."""
-    scale = F.pow(F.lit(10.0), decimals(x))
+def is_grounded(x: float, places: int, values: np.ndarray, ordered: np.ndarray, divisors: np.ndarray) -> bool:
+    """Whether x is one of the values, or a difference, ratio or percentage change of two of them.
 
-    def matches(v: Column) -> Column:
-        rounded = F.signum(v) * F.floor(F.abs(v) * scale + F.lit(0.5)) / scale
-        return close(x, v, 0.001, 0.0) | (rounded == x)
-
-    pool = F.slice(values, 1, PAIR_POOL)
-    divisors = F.filter(pool, lambda b: b != 0)
-
-    def from_pair(a: Column, b: Column) -> Column:
-        d, r = a - b, F.try_divide(a, b)
-        c = F.try_divide(d, b)
-        return matches(d) | matches(r) | matches(c) | matches(c * 100) | matches(r * 100)
-
-    return F.exists(values, matches) | F.exists(pool, lambda a: F.exists(divisors, lambda b: from_pair(a, b)))
+    For a divisor b, each form of a and b gives x just if a lies in one interval, so a sorted search finds the partners
+    of all divisors at once; those found are then compared exactly.
+    """
+    scale = 10.0**places
+
+    def matches(v: np.ndarray) -> np.ndarray:
+        rounded = np.sign(v) * np.floor(np.abs(v) * scale + 0.5) / scale
+        return (np.abs(x - v) <= 0.001 * np.abs(v)) | (rounded == x)
+
+    with np.errstate(all="ignore"):
+        if matches(values).any():
+            return True
+        ends = np.array([x / 1.001, x / 0.999, x - 0.5 / scale, x + 0.5 / scale])
+        wide = 1e-9 * max(1.0, abs(x))
+        low, high = ends.min() - wide, ends.max() + wide
+        forms = [
+            (lambda c: divisors + c, lambda a, b: a - b), (lambda c: divisors * c, lambda a, b: a / b), (lambda c: divisors * (1 + c), lambda a, b: (a - b) / b),
+            (lambda c: divisors * (1 + c / 100), lambda a, b: (a - b) / b * 100), (lambda c: divisors * (c / 100), lambda a, b: a / b * 100),
+        ]
+        for partner, form in forms:
+            one, two = partner(low), partner(high)
+            lo, hi = np.minimum(one, two), np.maximum(one, two)
+            slack = 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
+            first, last = np.searchsorted(ordered, lo - slack, "left"), np.searchsorted(ordered, hi + slack, "right")
+            for k in np.flatnonzero(last > first):
+                if matches(form(ordered[first[k] : last[k]], divisors[k])).any():
+                    return True
+    return False
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def grounded(numbers: pd.Series, values: pd.Series) -> pd.Series:
+    """Per row: which of the numbers (value, places) are grounded in the values."""
+    out = []
+    for asked, given in zip(numbers, values):
+        v = np.array([] if given is None else given, float)
+        ordered = np.unique(v)
+        out.append([is_grounded(n["value"], n["places"], v, ordered, ordered[ordered != 0]) for n in asked])
+    return pd.Series(out)
 
 
 def grounding(ai: DataFrame, results: DataFrame) -> DataFrame:
-    """Per AI insight: numbers stated, numbers grounded in the cited results, and the paths that are not."""
-    cited = ai.select("insight_id", F.posexplode("query_ids").alias("pos", "query_id")).join(result_values(results), "query_id")
-    values = cited.groupBy("insight_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "values"))), lambda s: s["values"])).alias("values")
-    )
-    leaves = numeric_leaves(ai, ["insight_id"], "figures").join(values, "insight_id", "left")
-    ok = F.coalesce(grounded(F.col("value"), F.col("values")), F.lit(False))
-    per = leaves.select("insight_id", "path", ok.alias("ok")).groupBy("insight_id").agg(
-        F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("path")))).alias("ungrounded")
+    """Per AI insight: numbers stated, numbers grounded in the cited results, and the paths that are not.
+
+    Gathered per insight are the numbers it states and the values it cites, which the query log bounds.
+    """
+    cited = ai.select("insight_id", F.explode("query_ids").alias("query_id")).distinct().join(result_values(results), "query_id")
+    values = cited.groupBy("insight_id").agg(F.flatten(F.collect_list("values")).alias("values"))
+    leaf = F.struct("path", "value", decimals(F.col("value")).alias("places"))
+    stated = numeric_leaves(ai, ["insight_id"], "figures").groupBy("insight_id").agg(F.array_sort(F.collect_list(leaf)).alias("stated"))
+    per = stated.join(values, "insight_id", "left").withColumn("ok", grounded("stated", "values")).select(
+        "insight_id", F.size("stated").cast("long").alias("numbers"), F.size(F.filter("ok", lambda o: o)).cast("long").alias("grounded"),
+        F.sort_array(F.transform(F.filter(F.arrays_zip("stated", "ok"), lambda z: ~z["ok"]), lambda z: z["stated"]["path"])).alias("ungrounded"),
     )
     return ai.select("insight_id").join(per, "insight_id", "left").select(
         "insight_id", F.coalesce("numbers", F.lit(0)).alias("numbers"), F.coalesce("grounded", F.lit(0)).alias("grounded"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxatrend import schema as sc
+from taxatrend.functions.timefn import dated_instant
 
 # Coarse bounding box of Australia and its offshore waters.
 LAT, LON = (-44.0, -9.0), (112.0, 154.0)
@@ -30,7 +31,7 @@ def issues(as_of: str, event_text: Column | None = None) -> Column:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     where, day = "decimalLatitude/decimalLongitude", F.col("event_date")
     if event_text is not None:
-        day = F.try_to_timestamp(event_text)
+        day = dated_instant(event_text)
     given = day.isNotNull() if event_text is None else event_text.isNotNull()
     shown = day.cast("string") if event_text is None else event_text
     return F.array_compact(
@@ -66,7 +67,7 @@ def _conforms(v: Column, kind: str) -> Column:
         "boolean": t == "BOOLEAN",
         "integer": numeric & (n == F.floor(n)),
         "number": numeric,
-        "iso8601": (t == "STRING") & F.try_to_timestamp(F.try_variant_get(v, "$", "string")).isNotNull(),
+        "iso8601": (t == "STRING") & dated_instant(F.try_variant_get(v, "$", "string")).isNotNull(),
         "latitude": numeric & n.between(-90, 90),
         "longitude": numeric & n.between(-180, 180),
         "string[]": t.startswith("ARRAY")

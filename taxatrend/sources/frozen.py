@@ -17,26 +17,35 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """Page bodies (``page``, ``value``) -> one row per record with its position; a body that is no JSON fails."""
     body = F.from_json("value", f"occurrences array<{RAW}>", {"mode": "FAILFAST"})
     records = F.coalesce(body["occurrences"], F.array().cast(f"array<{RAW}>"))
-    return pages.select("page", F.posexplode(records).alias("pos", "raw"))
+    return pages.select(*[c for c in pages.columns if c != "value"], F.posexplode(records).alias("pos", "raw"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Search pages under a directory, one file each, named by the last path components."""
     pages = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.regexp_extract("_metadata.file_path", r"pages/(.*)$", 1)
-    return page_rows(pages.select(F.regexp_replace(name, "/[^/]*$", "").alias("page"), "value"))
+    return page_rows(pages.select(run_of_path(), F.regexp_replace(name, "/[^/]*$", "").alias("page"), "value"))
 
 
-def with_context(rows: DataFrame, manifest_pages: DataFrame, harvest_id: str) -> DataFrame:
-    """Add what the manifest says of each page: when it was fetched, and the run it belongs to."""
-    at = manifest_pages.select(F.col("file").alias("page"), F.to_timestamp("fetchedAt").alias("fetched_at"))
-    return rows.join(at, "page", "left").withColumn("harvest_id", F.lit(harvest_id))
+def run_of_path() -> Column:
+    """The run folder a file lies in; page names recur in every run."""
+    return F.regexp_extract("_metadata.file_path", r"run=([^/]+)/", 1).alias("run")
+
+
+def with_context(rows: DataFrame, manifest_pages: DataFrame) -> DataFrame:
+    """Add what its run's manifest says of each page: when it was fetched, and the harvest it belongs to.
+
+    Rows of runs without a manifest are left out: such a run is still being written.
+    """
+    at = manifest_pages.select("run", F.col("file").alias("page"), F.to_timestamp("fetchedAt").alias("fetched_at"))
+    runs = manifest_pages.select("run", F.col("harvestKey").alias("harvest_id")).distinct()
+    return rows.join(runs, "run").join(at, ["run", "page"], "left").drop("run")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per finished run. A run without a manifest is still being written and is not seen."""
     text = spark.read.text(f"{root}/run=*/manifest.json", wholetext=True)
-    return text.select(F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("m.*")
+    return text.select(run_of_path(), F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("run", "m.*")
 
 
 def newest_first(manifests: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def newest_run(manifests: DataFrame) -> DataFrame:
 
 
 def manifest_pages(manifests: DataFrame) -> DataFrame:
-    return manifests.select("runId", F.explode("pages").alias("p")).select("runId", "p.*")
+    return manifests.select("run", "runId", "harvestKey", F.explode("pages").alias("p")).select("run", "runId", "harvestKey", "p.*")
 
 
 def missing_pages(listed: DataFrame, found: DataFrame) -> DataFrame:
