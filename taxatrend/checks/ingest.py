@@ -133,7 +133,7 @@ def _(c: Corpus):
     return cells.select(F.date_format("period_start", "yyyy-MM").alias("month"), F.col("cell_lat").cast("double").alias("cell_lat"), F.col("cell_lon").cast("double").alias("cell_lon"), "records")
 
 
-@query("a20_effort_reconciliation", S.using("select month, cast(sum(records) + 10 as bigint) as total_records, cast(sum(records) + 5 as bigint) as in_cells, month || ': 5 of ' || cast(sum(records) + 10 as bigint) || ' records in no cell' as warning from facet where month < '1998-01' group by month", FACET))
+@query("a20_effort_reconciliation", S.using("select month, cast(sum(records) + 10 as bigint) as total_records, cast(sum(records) + 5 as bigint) as in_cells, month || ': 5 of its ' || cast(sum(records) + 10 as bigint) || ' records lack a cell' as warning from facet where month < '1998-01' group by month", FACET))
 def _(c: Corpus):
     f = fr.read_facets(c.spark, dv.write_facets(c))
     return ef.facet_gaps(f.select("month", "total_records"), ef.facet_cells(fr.facet_rows(f), "all", "facets"))
@@ -151,7 +151,7 @@ def _(c: Corpus):
     return listed.join(newest, "run_id", "left").fillna(False, ["newest"])
 
 
-@query("a21_slice_reconciliation", using(f"select run_id, expected, retrieved, case when run > 0 then 'slice ' || run_id || ' expected ' || expected || ' records but retrieved ' || retrieved end as warning from ({RUNS})"))
+@query("a21_slice_reconciliation", using(f"select run_id, expected, retrieved, case when run > 0 then run_id || ': ' || expected || ' records announced, ' || retrieved || ' received' end as warning from ({RUNS})"))
 def _(c: Corpus):
     m = fr.read_manifests(c.spark, dv.write_pages(c))
     expected = m.select(F.col("runId").alias("slice_key"), F.col("expectedRecords").alias("expected_records"))
@@ -198,9 +198,9 @@ def _(c: Corpus):
 @query("p2_mapping_trace", using("""select status, note, count(*) as n from (
   select case when k = 11 and ln = 4 and ok % 2 = 1 then 'empty_in_source' when k = 11 and ln = 4 then 'mapped' when l_partkey % 7 = 0 then 'derived' else 'mapped' end as status, cast(null as varchar) as note from delivered
   union all select case when l_partkey % 9 = 0 then 'derived' when l_partkey % 9 = 1 then 'empty_in_source' else 'absent_from_source' end, null from delivered
-  union all select case when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end, case when ln = 3 and ok % 25 = 0 then 'source value present but could not be interpreted' end from delivered
+  union all select case when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end, case when ln = 3 and ok % 25 = 0 then 'value given but unreadable' end from delivered
   union all select case when ln = 6 and ok % 10 = 1 then 'rejected' when ln = 7 then 'absent_from_source' else 'derived' end, 'epoch milliseconds or ISO text, kept as a UTC instant' from delivered
-  union all select case when ln = 1 or ln = 2 then case ln when 1 then 'derived' else 'mapped' end when ln = 3 then 'rejected' else 'absent_from_source' end, case when ln = 3 then 'source value present but could not be interpreted' end from delivered
+  union all select case when ln = 1 or ln = 2 then case ln when 1 then 'derived' else 'mapped' end when ln = 3 then 'rejected' else 'absent_from_source' end, case when ln = 3 then 'value given but unreadable' end from delivered
   union all select case when ln = 4 and ok % 30 = 2 then 'mapped' else 'derived' end, null from delivered) group by all"""))
 def _(c: Corpus):
     chosen = ["scientificName", "vernacularName", "decimalLatitude", "eventDate", "sourceAssertions", "individualCount"]

@@ -419,6 +419,11 @@ query("a11_notable_groups", S.using("select taxon_concept_id, place, records, ou
     )
 )
 
+query("a11_finding_members", S.using("select taxon_concept_id, coalesce(ibra_region, state_province, '') as place, record_id from why where outside_range or new_region or out_of_season", *NOTABLE))(
+    lambda c: nt.members(nt.checked(c.occurrences, c.records, c.datasets, c.tiers, c.p).filter("new_region or out_of_season or outside_range"))
+)
+
+
 P29 = """select summary from silent_nat union all select summary from silent_reg union all select summary from rate_reg union all select summary from co union all select summary from nt"""
 
 

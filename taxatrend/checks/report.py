@@ -159,7 +159,7 @@ NUM = "coalesce(format('{{:,}}', cast({e} as bigint)), '—')"
        when 'reporting_rate' then {RATIO.format(e='detection_ratio', b=1)} || case when d_low is not null then ' (95% CI ' || {RATIO.format(e='d_low', b=1)} || ' to ' || {RATIO.format(e='d_high', b=1)} || ')' else '' end
        when 'co_movement' then declines || ' / ' || increases || ' of ' || taxa_assessed
        when 'notable_record' then {NUM.format(e='records')} || ' records, ' || case when max_distance_to_prior_km is null then 'no earlier record' else {NUM.format(e='max_distance_to_prior_km')} || ' km' end end as key_figure,
-  case when insight_type = 'range_change' and share_stopped >= 0.5 then 'Likely artefact: ' || cast(floor(share_stopped * 100 + 0.5) as bigint) || '% of baseline records came from sources that stopped recording it' end as caveat from calc)"""))
+  case when insight_type = 'range_change' and share_stopped >= 0.5 then 'Doubtful: ' || cast(floor(share_stopped * 100 + 0.5) as bigint) || '% of the baseline is from sources that no longer report it' end as caveat from calc)"""))
 def _(c: Corpus):
     return rp.display_columns(ins(c)).select("insight_id", "label", "tone", "key_figure", "caveat")
 

@@ -134,11 +134,11 @@ silent_nat as (
          records_in_window, records_since_2015, {fx('mean_raw', 2)} as baseline_annual_mean, datasets,
          {fx('imprecise', 3)} as share_imprecise, {fx('managed', 3)} as share_managed,
          case when records_in_window = 0 then
-           {NAME} || ' (' || coalesce(national_status, 'status unknown') || ') has no record in the {p.lookback_months} months to {w.end}'
-           || coalesce('; last recorded ' || last_day || '.', '; no analysable record since {p.tier_since[:4]}.')
-           || case when records_since_2015 < {p.evidence_gap_max_records} then ' Only ' || records_since_2015 || ' records since {p.tier_since[:4]}.' else '' end
-         else {NAME} || ' (' || coalesce(national_status, 'status unknown') || ') has only ' || records_since_2015
-           || ' records since {p.tier_since[:4]} — too few to judge its trend.' end as summary
+           {NAME} || ' (' || coalesce(national_status, 'status unknown') || ') went unrecorded for the {p.lookback_months} months up to {w.end}'
+           || coalesce(', its latest record being of ' || last_day || '.', ', with no usable record from {p.tier_since[:4]} on.')
+           || case when records_since_2015 < {p.evidence_gap_max_records} then ' Its whole series counts ' || records_since_2015 || ' from {p.tier_since[:4]} on.' else '' end
+         else {NAME} || ' (' || coalesce(national_status, 'status unknown') || ') is known from just ' || records_since_2015
+           || ' records from {p.tier_since[:4]} on, which show no trend.' end as summary
   from silent_counts
   where records_in_window = 0 or records_since_2015 < {p.evidence_gap_max_records}
 ),
@@ -148,9 +148,9 @@ silent_reg as (
          cast(max(r.event_day) as varchar) as last_record_date,
          count(*) filter ({between('r.event_day', p.baseline)}) as baseline_records,
          count(*) as records_since_2015, count(distinct r.data_resource_uid) as datasets,
-         any_value({NAME}) || ' is still recorded nationally but not in ' || r.ibra_region || ' since ' || max(r.event_day)
-           || ', despite ' || count(*) filter ({between('r.event_day', p.baseline)})
-           || ' records there in {p.baseline.start[:4]}–{p.baseline.end[2:4]}.' as summary
+         any_value({NAME}) || ' is on record elsewhere, but its latest record in ' || r.ibra_region || ' is of ' || max(r.event_day)
+           || ', after ' || count(*) filter ({between('r.event_day', p.baseline)})
+           || ' in the baseline of {p.baseline.start[:4]}–{p.baseline.end[2:4]}.' as summary
   from rec r join taxa t using (taxon_concept_id)
   where r.ibra_region is not null and r.event_day <= date '{w.end}'
     and taxon_concept_id in (select taxon_concept_id from rec where {between('event_day', w)})
@@ -226,11 +226,11 @@ rate_{s} as (
          case when detection > 0 then {fx(f'detection * exp({p.z} * se_d)', 3)} end as d_high,
          enough as enough_detections, datasets, consistent_datasets,
          {fx('1 - nbc / nullif(nb, 0)', 3)} as share_stopped, {fx('er / nullif(eb, 0)', 3)} as footprint_effort_ratio,
-         {NAME} || coalesce(' in ' || nullif(region, ''), '') || ': reporting rate '
-         || {ratio_text('detection')} || ' — the share of cell-months with ' || case effort_group when 'all' then 'any' else effort_group end
-         || ' recording in its range that recorded it, {b.years} against {r.years} (' || db || ' → ' || dr
-         || ' detections from sources recording it in both; record rate ' || {ratio_text('consistent')} || ')'
-         || case when flag is not null then ' — flagged as ' || flag || '.' when enough then '.' else ' — too few detections to flag.' end as summary,
+         {NAME} || coalesce(' in ' || nullif(region, ''), '') || ': detections per visited cell-month '
+         || {ratio_text('detection')} || ' (visits with ' || case effort_group when 'all' then 'any' else effort_group end
+         || ' records in its range), {b.years} to {r.years}, ' || db || ' → ' || dr
+         || ' by sources active in both; records per effort ' || {ratio_text('consistent')}
+         || case when flag is not null then '; flag: ' || flag || '.' when enough then '.' else '; not enough detections for a flag.' end as summary,
          {NAME} as name, detection
   from ratios_{s} join taxa using (taxon_concept_id)
 )"""
@@ -292,10 +292,10 @@ co as (
          {sig3('p_d')} as p_decline, {sig3('p_i')} as p_increase, {sig3('q_d')} as q_decline, {sig3('q_i')} as q_increase,
          declining_groups, increasing_groups, declining_taxa, increasing_taxa, cast(total as bigint) as pairs_assessed,
          case when flag = 'co_increase' then increasing_taxa else declining_taxa end as related_taxa,
-         region || ': ' || kd || ' of ' || n || ' assessed threatened taxa declined in reporting rate and ' || ki
-         || ' increased, {b.years} against {r.years}'
-         || case flag when 'co_decline' then ' — more declines than expected (p ' || {sig3('p_d')} || '): ' || dn || '.'
-                      when 'co_increase' then ' — more increases than expected (p ' || {sig3('p_i')} || '): ' || inn || '.'
+         region || ': ' || kd || ' of ' || n || ' assessed taxa fell in detection rate, ' || ki
+         || ' rose, {b.years} to {r.years}'
+         || case flag when 'co_decline' then ', more falls than chance gives (p ' || {sig3('p_d')} || '): ' || dn || '.'
+                      when 'co_increase' then ', more rises than chance gives (p ' || {sig3('p_i')} || '): ' || inn || '.'
                       else '.' end as summary
   from co_q
 )"""
@@ -421,12 +421,12 @@ nt as (
          concat_ws(',', case when new_region then 'new_region' end, case when out_of_season then 'out_of_season' end, case when outside_range then 'outside_range' end) as reasons,
          national_status, records, record_ids, {ri('max_km')} as max_distance_to_prior_km, state_province, managed_records,
          {fx('imprecise / records', 3)} as share_imprecise, managed_records > 0 as managed, baseline_records,
-         {NAME} || ' in ' || coalesce(region, nullif(state_province, '') || ' (outside IBRA)', 'an unassigned area') || ', {p.report_month}: '
+         {NAME} || ' in ' || coalesce(region, nullif(state_province, '') || ' (no bioregion)', 'no assigned region') || ', {p.report_month}: '
          || records || ' record' || case records when 1 then '' else 's' end || ' '
-         || concat_ws('; ', case when new_region then 'first in this bioregion since {p.tier_since[:4]}' end,
-              case when out_of_season then 'outside its usual months' end, case when outside_range then 'more than {limit} km from any earlier record' end)
-         || case when max_km is not null and outside_range then ' (up to ' || {ri('max_km')} || ' km away)' else '' end
-         || case when managed_records > 0 then ' — ' || managed_records || ' from a managed population.' else '.' end as summary
+         || concat_ws('; ', case when new_region then 'new to the bioregion from {p.tier_since[:4]}' end,
+              case when out_of_season then 'in a month unusual for it' end, case when outside_range then 'over {limit} km away from every earlier record' end)
+         || case when max_km is not null and outside_range then ', at most ' || {ri('max_km')} || ' km' else '' end
+         || case when managed_records > 0 then '; ' || managed_records || ' of them managed.' else '.' end as summary
   from ng join taxa using (taxon_concept_id)
 )"""
 

@@ -60,5 +60,5 @@ def facet_gaps(totals: DataFrame, cells: DataFrame) -> DataFrame:
     missing = F.col("total_records") - F.col("in_cells")
     return out.filter(missing != 0).select(
         "month", "total_records", "in_cells",
-        F.format_string("%s: %d of %d records in no cell", "month", missing, F.col("total_records")).alias("warning"),
+        F.format_string("%s: %d of its %d records lack a cell", "month", missing, F.col("total_records")).alias("warning"),
     )

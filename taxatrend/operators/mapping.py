@@ -12,7 +12,7 @@ from taxatrend.functions.text import trim_space
 from taxatrend.functions.timefn import iso_utc, text_instant
 from taxatrend.operators.validate import issues, is_valid
 
-REJECTED_NOTE = "source value present but could not be interpreted"
+REJECTED_NOTE = "value given but unreadable"
 
 
 # First character of a JSON value -> kind; anything else is a number.

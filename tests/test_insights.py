@@ -59,7 +59,7 @@ def test_silent_taxon_without_records(spark, dims):
     none = rows["T2"]["figures"]
     assert (none["kind"], none["evidence_gap"], none["records_since_2015"], none["last_record_date"]) == ("silent", True, 0, None)
     assert rows["T2"]["confidence"]["share_imprecise"] is None
-    assert rows["T2"]["summary"] == "Sci two (status unknown) has no record in the 36 months to 2024-06-30; no analysable record since 2015. Only 0 records since 2015."
+    assert rows["T2"]["summary"] == "Sci two (status unknown) went unrecorded for the 36 months up to 2024-06-30, with no usable record from 2015 on. Its whole series counts 0 from 2015 on."
     assert rows["T1"]["figures"]["kind"] == "evidence_gap" and rows["T1"]["confidence"]["share_imprecise"] == 0.5
 
 
@@ -119,5 +119,5 @@ def test_notable_checks(spark, dims):
     # Three places without a region stay three findings of one taxon.
     assert sorted((r["taxon_concept_id"], r["region"] or "", r["figures"]["state_province"] or "") for r in out) == [("T1", "", ""), ("T1", "", "NT"), ("T1", "", "QLD"), ("T1", "R2", "NSW"), ("T2", "R1", "NSW")]
     lone = next(r for r in out if r["taxon_concept_id"] == "T2")
-    assert lone["summary"].endswith("more than 100 km from any earlier record — 1 from a managed population.") and lone["figures"]["max_distance_to_prior_km"] is None
-    assert any("an unassigned area" in r["summary"] for r in out) and any("QLD (outside IBRA)" in r["summary"] for r in out)
+    assert lone["summary"].endswith("over 100 km away from every earlier record; 1 of them managed.") and lone["figures"]["max_distance_to_prior_km"] is None
+    assert any("no assigned region" in r["summary"] for r in out) and any("QLD (no bioregion)" in r["summary"] for r in out)
