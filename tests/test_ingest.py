@@ -111,14 +111,76 @@ def test_only_ai_runs_have_a_brief(spark):
     assert [(r["status"], r["brief"]) for r in st.current_runs(log.unionByName(closed)).collect()] == [("done", "open")]
 
 
-def test_increments_in_several_batches(spark, tmp_path):
-    src = tmp_path / "pages"
-    batches = [[RECORDS[0], RECORDS[3]], [{**RECORDS[0], "scientificName": "renamed", "eventDate": 1609459200000}], [{"uuid": "z", "scientificName": "Z"}]]
-    ws = Workspace(spark, str(tmp_path / "ws"))
-    sink = inc.occurrence_sink(spark, ws.path("table"), ws.path("scratch"), "salt", "2021-01-01", "h")
-    for i, records in enumerate(batches):  # one delivery after the other; each restart takes only what is new
+def deliver(spark, root, batches, harvest, files_per_batch=1):
+    """Load deliveries one after the other; each restart takes only what is new."""
+    src, ws = root / "pages", Workspace(spark, str(root / "ws"))
+    for i, records in enumerate(batches):
+        sink = inc.occurrence_sink(spark, ws.path("table"), ws.path("scratch"), "salt", "2021-01-01", harvest(i))
         (src / f"page={i}").mkdir(parents=True)
         (src / f"page={i}" / "x.json").write_text(json.dumps({"occurrences": records}))
-        inc.load_increments(inc.page_stream(spark, str(src), 1), sink, ws.path("checkpoint")).awaitTermination()
-    got = sorted((r["record_id"], r["scientific_name"] or "") for r in spark.read.parquet(ws.path("table")).collect())
-    assert got == [("atlas:a", "renamed"), ("atlas:c", ""), ("atlas:z", "Z")]
+        if files_per_batch == 1 or i == len(batches) - 1:
+            inc.load_increments(inc.page_stream(spark, str(src), files_per_batch), sink, ws.path("checkpoint")).awaitTermination()
+    return sorted((r["record_id"], r["scientific_name"] or "") for r in spark.read.parquet(ws.path("table")).collect())
+
+
+BATCHES = [[RECORDS[0], RECORDS[3]], [{**RECORDS[0], "scientificName": "renamed", "eventDate": 1609459200000}], [{"uuid": "z", "scientificName": "Z"}]]
+
+
+def test_later_harvests_replace(spark, tmp_path):
+    assert deliver(spark, tmp_path, BATCHES, lambda i: f"h{i}") == [("atlas:a", "renamed"), ("atlas:c", ""), ("atlas:z", "Z")]
+
+
+def test_one_harvest_does_not_depend_on_batches(spark, tmp_path):
+    first = deliver(spark, tmp_path / "one", BATCHES, lambda i: "h")
+    assert first == [("atlas:a", "Aus bus"), ("atlas:c", ""), ("atlas:z", "Z")] == deliver(spark, tmp_path / "all", BATCHES, lambda i: "h", 10)
+
+
+def test_no_bare_times_and_own_grammar(spark):
+    from taxatrend.functions.timefn import text_instant
+    from taxatrend.operators.scoring import is_grounded, numeric_leaves, scored_number
+
+    texts = ["12:30", "2020-05-01", "2020-05-01T12:30:00Z", "0", "x", "2020", "05-2020"]
+    got = [r[0] is not None for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_instant(F.col("t"))).collect()]
+    assert got == [False, True, True, True, False, True, False]
+    numbers = spark.createDataFrame([(t,) for t in ("5", "-2.5e-3", "+5", "5.", ".5", "1e+5")], "t string").select(scored_number(F.col("t")))
+    assert [r[0] for r in numbers.collect()] == [5.0, -0.0025, None, None, None, None]
+    deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"x":5, "s{": "}]"}}}},"y":[1,[[2]]]}',)], "j string").select(F.lit(1).alias("k"), F.parse_json("j").alias("v"))
+    assert {(r.path, r.value) for r in numeric_leaves(deep, ["k"], "v").collect()} == {("a.b.c.d.x", 5.0), ("y[0]", 1.0), ("y[1][0][0]", 2.0)}
+
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+
+    def direct(x, places, values):
+        near = lambda c: abs(x - c) <= 0.001 * abs(c) or np.sign(c) * np.floor(abs(c) * 10.0**places + 0.5) / 10.0**places == x
+        pairs = ((a, b) for a, b in itertools.product(values, values) if b)
+        return any(map(near, values)) or any(near(c) for a, b in pairs for c in (a - b, a / b, (a - b) / b, (a - b) / b * 100, a / b * 100))
+
+    for _ in range(3000):
+        values = np.array([rng.choice([0, rng.randint(-50, 50), round(rng.uniform(-1e4, 1e4), 2)]) for _ in range(rng.randint(0, 5))], float)
+        places = rng.randint(0, 3)
+        x = round(rng.choice([0.0, rng.uniform(-60, 60), rng.uniform(-2, 2), rng.uniform(-1e4, 1e4)]), places)
+        ordered = np.unique(values)
+        assert is_grounded(x, places, values, ordered, ordered[ordered != 0]) == direct(x, places, values), (x, places, values)
+
+
+def test_page_context_is_by_run(spark):
+    from taxatrend.sources.frozen import with_context
+
+    rows = spark.createDataFrame([("1", "p", 0), ("2", "p", 0), ("3", "p", 0)], "run string, page string, pos int")
+    pages = spark.createDataFrame([("1", "p", "2020-01-01T00:00:00Z", "h1"), ("2", "p", "2020-02-01T00:00:00Z", "h2")], "run string, file string, fetchedAt string, harvestKey string")
+    assert sorted((r.harvest_id, r.fetched_at.month) for r in with_context(rows, pages).collect()) == [("h1", 1), ("h2", 2)]
+
+
+def test_only_window_years_are_read(spark, tmp_path):
+    from taxatrend.functions.timefn import in_any_window
+    from taxatrend.params import Window
+
+    df = spark.createDataFrame([(y, f"{y}-06-01") for y in range(2000, 2010)], "event_year int, d string").select("event_year", F.col("d").cast("date").alias("event_day"))
+    df.write.partitionBy("event_year").parquet(str(tmp_path / "t"))
+    got = in_any_window(spark.read.parquet(str(tmp_path / "t")), Window("2001-01-01", "2002-12-31"), Window("2007-01-01", "2007-12-31"))
+    assert sorted(r.event_year for r in got.collect()) == [2001, 2002, 2007]
+    assert "PartitionFilters: []" not in got._jdf.queryExecution().toString()
