@@ -96,7 +96,7 @@ BULK = """select ok || ':' || ln as uuid, case when ln <> 4 then 'Genus species'
 def _(c: Corpus):
     df, heads = bulk(c)
     t = lambda f: F.try_element_at("text", F.lit(f))
-    return fr.bulk_rows(df, heads).select(
+    return fr.bulk_rows(fr.require_alignment(df), heads).select(
         t("uuid").alias("uuid"), t("scientificName").alias("scientific_name"), t("occurrenceRemarks").alias("remarks"), F.array_join("assertions", ",").alias("assertions")
     )
 
@@ -115,7 +115,7 @@ query("s8_archive_row_count", "select count(*) as n from lineitem")(lambda c: bu
 @query("c2_bulk_adapt", "select 'atlas:' || l_orderkey || ':' || l_linenumber as record_id, case when l_linenumber <> 4 then 'Genus species' || (l_partkey % 120) end as scientific_name, l_linenumber <> 4 as is_valid, concat_ws(',', case when l_linenumber = 2 then 'TAXON_MISSING' end, case when l_orderkey % 3 = 0 then 'ZERO_COORDINATE' end) as assertions from lineitem")
 def _(c: Corpus):
     df, heads = bulk(c)
-    raw = fr.bulk_raw(fr.bulk_rows(df, heads)).withColumns({"harvest_id": F.lit("bulk"), "fetched_at": F.lit(None).cast("timestamp")})
+    raw = fr.bulk_raw(fr.bulk_rows(fr.require_alignment(df), heads)).withColumns({"harvest_id": F.lit("bulk"), "fetched_at": F.lit(None).cast("timestamp")})
     return mp.adapt(raw, dv.SALT, dv.AS_OF).select("record_id", "scientific_name", "is_valid", F.array_join("source_assertions", ",").alias("assertions"))
 
 

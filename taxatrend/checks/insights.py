@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from taxatrend.checks import sql as S
@@ -19,6 +21,8 @@ from taxatrend.operators import reporting_rate as rr
 from taxatrend.operators import silent as si
 from taxatrend.operators.hull import extent_km2
 from taxatrend.operators.insight import flatten
+from taxatrend.sources import store as st
+from taxatrend.workspace import write
 
 DATES = ["period_start", "period_end"]
 
@@ -133,6 +137,17 @@ def _(c: Corpus):
     return cu.managed_changes(flagged, c.rules).select("record_id", "managed_by_rule", "was_managed")
 
 
+@query("k7_managed_flags_written", S.using(f"select count(*) filter ({RULE_HIT} <> (l_linenumber = 2)) as changed, 0 as changed_again, count(*) filter ({RULE_HIT}) as managed, count(*) as records from occ o"))
+def _(c: Corpus):
+    path, scratch = (c.ws.path(f"flags-{uuid.uuid4().hex}/{x}") for x in ("table", "scratch"))
+    write(c.occurrences.withColumn("managed_by_rule", F.col("source_record_id").endswith(":2")), path, partition_by="event_year")
+    first = st.write_managed_flags(c.spark, path, c.rules, scratch)
+    again = st.write_managed_flags(c.spark, path, c.rules, scratch)
+    return c.spark.read.parquet(path).agg(
+        F.lit(first).alias("changed"), F.lit(again).alias("changed_again"), F.count_if("managed_by_rule").alias("managed"), F.count("*").alias("records")
+    )
+
+
 @query("p24_not_telemetry_null_safe", S.using("select count(*) as n, count(data_resource_uid) as with_dataset from (select case when l_linenumber = 5 then null else data_resource_uid end as data_resource_uid from occ) where coalesce(data_resource_uid <> 'd0', true)"))
 def _(c: Corpus):
     anon = c.occurrences.withColumn("data_resource_uid", F.when(~F.col("source_record_id").endswith(":5"), F.col("data_resource_uid")))

@@ -102,8 +102,16 @@ def check_headers(bulk: DataFrame) -> DataFrame:
     ).filter((F.col("headers") != 1) | (F.col("too_wide") > 0))
 
 
+def require_alignment(bulk: DataFrame) -> DataFrame:
+    """``bulk`` itself; a file whose header or width is not that of the headings ends the load."""
+    bad = check_headers(bulk).limit(5).collect()
+    if bad:
+        raise ValueError("columns do not line up with the headings in " + ", ".join(f"{r.file} ({r.headers} headers, {r.too_wide} rows too wide)" for r in bad))
+    return bulk
+
+
 def bulk_rows(bulk: DataFrame, headings: list[dict]) -> DataFrame:
-    """Data rows as raw maps, the way a search page would give them.
+    """Data rows as raw maps, the way a search page would give them. Loads pass ``bulk`` through ``require_alignment`` first.
 
     Empty cells are absent; set quality flags fold into ``assertions``; ``id`` becomes ``uuid`` when there is none.
     """

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taxatrend.operators.curation import managed_changes, managed_flag
 from taxatrend.workspace import write
 
 
@@ -136,7 +137,25 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 
 def append_insights(packed: DataFrame, path: str) -> None:
-    append(packed, path, ["run_id", "insight_type"])
+    """Add a run's insights. The partitions of its run and types are replaced, so a write that is repeated doubles nothing."""
+    packed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "insight_type").parquet(path)
+
+
+def write_managed_flags(spark: SparkSession, path: str, rules: DataFrame, scratch: str, part: str = "event_year") -> int:
+    """Bring ``managed_by_rule`` of a stored table in line with the rules; returns how many records changed.
+
+    Only partitions with a changed record are rewritten, each row in its place: a flag depends on its row and the rules
+    alone. A second call changes nothing. The partitions concerned, few by nature, come to the driver.
+    """
+    stored = spark.read.parquet(path)
+    changed = managed_changes(stored, rules).groupBy(part).agg(F.count("*").alias("n")).collect()
+    if not changed:
+        return 0
+    aside = f"{scratch}/flags-{uuid.uuid4().hex}"
+    write(managed_flag(stored.filter(F.col(part).isin([r[part] for r in changed])), rules), aside, partition_by=part)
+    fresh = spark.read.schema(stored.schema).parquet(aside)
+    fresh.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return sum(r["n"] for r in changed)
 
 
 RUN_LOG = "run_id string, arm string, brief string, params string, corpus string, model string, prompt_version string, temperature double, usage string, status string, error string, started_at timestamp, finished_at timestamp, at timestamp"

@@ -82,7 +82,9 @@ def test_misaligned_header_is_found(spark, tmp_path):
     heads = [{"label": "Record ID", "field": "id", "flag": False}, {"label": "Name", "field": "n", "flag": False}]
     bulk = fr.read_bulk(spark, str(tmp_path), heads)
     assert [r["file"].rsplit("/", 1)[1] for r in fr.check_headers(bulk).collect()] == ["data_1.csv"]
-    first = fr.bulk_rows(bulk.filter("file like '%data.csv'"), heads).first()
+    with pytest.raises(ValueError, match="data_1.csv"):
+        fr.require_alignment(bulk)
+    first = fr.bulk_rows(fr.require_alignment(bulk.filter("file like '%data.csv'")), heads).first()
     assert first["text"] == {"uuid": "1", "n": "a\nb"} and first["assertions"] is None
 
 
