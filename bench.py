@@ -20,7 +20,7 @@ LOAD = ["taxa", "datasets", "rules", "occurrences", "effort", "tiers", "visits"]
 QUERIES = [
     "i1_silent_national", "i1_silent_regional", "i2_range_change_aoo", "i2_range_change_full", "i3_reporting_rate_national", "i3_reporting_rate_regional",
     "i4_co_movement", "i5_notable_records", "j9_nearest_prior", "a8_extent_of_occurrence", "j3_taxon_tiers", "j8_managed_rule_match", "a24_corpus_facts", "a27_monthly_currency",
-    "s1_paged_json_scan", "p9_canonical_projection", "a13_field_coverage", "k1_merge_partitions", "a14_free_text_bands",
+    "s1_paged_json_scan", "p9_canonical_projection", "a13_field_coverage", "k1_merge_partitions", "a14_free_text_bands", "c2_bulk_adapt", "j24_grounded_numbers", "a33_grounding_rates",
 ]
 
 
