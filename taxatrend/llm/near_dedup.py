@@ -3,8 +3,9 @@
 At a similarity of 0.8 the fingerprints of whole documents differ in about ten of 64 bits, too many for an equi-join. So
 each document also has SimHash fingerprints of a few samples of its shingles (the three with the smallest hashes in each
 of eight orders): near copies agree in at least one of eight with a probability of 0.997 at similarity 0.8, more above.
-Documents that agree in one, and those whose whole fingerprints are linked at two bits, are candidates. Sizes and the
-chain test on the whole fingerprints prune them; the exact similarity of the shingle sets decides.
+Documents that agree in one, and those whose whole fingerprints are linked at two bits, are candidates. All fingerprints
+are of the different shingles, as the similarity is. Sizes prune candidates, which loses none; the exact similarity of the
+shingle sets decides.
 """
 
 from __future__ import annotations
@@ -26,14 +27,11 @@ ORDERS, SAMPLED = 8, 3
 MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * g + 1)) % (1 << 64) | 1 for g in range(ORDERS)], np.uint64)
 #: Candidates that agree in a sample meet in pairs up to this number; beyond it each meets the HUBS of the sample.
 PAIRED, HUBS = 48, 6
-#: Bits in which whole fingerprints may differ: at similarity 0.8 ten are expected, and over twenty in one pair of thousands.
-WHOLE_BITS = 20
 
 
 def sketch(text: str, words: int) -> tuple[int, int, list[int]]:
     """Number of different shingles, whole fingerprint, and one fingerprint for each sample."""
-    h = simhash.shingle_hashes(text, words)
-    u = np.unique(h)
+    u = np.unique(simhash.shingle_hashes(text, words))
     samples = []
     for m in MULTIPLIERS:
         with np.errstate(over="ignore"):
@@ -43,7 +41,7 @@ def sketch(text: str, words: int) -> tuple[int, int, list[int]]:
         least = np.argpartition(mixed, SAMPLED)[:SAMPLED] if len(u) > SAMPLED else slice(None)
         # A sample's shingles are hashed anew, as the small hashes of one order share their high bits.
         samples.append(simhash.fingerprint_of(mixed[least] * np.uint64(0x94D049BB133111EB)))
-    return len(u), simhash.fingerprint_of(h), samples
+    return len(u), simhash.fingerprint_of(u), samples
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -74,17 +72,16 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def may_be_similar(similarity: float) -> Column:
-    """Whether sizes and whole fingerprints of a and b allow the similarity."""
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    return (small >= large * F.lit(similarity)) & (simhash.differing(F.col("a_fp"), F.col("b_fp")) <= WHOLE_BITS)
+    """Whether the sizes of a and b allow the similarity."""
+    return F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity)
 
 
 def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
     """Different pairs (a, b), a < b, that may be similar."""
-    one = sketched.select("doc_id", "size", "fp", F.posexplode("samples").alias("g", "sample"))
+    one = sketched.select("doc_id", "size", F.posexplode("samples").alias("g", "sample"))
     crowded = one.groupBy("g", "sample").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(one.join(crowded, ["g", "sample"]), "near-buckets")
-    side = lambda df, s: df.select("g", "sample", F.col("doc_id").alias(s), F.col("size").alias(f"{s}_size"), F.col("fp").alias(f"{s}_fp"))
+    side = lambda df, s: df.select("g", "sample", F.col("doc_id").alias(s), F.col("size").alias(f"{s}_size"))
     few, many = shared.filter(F.col("members") <= PAIRED), shared.filter(F.col("members") > PAIRED)
     rank = F.row_number().over(Window.partitionBy("g", "sample").orderBy(F.xxhash64("g", "doc_id"), "doc_id"))
     hubs = written(many.withColumn("rank", rank).filter(F.col("rank") <= HUBS).drop("rank"), "near-hubs")

@@ -104,6 +104,19 @@ def test_near_pairs_against_brute_force(spark, group):
     assert same >= 0.99 * len(linked) and set(groups) <= linked
 
 
+def test_near_pairs_with_a_repeated_passage(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts = {}
+    for k in range(12):
+        body, passage = " ".join(word() for _ in range(150)), " ".join(word() for _ in range(8)) + " "
+        texts |= {2 * k: f"{body} {passage}", 2 * k + 1: f"{body} {passage * 500}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts)
+    assert want == {(2 * k, 2 * k + 1) for k in range(12)}
+    assert {(r.a, r.b) for r in near_dedup.similar_pairs(docs).collect()} == want
+
+
 def test_drop_near_keeps_columns_and_odd_rows(spark, odd):
     clash = odd.withColumnRenamed("score", "gone").withColumnRenamed("source", "a.b")
     kept = near_dedup.drop_near(clash)
