@@ -3,8 +3,9 @@
 At a similarity of 0.8 the fingerprints of whole documents differ in about ten of 64 bits, too many for an equi-join. So
 each document also has SimHash fingerprints of a few samples of its shingles (the three with the smallest hashes in each
 of eight orders): near copies agree in at least one of eight with a probability of 0.997 at similarity 0.8, more above.
-Documents that agree in one, and those whose whole fingerprints are linked at two bits, are candidates. All fingerprints
-are of the different shingles, as the similarity is. Sizes prune candidates, which loses none; the exact similarity of the
+Documents that agree in one, and those whose whole fingerprints are linked at two bits, are candidates. Where many
+documents agree in a sample, they meet a few of it, and those still in different groups meet over prefixes of their rarest
+shingles, which miss no similar pair. All fingerprints are of the different shingles, as the similarity is. Sizes prune candidates, which loses none; the exact similarity of the
 shingle sets decides.
 """
 
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,14 @@ from taxatrend.llm.exact_dedup import split_by_filter
 WORDS, SIMILARITY = 5, 0.8
 ORDERS, SAMPLED = 8, 3
 MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * g + 1)) % (1 << 64) | 1 for g in range(ORDERS)], np.uint64)
-#: Candidates that agree in a sample meet in pairs up to this number; beyond it each meets the HUBS of the sample.
+#: Candidates that agree in a sample meet in pairs up to this number; beyond it each meets the HUBS of the sample, and then all others that are not yet in its group over rare shingles.
 PAIRED, HUBS = 48, 6
+#: Shingles are ordered by the counts of so many slots.
+SLOTS = 1 << 20
 
 
-def sketch(text: str, words: int) -> tuple[int, int, list[int]]:
-    """Number of different shingles, whole fingerprint, and one fingerprint for each sample."""
+def sketch(text: str, words: int) -> tuple[int, int, list[int], int]:
+    """Number of different shingles, whole fingerprint, one fingerprint for each sample, and a hash of the set."""
     u = np.unique(simhash.shingle_hashes(text, words))
     samples = []
     for m in MULTIPLIERS:
@@ -41,7 +45,7 @@ def sketch(text: str, words: int) -> tuple[int, int, list[int]]:
         least = np.argpartition(mixed, SAMPLED)[:SAMPLED] if len(u) > SAMPLED else slice(None)
         # A sample's shingles are hashed anew, as the small hashes of one order share their high bits.
         samples.append(simhash.fingerprint_of(mixed[least] * np.uint64(0x94D049BB133111EB)))
-    return len(u), simhash.fingerprint_of(u), samples
+    return len(u), simhash.fingerprint_of(u), samples, xxhash.xxh64_intdigest(u.astype("<u8").tobytes()) - (1 << 63)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -51,11 +55,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             found = [sketch(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "size", "fp", "samples"],
+                [b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.int64())],
+                ["doc_id", "size", "fp", "samples", "shingle_key"],
             )
 
-    return map_arrow(docs, read, f"doc_id {kind}, size bigint, fp bigint, samples array<bigint>")
+    return map_arrow(docs, read, f"doc_id {kind}, size bigint, fp bigint, samples array<bigint>, shingle_key bigint")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -76,9 +80,13 @@ def may_be_similar(similarity: float) -> Column:
     return F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity)
 
 
-def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
-    """Different pairs (a, b), a < b, that may be similar."""
-    one = sketched.select("doc_id", "size", F.posexplode("samples").alias("g", "sample"))
+def candidates(sketched: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Different pairs (a, b), a < b, that may be similar, and the documents (doc_id) of crowded samples.
+
+    In a crowded sample only HUBS members are paired with all others. This joins most of a family of near copies, so that
+    ``pairs_between`` has little left to find; it stands for no pair that is not met.
+    """
+    one = sketched.select("doc_id", "size", "shingle_key", F.posexplode("samples").alias("g", "sample"))
     crowded = one.groupBy("g", "sample").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(one.join(crowded, ["g", "sample"]), "near-buckets")
     side = lambda df, s: df.select("g", "sample", F.col("doc_id").alias(s), F.col("size").alias(f"{s}_size"))
@@ -94,28 +102,119 @@ def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
     first = nodes.select("fp", "first")
     linked = by_fp.join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y").select("a", "b")
     same = sketched.join(nodes.filter("members > 1").select("fp", "first"), "fp").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    every = met.unionByName(linked).unionByName(same).filter("a != b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Equal shingle sets are linked to the smallest id, which alone meets others in place of a crowded sample.
+    sets = written(sketched.groupBy("shingle_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "near-equal")
+    equal = sketched.join(sets.filter("members > 1"), "shingle_key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    every = met.unionByName(linked).unionByName(same).unionByName(equal).filter("a != b")
+    alone = many.select("shingle_key").distinct().join(sets, "shingle_key").select(F.col("first").alias("doc_id")).distinct()
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), alone
 
 
-def similar_pairs(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ``docs`` (doc_id, text) whose shingle sets have the Jaccard similarity or more."""
-    sketched = written(sketches(docs, words), "near-sketches")
-    pairs = written(candidates(sketched, similarity), "near-pairs")
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of the ``wanted`` documents (doc_id, written); only their texts move."""
+    asked, _ = split_by_filter(docs, "doc_id", wanted)
+    return written(shingle_sets(asked.join(wanted, "doc_id", "left_semi").select(docs.columns), words), "near-sets").dropDuplicates(["doc_id"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b; written) whose shingle sets are similar."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
-    asked, _ = split_by_filter(docs, "doc_id", wanted)  # only these texts move
-    sets = written(shingle_sets(asked.join(wanted, "doc_id", "left_semi").select(docs.columns), words), "near-sets").dropDuplicates(["doc_id"])
+    sets = sets_of(docs, wanted, words)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     whole = F.size("x") + F.size("y") - common
     return both.filter((whole == 0) | (common >= whole * F.lit(similarity))).select("a", "b")
 
 
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return shingles.view(np.uint32) & np.uint32(SLOTS - 1)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur in ``sets``; at most SLOTS numbers, however many shingles there are."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            total += np.bincount(slots(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32)), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)], pa.int64()), pa.array(total[at[k : k + (1 << 16)]], pa.int64())], ["slot", "n"])
+
+    found = map_arrow(sets, read, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(shingle, doc_id, place, size, short): the rarest shingles of each set, in one order for all, by which any similar set is met.
+
+    Two sets that overlap in o shingles have the first common one, in any order, at a place of at most size - o in each.
+    At the similarity o is at least similarity * size of the larger set, and 2 * similarity / (1 + similarity) * size of
+    the smaller: its places, the ``short`` prefix, are fewer. Shingles alone in their slot are in no other set.
+    """
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, parts = [], []
+            for at, shingles in enumerate(b.column(1)):
+                u = shingles.values.to_numpy(zero_copy_only=False).astype(np.int32)
+                often = counts[slots(u)]
+                order = np.lexsort((u, often))[: int((1 - similarity) * len(u) + 1e-6) + 1]
+                place = np.flatnonzero(often[order] > 1)
+                short = place <= int((1 - similarity) / (1 + similarity) * len(u) + 1e-6)
+                ids.append(np.full(len(place), at))
+                parts.append((u[order[place]], place, np.full(len(place), len(u)), short))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * 4
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            shingle, place, size, short = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)]
+            owner = b.column(0).take(pa.array(np.concatenate(ids) if ids else np.empty(0, int), pa.int64()))
+            yield pa.RecordBatch.from_arrays([shingle, owner, place, size, short], ["shingle", "doc_id", "place", "size", "short"])
+
+    return map_arrow(sets, read, f"shingle int, doc_id {kind}, place bigint, size bigint, short boolean")
+
+
+def pairs_between(docs: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``members`` (doc_id, written), a < b, in different groups of ``links``, that may be similar: none is missing.
+
+    Members meet over their rarest shingles; those that all members of one group alone share are left out.
+    """
+    sets = written(sets_of(docs, members, words), "near-crowd")
+    roots = written(components(links), "near-roots").toDF("doc_id", "root")
+    posted = prefixes(sets, slot_counts(sets), similarity).join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    posted = written(posted, "near-postings")
+    mixed = posted.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("shingle")
+    left = written(posted.join(mixed, "shingle"), "near-mixed")
+    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "place", "size", "root")])
+    met = side(left, "a").join(side(left.filter("short"), "b"), "shingle").filter("a_doc_id != b_doc_id AND a_root != b_root AND b_size <= a_size")
+    overlap = (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    met = met.filter(may_be_similar(similarity) & (F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= overlap))
+    return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+
+
+def similar_pairs(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (doc_id, text) whose shingle sets have the Jaccard similarity or more.
+
+    Of the members of crowded samples only as many pairs are given as join their groups.
+    """
+    sketched = written(sketches(docs, words), "near-sketches")
+    pairs, crowd = candidates(sketched, similarity)
+    links = verified(docs, written(pairs, "near-pairs"), words, similarity)
+    crowd = written(crowd, "near-crowded")
+    if crowd.isEmpty():
+        return links
+    links = written(links, "near-met")
+    more = written(pairs_between(docs, crowd, links, words, similarity), "near-between")
+    return links.unionByName(verified(docs, more, words, similarity))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with a link: doc_id, component_id (smallest id of its group), links (pairs found with it).
 
     Links are verified exactly, so no document is grouped wrongly; a pair that agrees in no sample (three in a thousand
-    at the threshold, fewer above) or that met only hubs it is not similar to can be missed. Documents with fewer words
+    at the threshold, fewer above) can be missed. Documents with fewer words
     are one shingle; those without any word are all alike. Null text counts as empty, a null id takes no part, rows that
     repeat an id are told apart by nothing. Extra columns are ignored.
     """

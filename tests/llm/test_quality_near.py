@@ -104,6 +104,42 @@ def test_near_pairs_against_brute_force(spark, group):
     assert same >= 0.99 * len(linked) and set(groups) <= linked
 
 
+def star(variants, n=400, changed=8, seed=2):
+    """An original and variants that each change it in other places: near copies of it, but not of one another."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(n)]
+    texts = {0: " ".join(base)}
+    for v in range(1, variants + 1):
+        w = list(base)
+        for i in rng.sample(range(0, n, 5), changed):
+            w[i] = f"v{v}x{i}"
+        texts[v] = " ".join(w)
+    return texts
+
+
+def family(members, n=300, shared=0.8, seed=3):
+    """Texts that share one long passage; every second is a near copy of the one before it."""
+    rng = random.Random(seed)
+    passage, texts = [f"p{i}" for i in range(int(n * shared))], {}
+    for m in range(members):
+        own = [f"o{m // 2}x{i}" for i in range(n - len(passage))]
+        if m % 2:
+            own[rng.randrange(len(own))] = f"c{m}"
+        texts[m] = " ".join(passage + own)
+    return texts
+
+
+@pytest.mark.parametrize("texts", [star(150), family(160)], ids=["star", "family"])
+def test_crowded_samples_lose_no_link(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts)
+    assert len(texts) / 2 <= len(want) < len(texts)
+    samples = {i: near_dedup.sketch(t, 5)[2] for i, t in texts.items()}
+    unmet = {(a, b) for a, b in want if not any(x == y for x, y in zip(samples[a], samples[b]))}  # three in a thousand agree in no sample
+    assert len(unmet) <= 1
+    assert want - unmet <= {(r.a, r.b) for r in near_dedup.similar_pairs(docs).collect()} <= want
+
+
 def test_near_pairs_with_a_repeated_passage(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
