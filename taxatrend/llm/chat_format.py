@@ -3,7 +3,7 @@
 A legal conversation is an optional system turn and then user and assistant in turn, ending with the assistant. Each given
 turn may be kept, relabelled, merged into the turn before it, or preceded by an empty inserted turn, each at a cost. With
 the last rendered role as state, a turn is a small matrix of costs, and a stretch of turns is their (min, +) product: so
-a conversation of any length is cut into chunks by turn number, chunks are multiplied in groups, level by level, and the
+a conversation of any length is cut into chunks of so many rows, chunks are multiplied in groups, level by level, and the
 cheapest path is handed down again from the whole to the chunks and from chunks to turns. No task holds more than a chunk.
 """
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,7 +26,7 @@ ROLES = ["system", "user", "assistant"]
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: [SYSTEM, USER], SYSTEM: [USER], USER: [ASSISTANT], ASSISTANT: [USER]}
 NEVER = 1 << 40
-#: Turn numbers of a chunk, and chunks of a group one level up.
+#: Rows of a chunk, and chunks of a group one level up.
 SPAN = 256
 
 
@@ -124,39 +125,67 @@ def known_role(role: Column) -> Column:
     return F.when(name.isin(ROLES), name).otherwise("other")
 
 
-def distinct_turns(rows: list[tuple], key) -> list[tuple]:
-    """Rows that repeat the one before them whole are the same turn."""
-    return [r for i, r in enumerate(rows) if not i or key(r) != key(rows[i - 1])]
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``: from 0 within each conv_id, in the order of turn, given and h.
+
+    Rows are dealt by ranges of all four, so a long conversation is spread. Each range numbers its own runs of equal
+    conv_id; what the first run of a range continues is known from one row per range.
+    """
+    order = ["conv_id", "turn", "given", "h"]
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("number bigint, run bigint, part int").fields])
+    at = rows.columns.index("conv_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, run, number = TaskContext.get().partitionId(), None, -1, 0
+        for b in batches:
+            numbers, runs = [], []
+            for conv in map(repr, b.column(at).to_pylist()):
+                run, number = (run, number + 1) if conv == last else (run + 1, 0)
+                last = conv
+                numbers.append(number)
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64()), pa.array(runs, pa.int64()), pa.array([part] * len(runs), pa.int32())], schema.names)
+
+    own = written(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), read, schema), "chat-runs")
+    ends = own.groupBy("part").agg(
+        F.min_by("conv_id", "run").alias("first"), F.max_by("conv_id", "run").alias("last"), F.max("run").alias("runs"),
+        F.max(F.struct("run", "number")).alias("end"),
+    )
+    carried, before, tail = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r.part):
+        carry = tail if repr(r.first) == before else 0
+        carried.append((r.part, carry))
+        before, tail = repr(r.last), r.end.number + 1 + (carry if r.runs == 0 else 0)
+    known = rows.sparkSession.createDataFrame(carried, "part int, carry bigint")
+    whole = F.col("number") + F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
+    return own.join(F.broadcast(known), "part", "left").select(*rows.columns, whole.alias("number"))
 
 
 def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|{role}|>\n", end: str = "<|end|>\n", joint: str = "\n\n") -> DataFrame:
     """``turns`` (conv_id, turn, role, text) -> one row per turn, in order of position within its conversation.
 
     conv_id, turn, given_role, role (rendered), merged, inserted (the empty turn before it, or null), cost, rendered,
-    position (chunk * 2^20 + place). The ``rendered`` of a conversation's rows, one after the other, are its formatted
+    position (its number in the conversation, from 0). The ``rendered`` of a conversation's rows, one after the other, are its formatted
     text. Roles are read without case and outer blanks; null or unknown ones are "other", null texts are empty. Turns are
     ordered by number (null counts as -1), role and a hash of the text; a row repeated whole is one turn. Turns without conv_id
-    make up one conversation. At most 2 * SPAN turn numbers meet in a task. Extra columns are ignored.
+    make up one conversation. At most SPAN rows of a conversation are held at once. Extra columns are ignored.
     """
     configure(turns.sparkSession)
     rules = Automaton(costs or Costs())
-    # Division towards zero keeps the order and brings all chunks of a conversation together in the end.
     over = lambda c: F.expr(f"{c} div {SPAN}").cast("long")
-    rows = written(
-        turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), known_role(F.col("role")).alias("given"), whole_text(F.col("text")).alias("text"))
-        .withColumns({"chunk": over("turn"), "h": F.xxhash64("text")}), "chat-turns",
-    )
+    plain = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), known_role(F.col("role")).alias("given"), whole_text(F.col("text")).alias("text"))
+    different = plain.withColumn("h", F.xxhash64("text")).dropDuplicates(["conv_id", "turn", "given", "h"])
+    rows = written(numbered(different).withColumn("chunk", over("number")), "chat-turns")
     kind = rows.schema["conv_id"].dataType.simpleString()
     cells = f"conv_id {kind}, chunk bigint, cells array<bigint>"
-    same = lambda r: r[2:5]
 
     def turn_product(key: tuple, found: list[tuple]) -> list[tuple]:
-        return [(*key, flat(rules.product([rules.cost[r[3]] for r in distinct_turns(found, same)])))]
+        return [(*key, flat(rules.product([rules.cost[r[3]] for r in found])))]
 
     def chunk_product(key: tuple, found: list[tuple]) -> list[tuple]:
         return [(*key, flat(rules.product([square(r[3]) for r in found])))]
 
-    levels = [written(by_group(rows.select("conv_id", "chunk", "turn", "given", "h"), ["conv_id", "chunk"], ["turn", "given", "h"], turn_product, cells), "chat-chunks")]
+    levels = [written(by_group(rows.select("conv_id", "chunk", "number", "given"), ["conv_id", "chunk"], ["number"], turn_product, cells), "chat-chunks")]
     while levels[-1].groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         up = levels[-1].select("conv_id", over("chunk").alias("up"), "chunk", "cells")
         levels.append(written(by_group(up, ["conv_id", "up"], ["chunk"], chunk_product, cells), "chat-chunks"))
@@ -178,7 +207,6 @@ def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|
         paths = by_group(met.select("conv_id", "up", "chunk", "cells", "entry", "exit", "is_last"), ["conv_id", "up"], ["chunk"], hand_down, path)
 
     def render(key: tuple, found: list[tuple]) -> list[tuple]:
-        found = distinct_turns(found, same)
         states = rules.walk([rules.cost[r[3]] for r in found], found[0][6], found[0][7])
         out, before = [], found[0][6]
         for place, (r, state) in enumerate(zip(found, states)):
@@ -196,13 +224,13 @@ def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|
                 while state != ASSISTANT:
                     state = NEXT[state][0]
                     text += header.format(role=ROLES[state - 1]) + end
-            out.append((key[0], r[2], r[3], role, way == 1, ROLES[between - 1] if way == 2 else None, int(cost), text, key[1] * (1 << 20) + place))
+            out.append((key[0], r[2], r[3], role, way == 1, ROLES[between - 1] if way == 2 else None, int(cost), text, r[4]))
             before = states[place]
         return out
 
     done = written(paths, "chat-paths").toDF("c", "k", "entry", "exit", "is_last")
     met = rows.join(done, rows.conv_id.eqNullSafe(F.col("c")) & (rows.chunk == F.col("k")))
     return by_group(
-        met.select("conv_id", "chunk", "turn", "given", "h", "text", "entry", "exit", "is_last"), ["conv_id", "chunk"], ["turn", "given", "h"], render,
+        met.select("conv_id", "chunk", "turn", "given", "number", "text", "entry", "exit", "is_last"), ["conv_id", "chunk"], ["number"], render,
         f"conv_id {kind}, turn bigint, given_role string, role string, merged boolean, inserted string, cost bigint, rendered string, position bigint",
     )

@@ -72,3 +72,19 @@ def test_null_turns_and_repeated_numbers(spark):
     rows = sorted(chat_format.format_chats(df).collect(), key=lambda r: r.position)
     assert [(r.turn, r.given_role) for r in rows] == [(-1, "user"), (0, "assistant"), (0, "user")]
     legal("".join(r.rendered for r in rows))
+
+
+def test_one_turn_number_for_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "SPAN", 8)
+    held, group = [], chat_format.by_group
+    monkeypatch.setattr(chat_format, "by_group", lambda df, keys, *rest: held.append(df.groupBy(*keys).count().agg({"count": "max"}).first()[0]) or group(df, keys, *rest))
+    df = spark.createDataFrame([(None if i % 3 else 7, None if i % 2 else 4, "user", f"text {i}") for i in range(400)], "conv_id long, turn long, role string, text string")
+    by = defaultdict(list)
+    for r in sorted(chat_format.format_chats(df).collect(), key=lambda r: r.position):
+        by[r.conv_id].append(r)
+    assert max(held) <= 8
+    for found in by.values():
+        assert [r.position for r in found] == list(range(len(found))) and [r.turn for r in found] == sorted(r.turn for r in found)
+        assert sum(r.cost for r in found) == cheapest(["user"] * len(found))
+        legal("".join(r.rendered for r in found))
+    assert sum(map(len, by.values())) == 400
