@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxatrend.llm import packing, pii, quality, sentencepiece_codec, toxicity
+from taxatrend.llm import mixing_queries, packing, pii, quality, sentencepiece_codec, toxicity
 from taxatrend.llm.chat_format import format_chats
 from taxatrend.llm.common import table
 from taxatrend.llm.exact_dedup import exact_groups
@@ -154,3 +154,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation repaired at least cost and rendered, turn by turn."""
     return format_chats(table(spark, sf_dir, "conversations"))
+
+
+query(mixing_queries.OP11)(mixing_queries.op11_target_resampling)
