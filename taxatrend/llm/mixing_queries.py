@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxatrend.llm.common import table
+from taxatrend.llm.source_mixing import mix, taken_words
 from taxatrend.llm.target_resampling import resample
 
 #: CRC-32 of the bytes ``b``, with its table of 256 steps made by the rule of the polynomial.
@@ -39,3 +40,8 @@ select doc_id, n_features, weight, score, case when place <= 10 * (select count(
 def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn in proportion to their likeness to the benchmark."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; ``pieces`` and ``shards`` say how it is spread."""
+    return taken_words(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "pieces", "shards")
