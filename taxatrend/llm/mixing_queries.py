@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxatrend.llm.common import table
+from taxatrend.llm.conversation_repair import damage_and_repair
 from taxatrend.llm.source_mixing import mix, taken_words
 from taxatrend.llm.target_resampling import resample
 
@@ -45,3 +46,68 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; ``pieces`` and ``shards`` say how it is spread."""
     return taken_words(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "pieces", "shards")
+
+
+def least(*ways: str) -> str:
+    """SQL: the cheapest of several {c, a, r} (cost, audit, repaired lines), of equals the least audit; null where none."""
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w.c is not null))"
+
+
+def step(way: str, cost: str, edit: str, line: str | None = None) -> str:
+    """SQL: ``way`` with an edit more."""
+    return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{edit}', 'r': {way}.r || {f'chr(10) || {line}' if line else repr('')}}}"
+
+
+#: One turn at a time: first what may be inserted before it, then its deletion, its keeping and its relabelling. ``e`` nothing put out, then the last initial.
+ADD = "case when fault = 'truncated' then 5 else 0 end"
+OP13 = rf"""
+with recursive {CRC_TABLE},
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {CRC.format(bytes=BYTES.format(s="coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"))} % 20 as kind
+  from conversations, bits
+), left_over as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from keyed where kind <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as same,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text, copy) as before, regexp_extract_all(text, '[^ 	-]') as visible
+  from left_over
+), t as (
+  select conv_id, i, turn, role, text, before, case when len(visible) = 0 then 'blank' when same > 1 then 'duplicate' when visible[-1] not in ('.', '!', '?') then 'truncated' else 'none' end as fault
+  from placed
+), w as (
+  select conv_id, cast(0 as bigint) as i, {{'c': cast(0 as bigint), 'a': '', 'r': ''}} as e, {{'c': cast(null as bigint), 'a': '', 'r': ''}} as s, {{'c': cast(null as bigint), 'a': '', 'r': ''}} as u, {{'c': cast(null as bigint), 'a': '', 'r': ''}} as a
+  from (select distinct conv_id from t)
+  union all
+  select conv_id, i, n.e, coalesce(n.s, {{'c': null, 'a': '', 'r': ''}}), coalesce(n.u, {{'c': null, 'a': '', 'r': ''}}), coalesce(n.a, {{'c': null, 'a': '', 'r': ''}}) from (
+    select conv_id, i, {{
+      'e': {step("e", "2", "D")},
+      's': {least(step("s", "2", "D"), "case when free and role[1] = 's' then " + step("e", ADD, "K", "role || ':' || text") + " end")},
+      'u': {least(step("u", "2", "D"), *["case when free and role[1] = 'u' then " + step(x, ADD, "K", "role || ':' || text") + " end" for x in "esa"], *["case when free then " + step(x, "1 + " + ADD, "R", "'user:' || text") + " end" for x in "esa"])},
+      'a': {least(step("a", "2", "D"), "case when free and role[1] = 'a' then " + step("u", ADD, "K", "role || ':' || text") + " end", "case when free then " + step("u", "1 + " + ADD, "R", "'assistant:' || text") + " end")}
+    }} as n from (
+      select conv_id, i, role, text, fault, free, e, s, u, coalesce({least("a", step("u", "5", "I", "'assistant:'"))}, a) as a from (
+        select t.conv_id, t.i, t.role, t.text, t.fault, t.fault in ('none', 'truncated') as free, e, s, a, coalesce({least("u", *[step(x, "5", "I", "'user:'") for x in "esa"])}, u) as u
+        from w join t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1
+      )
+    )
+  )
+), last as (
+  select w.conv_id, {least("e", "a", step("u", "5", "I", "'assistant:'"), "{'c': s.c + 10, 'a': s.a || 'II', 'r': s.r || chr(10) || 'user:' || chr(10) || 'assistant:'}")} as best
+  from w join (select conv_id, max(i) as i from t group by 1) m on m.conv_id is not distinct from w.conv_id and m.i = w.i
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before[1] || role[1] not in ('su', 'ua', 'au')) as illegal
+  from t group by 1
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.r, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join facts f on f.conv_id is not distinct from o.conv_id left join last l on l.conv_id is not distinct from o.conv_id
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by a hash, described and repaired at least cost."""
+    return damage_and_repair(table(spark, sf_dir, "conversations"))

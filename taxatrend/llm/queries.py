@@ -158,3 +158,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(mixing_queries.OP11)(mixing_queries.op11_target_resampling)
 query()(mixing_queries.op12_source_mixing)
+query(mixing_queries.OP13)(mixing_queries.op13_conversation_repair)
