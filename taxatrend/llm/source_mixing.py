@@ -157,8 +157,10 @@ def drawn_blocks(sources: DataFrame, block: int, seed: int) -> DataFrame:
 
 
 def cut_pieces(lines: DataFrame, block: int, seed: int) -> DataFrame:
-    """``lines`` (row, at, size, and the columns of the row's source) -> drawn pieces: (source_no, row, at, draw, first_word, words)."""
+    """``lines`` (row, doc_id, source, text_key, at, size, and the columns of the row's source) -> drawn pieces: (source_no, row, doc_id, source, text_key, at, draw, first_word, words)."""
     names = ["source_no", "row", "at", "size", "source_key", "blocks", "passes", "more", "last"]
+    own = ["doc_id", "source", "text_key"]
+    schema = StructType([*lines.select(*own).schema.fields, *StructType.fromDDL("source_no bigint, row bigint, at bigint, draw bigint, first_word bigint, words bigint").fields])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,9 +181,10 @@ def cut_pieces(lines: DataFrame, block: int, seed: int) -> DataFrame:
                 start, end = np.maximum(number * block, c["at"]), np.minimum(end, c["at"] + c["size"])
                 taken = (~partial | (place < c["more"])) & (end > start)
                 out = [c["source_no"], c["row"], c["at"], turn * c["blocks"] + place, start - c["at"], end - start]
-                yield pa.RecordBatch.from_arrays([pa.array(x[taken], pa.int64()) for x in out], ["source_no", "row", "at", "draw", "first_word", "words"])
+                kept_rows = pa.array(part[of[taken]], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(len(names) + i).take(kept_rows) for i in range(len(own))], *[pa.array(x[taken], pa.int64()) for x in out]], schema.names)
 
-    return map_arrow(lines.select(*names), read, "source_no bigint, row bigint, at bigint, draw bigint, first_word bigint, words bigint")
+    return map_arrow(lines.select(*names, *own), read, schema)
 
 
 def mix(
@@ -220,8 +223,7 @@ def mix(
     dealt = dealt.filter((F.col("draw") >= F.col("start")) & (F.col("draw") < F.col("start") + F.col("n"))).drop("stretch", "start", "n")
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source_no", "draw"), "source_no", "draw", "at")
     placed = dealt.withColumn("place", (F.row_number().over(shuffled) - 1).cast("bigint"))
-    names = docs_out.select("row", "doc_id", "source", "text_key")
-    out = written(placed, "mix-pieces").join(names, "row").select("shard", "place", "source_no", "draw", "row", "doc_id", "source", "text_key", "first_word", "words")
+    out = written(placed.select("shard", "place", "source_no", "draw", "row", "doc_id", "source", "text_key", "first_word", "words"), "mix-pieces")
     return docs_out.select("row", "doc_id", "source", "text_key", "size", "source_size", "target"), out
 
 
