@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from taxatrend.llm.common import configure, map_arrow, quoted, whole_text, written
+from taxatrend.llm.numbering import numbered
 
 ROLES = ["system", "user", "assistant"]
 #: States: nothing rendered yet, or the role rendered last.
@@ -125,40 +125,9 @@ def known_role(role: Column) -> Column:
     return F.when(name.isin(ROLES), name).otherwise("other")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``number``: from 0 within each conv_id, in the order of turn, given and h.
-
-    Rows are dealt by ranges of all four, so a long conversation is spread. Each range numbers its own runs of equal
-    conv_id; what the first run of a range continues is known from one row per range.
-    """
-    order = ["conv_id", "turn", "given", "h"]
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL("number bigint, run bigint, part int").fields])
-    at = rows.columns.index("conv_id")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, run, number = TaskContext.get().partitionId(), None, -1, 0
-        for b in batches:
-            numbers, runs = [], []
-            for conv in map(repr, b.column(at).to_pylist()):
-                run, number = (run, number + 1) if conv == last else (run + 1, 0)
-                last = conv
-                numbers.append(number)
-                runs.append(run)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64()), pa.array(runs, pa.int64()), pa.array([part] * len(runs), pa.int32())], schema.names)
-
-    own = written(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), read, schema), "chat-runs")
-    ends = own.groupBy("part").agg(
-        F.min_by("conv_id", "run").alias("first"), F.max_by("conv_id", "run").alias("last"), F.max("run").alias("runs"),
-        F.max(F.struct("run", "number")).alias("end"),
-    )
-    carried, before, tail = [], None, 0
-    for r in sorted(ends.collect(), key=lambda r: r.part):
-        carry = tail if repr(r.first) == before else 0
-        carried.append((r.part, carry))
-        before, tail = repr(r.last), r.end.number + 1 + (carry if r.runs == 0 else 0)
-    known = rows.sparkSession.createDataFrame(carried, "part int, carry bigint")
-    whole = F.col("number") + F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
-    return own.join(F.broadcast(known), "part", "left").select(*rows.columns, whole.alias("number"))
+def turn_key() -> Column:
+    """A digest that two turns share if they are the same in conversation, number, role and text, as given."""
+    return F.unhex(F.sha2(F.concat(F.to_json(F.struct("conv_id", "given_turn", "given_as")), F.lit("\n"), F.col("text")), 256))
 
 
 def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|{role}|>\n", end: str = "<|end|>\n", joint: str = "\n\n") -> DataFrame:
@@ -167,15 +136,18 @@ def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|
     conv_id, turn, given_role, role (rendered), merged, inserted (the empty turn before it, or null), cost, rendered,
     position (its number in the conversation, from 0). The ``rendered`` of a conversation's rows, one after the other, are its formatted
     text. Roles are read without case and outer blanks; null or unknown ones are "other", null texts are empty. Turns are
-    ordered by number (null counts as -1), role and a hash of the text; a row repeated whole is one turn. Turns without conv_id
-    make up one conversation. At most SPAN rows of a conversation are held at once. Extra columns are ignored.
+    ordered by number (null counts as -1), role and a hash of the text; only a row repeated whole, its number and role as given, is one turn.
+    Turns without conv_id make up one conversation. At most SPAN rows of a conversation are held at once, without their texts, which move
+    once, to meet what is put before and after them. Extra columns are ignored.
     """
     configure(turns.sparkSession)
     rules = Automaton(costs or Costs())
     over = lambda c: F.expr(f"{c} div {SPAN}").cast("long")
-    plain = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), known_role(F.col("role")).alias("given"), whole_text(F.col("text")).alias("text"))
-    different = plain.withColumn("h", F.xxhash64("text")).dropDuplicates(["conv_id", "turn", "given", "h"])
-    rows = written(numbered(different).withColumn("chunk", over("number")), "chat-turns")
+    plain = turns.select("conv_id", F.col("turn").cast("long").alias("given_turn"), F.col("role").cast("string").alias("given_as"), whole_text(F.col("text")).alias("text")).withColumn("key", turn_key())
+    narrow = plain.select("conv_id", F.coalesce("given_turn", F.lit(-1)).alias("turn"), known_role(F.col("given_as")).alias("given"), F.xxhash64("text").alias("h"), "key")
+    different = written(narrow.dropDuplicates(["key"]), "chat-different")
+    inorder = numbered(different, ["conv_id"], ["turn", "given", "h", "key"], name="chat-runs")
+    rows = written(inorder.withColumn("chunk", over("number")).select("conv_id", "turn", "given", "key", "number", "chunk"), "chat-turns")
     kind = rows.schema["conv_id"].dataType.simpleString()
     cells = f"conv_id {kind}, chunk bigint, cells array<bigint>"
 
@@ -212,25 +184,28 @@ def format_chats(turns: DataFrame, costs: Costs | None = None, header: str = "<|
         for place, (r, state) in enumerate(zip(found, states)):
             cost, way, between = rules.move[r[3]][before, state]
             role = ROLES[state - 1]
-            text = joint if way == 1 else end if before != START else ""
+            ahead, after = joint if way == 1 else end if before != START else "", ""
             if way == 2:
-                text += header.format(role=ROLES[between - 1]) + end
+                ahead += header.format(role=ROLES[between - 1]) + end
             if way != 1:
-                text += header.format(role=role)
-            text += r[5]
+                ahead += header.format(role=role)
             if found[0][8] and place == len(found) - 1:
                 cost += int(rules.end[state])
-                text += end
+                after = end
                 while state != ASSISTANT:
                     state = NEXT[state][0]
-                    text += header.format(role=ROLES[state - 1]) + end
-            out.append((key[0], r[2], r[3], role, way == 1, ROLES[between - 1] if way == 2 else None, int(cost), text, r[4]))
+                    after += header.format(role=ROLES[state - 1]) + end
+            out.append((key[0], r[2], r[3], role, way == 1, ROLES[between - 1] if way == 2 else None, int(cost), ahead, after, r[4], r[5]))
             before = states[place]
         return out
 
     done = written(paths, "chat-paths").toDF("c", "k", "entry", "exit", "is_last")
     met = rows.join(done, rows.conv_id.eqNullSafe(F.col("c")) & (rows.chunk == F.col("k")))
-    return by_group(
-        met.select("conv_id", "chunk", "turn", "given", "number", "text", "entry", "exit", "is_last"), ["conv_id", "chunk"], ["number"], render,
-        f"conv_id {kind}, turn bigint, given_role string, role string, merged boolean, inserted string, cost bigint, rendered string, position bigint",
+    put = by_group(
+        met.select("conv_id", "chunk", "turn", "given", "number", "key", "entry", "exit", "is_last"), ["conv_id", "chunk"], ["number"], render,
+        f"conv_id {kind}, turn bigint, given_role string, role string, merged boolean, inserted string, cost bigint, ahead string, after string, position bigint, key binary",
+    )
+    texts = plain.select("key", "text").dropDuplicates(["key"])
+    return put.join(texts, "key").select(
+        "conv_id", "turn", "given_role", "role", "merged", "inserted", "cost", F.concat("ahead", "text", "after").alias("rendered"), "position",
     )

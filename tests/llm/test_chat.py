@@ -88,3 +88,14 @@ def test_one_turn_number_for_all_rows(spark, monkeypatch):
         assert sum(r.cost for r in found) == cheapest(["user"] * len(found))
         legal("".join(r.rendered for r in found))
     assert sum(map(len, by.values())) == 400
+
+
+def test_turns_that_differ_only_as_given_stay(spark):
+    rows = [(1, 0, "tool", "a"), (1, 0, "function", "a"), (1, None, "user", "a"), (1, -1, "user", "a"), (1, 0, "Tool", "a"), (1, 0, None, "a"), (1, 0, "tool", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = sorted(chat_format.format_chats(df).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.given_role) for r in found] == [(-1, "user")] * 2 + [(0, "other")] * 4
+    assert [r.position for r in found] == list(range(6))
+    text = "".join(r.rendered for r in found)
+    legal(text)
+    assert text.count("a\n\n") + text.count("a<|end|>") == 6
