@@ -29,8 +29,8 @@ ORDERS, SAMPLED = 8, 3
 MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * g + 1)) % (1 << 64) | 1 for g in range(ORDERS)], np.uint64)
 #: Candidates that agree in a sample meet in pairs up to this number; beyond it each meets the HUBS of the sample, and then all others that are not yet in its group over rare shingles.
 PAIRED, HUBS = 48, 6
-#: Shingles are ordered by the counts of so many slots.
-SLOTS = 1 << 20
+#: Shingles are ordered by the counts of so many slots; longs of parity bits, a power of two.
+SLOTS, PARITY = 1 << 20, 8
 
 
 def sketch(text: str, words: int) -> tuple[int, int, list[int], int]:
@@ -84,7 +84,7 @@ def candidates(sketched: DataFrame, similarity: float) -> tuple[DataFrame, DataF
     """Different pairs (a, b), a < b, that may be similar, and the documents (doc_id) of crowded samples.
 
     In a crowded sample only HUBS members are paired with all others. This joins most of a family of near copies, so that
-    ``pairs_between`` has little left to find; it stands for no pair that is not met.
+    ``links_between`` has little left to find; it stands for no pair that is not met.
     """
     one = sketched.select("doc_id", "size", "shingle_key", F.posexplode("samples").alias("g", "sample"))
     crowded = one.groupBy("g", "sample").agg(F.count("*").alias("members")).filter("members > 1")
@@ -113,7 +113,7 @@ def candidates(sketched: DataFrame, similarity: float) -> tuple[DataFrame, DataF
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc_id, shingles) of the ``wanted`` documents (doc_id, written); only their texts move."""
     asked, _ = split_by_filter(docs, "doc_id", wanted)
-    return written(shingle_sets(asked.join(wanted, "doc_id", "left_semi").select(docs.columns), words), "near-sets").dropDuplicates(["doc_id"])
+    return written(written(shingle_sets(asked.join(wanted, "doc_id", "left_semi").select(docs.columns), words), "near-sets").dropDuplicates(["doc_id"]), "near-one-set")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -176,22 +176,86 @@ def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
     return map_arrow(sets, read, f"shingle int, doc_id {kind}, place bigint, size bigint, short boolean")
 
 
-def pairs_between(docs: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``members`` (doc_id, written), a < b, in different groups of ``links``, that may be similar: none is missing.
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY longs whose bits say of each of as many bins whether it holds an odd number of the shingles.
 
-    Members meet over their rarest shingles; those that all members of one group alone share are left out.
+    Two sets' bits differ only where a shingle is in one of them alone, so they differ in at most as many bits as the sets in shingles.
+    """
+    mixed = shingles.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - 6 - PARITY.bit_length() + 1)
+    odd = np.bincount(mixed, minlength=64 * PARITY).astype(np.uint64) & np.uint64(1)
+    return (odd.reshape(PARITY, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(doc_id, p0, p1, ...) of ``sets``."""
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([parity(x.values.to_numpy(zero_copy_only=False).astype(np.int32)) for x in b.column(1)], np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in found.T]], ["doc_id", *[f"p{i}" for i in range(PARITY)]])
+
+    return map_arrow(sets, read, ", ".join([f"doc_id {kind}", *[f"p{i} bigint" for i in range(PARITY)]]))
+
+
+def side_of(postings: DataFrame, s: str) -> DataFrame:
+    return postings.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in postings.columns if c not in ("shingle", "short")])
+
+
+def possible(similarity: float) -> Column:
+    """Whether postings a and b, of different groups, may be of similar sets: by sizes, by what can still be common after the two places, and by parities."""
+    both = F.col("a_size") + F.col("b_size")
+    overlap = both * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    apart = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(PARITY)), F.lit(0))
+    room = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= overlap
+    return (F.col("a_root") != F.col("b_root")) & may_be_similar(similarity) & room & (apart <= both * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
+
+
+def mixed_only(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that members of several groups share."""
+    several = postings.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("shingle")
+    return postings.join(several, "shingle")
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+
+
+def links_between(docs: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+    """More links (a, b) among ``members`` (doc_id, written), in different groups of ``links``: with both, the groups are those of all similar pairs.
+
+    Members meet over their rarest shingles. In each round all that share a shingle meet one of them, first the one with most shared
+    shingles, which is what variants have been made of, then others; what is linked is one group from then on. Rounds go on while
+    they join a tenth of the groups left, and cost a row for each posting. Then all pairs of different groups meet that may be similar.
     """
     sets = written(sets_of(docs, members, words), "near-crowd")
     roots = written(components(links), "near-roots").toDF("doc_id", "root")
     posted = prefixes(sets, slot_counts(sets), similarity).join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    posted = written(posted, "near-postings")
-    mixed = posted.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("shingle")
-    left = written(posted.join(mixed, "shingle"), "near-mixed")
-    side = lambda df, s: df.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "place", "size", "root")])
-    met = side(left, "a").join(side(left.filter("short"), "b"), "shingle").filter("a_doc_id != b_doc_id AND a_root != b_root AND b_size <= a_size")
-    overlap = (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
-    met = met.filter(may_be_similar(similarity) & (F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= overlap))
-    return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+    left = written(mixed_only(written(posted, "near-postings")).join(parities(sets), "doc_id"), "near-mixed")
+    found: list[DataFrame] = []
+    while True:
+        turn, apart = len(found), left.select("root").distinct().count()
+        if apart < 2:
+            return found
+        shared = left.groupBy("doc_id").agg(F.count("*").alias("shared"))
+        rank = F.struct("shared", "doc_id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id")
+        ranked = left.join(shared, "doc_id") if turn == 0 else left
+        columns = [c for c in left.columns if c not in ("shingle", "short")]
+        hubs = ranked.groupBy("shingle").agg(F.max_by(F.struct(*columns), rank).alias("hub")).select("shingle", "hub.*")
+        met = side_of(left, "a").join(side_of(hubs, "b"), "shingle").filter(possible(similarity))
+        links = written(verified(docs, written(in_order(met), "near-hub-pairs"), words, similarity), "near-hub-links")
+        known = left.select("doc_id", "root").distinct()
+        between = links.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("x", "y")
+        merged = written(components(written(between, "near-contracted")), "near-merged").toDF("root", "into")
+        joins = merged.filter("root != into").count()
+        if joins:
+            found.append(links)
+            left = left.join(merged, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into").select(left.columns)
+            left = written(mixed_only(written(left, "near-postings")), "near-mixed")
+        if joins * 10 < apart:
+            break
+    met = side_of(left, "a").join(side_of(left.filter("short"), "b"), "shingle").filter("a_doc_id != b_doc_id AND b_size <= a_size").filter(possible(similarity))
+    return [*found, written(verified(docs, written(in_order(met), "near-between"), words, similarity), "near-more")]
 
 
 def similar_pairs(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -206,8 +270,9 @@ def similar_pairs(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     if crowd.isEmpty():
         return links
     links = written(links, "near-met")
-    more = written(pairs_between(docs, crowd, links, words, similarity), "near-between")
-    return links.unionByName(verified(docs, more, words, similarity))
+    for more in links_between(docs, crowd, links, words, similarity):
+        links = links.unionByName(more)
+    return links
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

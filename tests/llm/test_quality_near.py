@@ -140,6 +140,76 @@ def test_crowded_samples_lose_no_link(spark, texts):
     assert want - unmet <= {(r.a, r.b) for r in near_dedup.similar_pairs(docs).collect()} <= want
 
 
+def chain(members, n=120, seed=4):
+    """Every text changes one word of the one before it."""
+    rng = random.Random(seed)
+    w, texts = [f"w{i}" for i in range(n)], {}
+    for m in range(members):
+        w = list(w)
+        w[rng.randrange(n)] = f"c{m}"
+        texts[m] = " ".join(w)
+    return texts
+
+
+def sixty(members, seed=6):
+    """Texts of sixty words that each change one or two words of one original: many pairs lie about the threshold."""
+    rng = random.Random(seed)
+    texts = {}
+    for m in range(members):
+        w = [f"w{i}" for i in range(60)]
+        for i in rng.sample(range(60), 1 + m % 2):
+            w[i] = f"v{m}x{i}"
+        texts[m] = " ".join(w)
+    return texts
+
+
+def tops(pairs, ids):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(pairs):
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return {i: top(i) for i in ids}
+
+
+@pytest.mark.parametrize("make", [sixty, star, chain, family])
+def test_candidates_of_a_family_grow_in_proportion(spark, monkeypatch, make):
+    met, keep = {}, near_dedup.written
+
+    def counting(df, name):
+        out = keep(df, name)
+        if name in ("near-pairs", "near-hub-pairs", "near-between"):
+            met[members] = met.get(members, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counting)
+    for members in (150, 600):
+        texts = make(members)
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {(r.a, r.b) for r in near_dedup.similar_pairs(docs).collect()}
+        want = brute(texts)
+        assert got <= want
+        alone = sum(x != y for x, y in zip(tops(got, texts).values(), tops(want, texts).values()))
+        assert alone <= 0.01 * members  # texts that agree with their like in no sample
+    # Up to 48 that agree in a sample meet in pairs, beyond it each meets six: at most 48 a text and sample order.
+    assert met[600] <= 48 * 600 and met[600] <= 8 * met[150]
+
+
+def test_parities_differ_at_most_where_sets_do():
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 5000):
+        x = rng.integers(-(2**31), 2**31, n).astype(np.int32)
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(-(2**31), 2**31, n // 3 + 1).astype(np.int32)]))
+        x = np.unique(x)
+        bits = sum(bin(int(a) & (2**64 - 1)).count("1") for a in near_dedup.parity(x) ^ near_dedup.parity(y))
+        assert bits <= len(np.setxor1d(x, y)) and (near_dedup.parity(x) == near_dedup.parity(x[::-1])).all()
+
+
 def test_near_pairs_with_a_repeated_passage(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
