@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxatrend.sources.split_csv import csv_records
+
 RAW = "map<string,variant>"
 MANIFEST = """runId string, harvestKey string, source string, query struct<q: string, fq: array<string>>,
   startedAt string, finishedAt string, expectedRecords bigint, retrievedRecords bigint, complete boolean,
@@ -81,18 +83,18 @@ def read_headings(spark: SparkSession, path: str) -> list[dict]:
 
 
 def read_bulk(spark: SparkSession, path: str, headings: list[dict]) -> DataFrame:
-    """Rows of all ``data*.csv`` files, matched to headings by position because labels repeat.
+    """Rows of all ``data*.csv`` files, read in byte ranges and matched to headings by position because labels repeat.
 
     Keeps header rows, marked ``is_header``; see ``check_headers`` and ``bulk_rows``.
     """
     cols = [f"c{i}" for i in range(len(headings))]
     schema = ", ".join(f"{c} string" for c in [*cols, "beyond"])
-    df = spark.read.csv(f"{path}/data*.csv", schema=schema, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", nullValue="")
-    df = df.withColumn("c0", F.regexp_replace("c0", "^﻿", ""))
+    cells = F.from_csv("record", schema, {"quote": '"', "escape": '"', "nullValue": "", "maxCharsPerColumn": "-1"})
+    df = csv_records(spark, f"{path}/data*.csv").select("file", "pos", cells.alias("cells")).select("file", "pos", "cells.*")
     same = F.lit(True)
     for c, h in zip(cols, headings):
         same = same & F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.lit(h["label"]))
-    return df.withColumns({"is_header": same & F.col("beyond").isNull(), "file": F.col("_metadata.file_path")})
+    return df.withColumn("is_header", same & F.col("beyond").isNull())
 
 
 def check_headers(bulk: DataFrame) -> DataFrame:
@@ -124,8 +126,8 @@ def bulk_rows(bulk: DataFrame, headings: list[dict]) -> DataFrame:
     text = F.when(rename, F.transform_keys(filled, lambda k, v: F.when(k == "id", F.lit("uuid")).otherwise(k))).otherwise(filled)
     return (
         bulk.filter(~F.col("is_header"))
-        .select("file", text.alias("text"), set_flags.alias("flags"))
-        .select("file", "text", F.when(F.size("flags") > 0, F.col("flags")).alias("assertions"))
+        .select("file", "pos", text.alias("text"), set_flags.alias("flags"))
+        .select("file", "pos", "text", F.when(F.size("flags") > 0, F.col("flags")).alias("assertions"))
     )
 
 
@@ -134,7 +136,7 @@ def bulk_raw(rows: DataFrame) -> DataFrame:
     as_variant = F.transform_values("text", lambda k, v: v.cast("variant"))
     flags = F.map_from_arrays(F.array(F.lit("assertions")), F.array(F.col("assertions").cast("variant")))
     raw = F.when(F.col("assertions").isNull(), as_variant).otherwise(F.map_concat(as_variant, flags))
-    return rows.select(F.col("file").alias("page"), F.monotonically_increasing_id().alias("pos"), raw.alias("raw"))
+    return rows.select(F.col("file").alias("page"), "pos", raw.alias("raw"))
 
 
 # --- facet pages ---
