@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from taxatrend.corpus import Corpus, read
 
 ORDERS_PER_PAGE = 1000
+#: Pages are dealt to so many finished runs; one more, of the first page, is still being written and has no manifest.
 RUNS = 4
-#: Runs 0..2 have a manifest; run 3 is still being written.
-FINISHED = 3
 FETCHED = "2001-07-01T00:00:00.000Z"
 SALT = "check-salt"
 AS_OF = "2001-06-01 00:00:00"
@@ -83,11 +82,12 @@ def write_pages(c: Corpus) -> str:
     root = c.ws.path("delivery")
     if "delivery" not in c.ws.marks:
         bodies = c.ws.table("page_bodies", lambda: page_bodies(c))
+        freeze = lambda df, run: df.select("page", "value").repartition("page").write.mode("overwrite").partitionBy("page").text(f"{root}/run={run}/pages")
         for run in range(RUNS):
             one = bodies.filter(F.col("run") == run)
-            one.select("page", "value").repartition("page").write.mode("overwrite").partitionBy("page").text(f"{root}/run={run}/pages")
-            if run < FINISHED:
-                manifest(one, run).write.mode("overwrite").text(f"{root}/run={run}/manifest.json")
+            freeze(one, run)
+            manifest(one, run).write.mode("overwrite").text(f"{root}/run={run}/manifest.json")
+        freeze(bodies.orderBy("page").limit(1), RUNS)
         c.ws.marks.add("delivery")
     return root
 

@@ -20,7 +20,7 @@ from taxatrend.sources import frozen as fr
 
 SEQ = ["snapshot_page", "page_pos"]
 
-# The delivery restated: every line item of finished runs, repeats included, with what the mapping should give.
+# The delivery restated: every line item, repeats included, with what the mapping should give.
 DELIVERY = f"""
 li as (
   select *, l_partkey % 120 as k, l_orderkey || ':' || l_linenumber as sid, l_orderkey // {dv.ORDERS_PER_PAGE} as base_page,
@@ -30,7 +30,6 @@ li as (
 delivered as (
   select *, base_page + again as page from li, lateral (
     select 0 as again union all select 1 where l_linenumber = 1 and l_orderkey % 20 = 3)
-  where (base_page + again) % {dv.RUNS} < {dv.FINISHED}
 ),
 mapped as (
   select *, case when ln = 7 and ok % 50 = 0 then '' else sid end as source_record_id,
@@ -159,18 +158,62 @@ def _(c: Corpus):
     return rec.slice_totals(expected, pages).select(F.col("slice_key").alias("run_id"), F.col("expected_records").alias("expected"), F.col("retrieved_records").alias("retrieved"), "warning")
 
 
-@query("j27_manifest_pages_missing", using("select 'page=p' || printf('%08d', page) as file from (select distinct page from delivered) where page % 2 = 1"))
+@query("j27_manifest_pages_missing", using(f"select cast(page % {dv.RUNS} as varchar) as run, 'page=p' || printf('%08d', page) as file from (select distinct page from delivered) where page % 2 = 1"))
 def _(c: Corpus):
     root = dv.write_pages(c)
     listed = fr.manifest_pages(fr.read_manifests(c.spark, root))
-    found = rows(c).select("page").distinct().filter(F.substring("page", -1, 1).cast("int") % 2 == 0)
-    return fr.missing_pages(listed, found).select("file")
+    found = fr.read_pages(c.spark, f"{root}/run=*/pages").select("run", "page").distinct().filter(F.substring("page", -1, 1).cast("int") % 2 == 0)
+    return fr.missing_pages(listed, found).select("run", "file")
+
+
+# The page bodies restated, byte for byte.
+BODY = """'{' || concat_ws(', ',
+    case when not (ln = 7 and ok % 50 = 0) then '"uuid": "' || sid || '"' end, '"dataResourceUid": "' || case when ln <> 5 then 'd' || (l_suppkey % 10) else '' end || '"',
+    '"dataResourceName": ' || case when ln = 5 then 'null' else '"Dataset ' || (l_suppkey % 10) || '"' end,
+    '"scientificName": "' || case when k = 11 and ln = 4 then '  ' when l_partkey % 7 = 0 then ' Genus species' || k || ' ' else 'Genus species' || k end || '"',
+    case l_partkey % 9 when 0 then '"vernacularName": [" Common ", "", "name-' || k || '"]' when 1 then '"vernacularName": []' end, '"taxonConceptID": "T' || k || '"',
+    case when ln % 2 = 1 then '"classs": "Aves"' else '"class": "Aves"' end, case when l_partkey % 10 <> 9 then '"countryConservation": "Vulnerable"' end,
+    '"eventDate": ' || case when ln < 5 then '' || epoch_ms(l_shipdate) when ln = 5 then '"' || strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') || '"' when ln = 6 and ok % 10 = 1 then '"not a date"' when ln = 6 then '"' || epoch_ms(l_shipdate) || '"' end,
+    '"decimalLatitude": ' || case when ln = 1 and ok % 100 = 7 then '95.0' when ln = 3 and ok % 25 = 0 then '"abc"' when ln = 2 then '"' || cast(lat0 as double) || '"' else '' || cast(lat0 as double) end,
+    '"decimalLongitude": ' || case when ln = 4 and ok % 20 = 1 then '170' else '' || (115 + l_suppkey % 25) end,
+    case when ok % 40 = 9 then '"coordinateUncertaintyInMeters": -' || l_quantity when ln <> 7 then '"coordinateUncertaintyInMeters": ' || l_quantity * 400 end, '"stateProvince": "State"',
+    '"individualCount": ' || case when ln = 4 and ok % 30 = 2 then '-3' else '' || (l_quantity + 0.5::double) end, '"recordedBy": ["Observer ' || (l_suppkey % 50) || '", "Team"]',
+    case ln when 1 then '"assertions": ["ZZZ", "AAA"]' when 2 then '"assertions": ["AAA"]' when 3 then '"assertions": "AAA"' end, '"country": "Australia"', '"point1": "-12,115"', case when ln = 2 then '"mystery": ' || l_tax end,
+    '"otherProperties": {"month": "06"' || case when ok % 2 = 0 then ', "scientificName": "nested"' else '' end || case ln % 3 when 0 then ', "raw_occurrenceRemarks": "0"' when 1 then ', "raw_occurrenceRemarks": "Looks strong and healthy"' else '' end || '}') || '}'"""
+HASHES = f"""hashes as (
+  select page % {dv.RUNS} as run, sha256('{{"totalRecords": 0, "occurrences": [' || string_agg(body, ',' || chr(10) order by again, ok, ln, l_partkey, l_suppkey, l_quantity, l_shipdate, l_tax, body) || ']}}' || chr(10)) as h
+  from (select *, {BODY} as body from delivered) group by page
+), buckets as (select run, left(h, 2) || ':' || sha256(string_agg(h, chr(10) order by h)) as line from hashes group by run, left(h, 2))"""
+
+
+@query("a22_corpus_hash", using("select cast(run as varchar) as run, sha256(string_agg(h, chr(10) order by h)) as corpus_hash, count(*) as pages, (select sha256(string_agg(line, chr(10) order by line)) from buckets b where b.run = hashes.run) as tree_hash from hashes group by run", HASHES))
+def _(c: Corpus):
+    root = dv.write_pages(c)
+    finished = fr.read_manifests(c.spark, root).select("run")
+    return rec.corpus_hash(rec.page_hashes(c.spark, f"{root}/run=*/pages").withColumn("run", F.regexp_extract("path", r"run=([^/]+)/", 1)).join(finished, "run"))
+
+
+RUN_SLICES = f"""select '2001-07-0' || (run + 1) || 'T00-00-00' as run_id, run, slice, slice * 7 + count(*) as expected, count(*) as retrieved, count(distinct page) as pages
+  from (select page % {dv.RUNS} as run, l_linenumber % 3 as slice, page from delivered) group by run, slice"""
 
 
-@query("a22_corpus_hash")
+@query("a21_run_totals", using(f"select run, cast(sum(expected) as bigint) as expected_records, cast(sum(retrieved) as bigint) as retrieved_records, count(*) filter (expected <> retrieved) as warnings, bool_and(expected = retrieved) and run <> 1 as complete from ({RUN_SLICES}) where not (run = 2 and slice > 0) group by run"))
 def _(c: Corpus):
-    root = dv.write_pages(c)
-    return rec.corpus_hash(rec.page_hashes(c.spark, f"{root}/run=0/pages"))
+    r = rows(c).select(F.regexp_extract("page", r"(\d+)", 1).cast("bigint").alias("page"), F.coalesce(F.split(F.try_variant_get(F.try_element_at("raw", F.lit("uuid")), "$", "string"), ":")[1].cast("int"), F.lit(7)).alias("ln"))
+    per = r.groupBy((F.col("page") % dv.RUNS).alias("run"), (F.col("ln") % 3).alias("slice"), "page").agg(F.count("*").alias("record_count"))
+    per = per.filter("NOT (run = 2 AND slice > 0)").withColumn("slice_key", F.concat_ws("/", "run", "slice"))
+    expected = per.groupBy("slice_key", "slice", "run").agg((F.sum("record_count") + F.col("slice") * 7).alias("expected_records"))
+    slices = rec.slice_totals(expected.select("slice_key", "expected_records", "run"), per.select("slice_key", "record_count"))
+    return rec.run_totals(slices, ["run"], warned=F.col("run") == 1)
+
+
+@query("a21_download_warnings", """select o_orderkey, case when q is not null and q <> o_custkey or r <> coalesce(q, o_custkey) then false else true end as complete,
+  concat_ws('; ', case when r <> coalesce(q, o_custkey) then r || ' rows received of ' || coalesce(q, o_custkey) || ' queued' end, case when q <> o_custkey then o_custkey || ' rows announced, ' || q || ' queued' end) as warnings
+  from (select o_orderkey, o_custkey, case when o_orderkey % 3 <> 0 then o_custkey + o_orderkey % 2 end as q, o_custkey + o_orderkey % 5 // 3 as r from orders)""")
+def _(c: Corpus):
+    ok, n = F.col("o_orderkey"), F.col("o_custkey")
+    totals = read(c.spark, c.sf_dir, "orders").select("o_orderkey", n.alias("expected"), F.when(ok % 3 != 0, n + ok % 2).alias("queued"), (n + F.expr("o_orderkey % 5 div 3")).alias("retrieved"))
+    return rec.download_warnings(totals).select("o_orderkey", "complete", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query("a23_curation_fingerprint", S.using("""select md5(coalesce((select string_agg(concat_ws('|', taxon_concept_id, state_province, ibra_region, data_resource_uid), ';'
@@ -180,7 +223,19 @@ def _(c: Corpus):
     return rec.curation_fingerprint(c.rules, c.datasets)
 
 
-query("f_result_fingerprint")(lambda c: rec.row_fingerprint(read(c.spark, c.sf_dir, "orders")))
+ORDER_LINE = "concat_ws(chr(31), " + ", ".join(f"coalesce(cast({c} as varchar), chr(0))" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")) + ")"
+
+
+@query("f_result_fingerprint", f"select count(*) as rows, bit_xor(h) as xor_hash, cast(sum(h % {1 << 31}) as bigint) as sum_hash from (select cast('0x' || left(sha256({ORDER_LINE}), 15) as bigint) as h from orders)")
+def _(c: Corpus):
+    return rec.row_fingerprint(read(c.spark, c.sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+@query("f_result_hash", """select sha256('{"columns":["n_nationkey","n_name","suppliers"],"rows":' || cast(to_json(list(line order by line)) as varchar) || '}') as result_hash, count(*) as row_count
+  from (select cast(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'suppliers': n}) as varchar) as line from nation left join (select s_nationkey, count(*) as n from supplier group by 1) on s_nationkey = n_nationkey)""")
+def _(c: Corpus):
+    n = read(c.spark, c.sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("suppliers"))
+    return rec.result_hash(read(c.spark, c.sf_dir, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_name", "suppliers"))
 
 
 # --- mapping ---

@@ -253,20 +253,30 @@ def placed_ai(c: Corpus):
     return ai(c, headlines=False)
 
 
-# The extent of occurrence is not in the SQL; its leaf is set aside on both sides.
+def lines_of(c: Corpus):
+    """Every number stated, extents of occurrence included, and whether it is grounded."""
+    return c.ws.table("grounding_lines", lambda: sc.grounding_lines(placed_ai(c), results(c)))
+
+
+#: The SQL has no hull, so it restates all numbers but extents of occurrence; those are held against brute force in the tests.
+EXTENT = F.col("path").startswith("eoo_km2.")
+
+
 @query("j24_grounded_numbers", using("select insight_id, count(*) as numbers, count(*) filter (ok) as grounded from judged group by insight_id", RESULTS))
 def _(c: Corpus):
-    a = placed_ai(c)
-    trimmed = a.withColumn("figures", F.parse_json(F.regexp_replace(F.to_json("figures"), r',?"eoo_km2":\{[^}]*\}', "")))
-    g = sc.grounding(trimmed, results(c)).select("insight_id", "numbers", "grounded")
-    return g.filter("numbers > 0")
+    return lines_of(c).filter(~EXTENT).groupBy("insight_id").agg(F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"))
+
+
+query("j24_grounded_extents")(lambda c: lines_of(c).filter(EXTENT))
 
 
 @query("a33_grounding_rates", using(f"select cast(sum(numbers) as bigint) as numbers, {S.fx('sum(grounded) / sum(numbers)', 3)} as numbers_grounded, {S.fx('count(*) filter (numbers = grounded) / count(*)', 3)} as insights_fully_grounded from (select insight_id, count(path) as numbers, coalesce(count(*) filter (ok), 0) as grounded from ai left join judged using (insight_id) group by insight_id)", RESULTS))
 def _(c: Corpus):
-    a = placed_ai(c)
-    trimmed = a.withColumn("figures", F.parse_json(F.regexp_replace(F.to_json("figures"), r',?"eoo_km2":\{[^}]*\}', "")))
-    return sc.grounding_rates(sc.grounding(trimmed, results(c)))
+    per = lines_of(c).filter(~EXTENT).groupBy("insight_id").agg(F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"))
+    return sc.grounding_rates(placed_ai(c).select("insight_id").join(per, "insight_id", "left").fillna(0))
+
+
+query("a33_grounding_rates_with_extents")(lambda c: sc.grounding_rates(sc.grounding(placed_ai(c), results(c))))
 
 
 def logged(c: Corpus):

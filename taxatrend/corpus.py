@@ -143,8 +143,7 @@ def as_occurrences(b: DataFrame) -> DataFrame:
         ((F.col("l_linenumber") != 6) | (F.col("l_quantity") < 45)).alias("is_valid"),
         F.lit(False).alias("managed_by_rule"),
     ).withColumns({"decimal_latitude": F.col("_lat100") / 100, "decimal_longitude": F.col("_lon100") / 100})
-    out = derived_columns(occ.drop("_lat100", "_lon100"))
-    return out.withColumn("event_year", F.year("event_day"))
+    return derived_columns(occ.drop("_lat100", "_lon100"))
 
 
 class Corpus:

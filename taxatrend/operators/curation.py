@@ -13,14 +13,15 @@ FREE_TEXT = ["occurrence_remarks", "event_remarks"]
 
 
 def derived_columns(occ: DataFrame) -> DataFrame:
-    """Columns computed when a record is stored: grid cell and local calendar day."""
-    return occ.withColumns(
+    """Columns computed when a record is stored: grid cell, local calendar day and its year, by which tables are partitioned (0 without a day)."""
+    cells = occ.withColumns(
         {
             "cell_lat": tenth_degree(F.col("decimal_latitude")),
             "cell_lon": tenth_degree(F.col("decimal_longitude")),
             "event_day": local_day(F.col("event_date")),
         }
     )
+    return cells.withColumn("event_year", F.coalesce(F.year("event_day"), F.lit(0)))
 
 
 def has_point() -> Column:

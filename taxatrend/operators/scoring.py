@@ -5,11 +5,8 @@ Functions take insights as ``insight.unpack`` gives them.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from taxatrend.functions.numeric import close, fixed, share, text_number
 from taxatrend.functions.text import mention_form
@@ -184,23 +181,46 @@ def taxa_of(insights: DataFrame) -> DataFrame:
     return t.filter(F.col("taxon_concept_id") != "")
 
 
-def mentions(ai: DataFrame, findings: DataFrame, taxa: DataFrame) -> DataFrame:
-    """Insight ids of findings some AI text names: the taxon and, for a regional finding, the region.
+#: Characters of the grams that texts and names meet by; a shorter name is one gram.
+GRAM = 5
+
+
+def grams(text: Column, n: int) -> Column:
+    """The different runs of n characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) if n else F.array(F.lit(""))
+
+
+def substring_join(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` (text) and ``names`` (name) -> (text, name) for every name that is part of a text.
 
-    Findings are at most ``PRIORITY_K`` per set, so that side is the one broadcast to the texts.
+    A name can only be in a text that holds its rarest gram, so the two meet by equality on that gram; what meets is then compared.
+    Texts are followed by a hash and joined back, not repeated for each gram.
     """
+    keyed = texts.select("text").distinct().withColumn("key", F.xxhash64("text"))
+    sized = names.select("name").distinct().withColumn("size", F.least(F.length("name"), F.lit(GRAM)))
+    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())  # six at most
+    if not sizes:
+        return keyed.select("text", F.lit("").alias("name")).limit(0)
+    text_grams = keyed.select("key", F.explode(F.concat(*[grams(F.col("text"), n) for n in sizes])).alias("gram"))
+    own = sized.select("name", F.explode(F.coalesce(*[F.when(F.col("size") == n, grams(F.col("name"), n)) for n in sizes])).alias("gram"))
+    often = text_grams.join(own.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(often, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    met = text_grams.join(rarest.filter("g.n > 0").select("name", F.col("g.gram").alias("gram")), "gram").select("key", "name")
+    return keyed.join(met, "key").filter(F.contains("text", "name")).select("text", "name")
+
+
+def mentions(ai: DataFrame, findings: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Insight ids of findings some AI text names: the taxon and, for a regional finding, the region; a finding without taxon by its region."""
     texts = ai.select(mention_form(F.concat_ws(" ", "summary", F.coalesce("region", F.lit("")))).alias("text"))
     named = findings.select("insight_id", "taxon_concept_id", "region").distinct().join(
         taxa.select("taxon_concept_id", "vernacular_name", "scientific_name"), "taxon_concept_id", "left"
     )
     where = F.lower("region")
-    name_hit = F.lit(False)
-    for c in ("vernacular_name", "scientific_name"):
-        name_hit = name_hit | ((F.coalesce(F.col(c), F.lit("")) != "") & F.contains(F.col("text"), mention_form(F.col(c))))
-    hit = F.when(F.col("taxon_concept_id").isNull(), F.contains(F.col("text"), F.coalesce(where, F.lit("")))).otherwise(
-        name_hit & (F.col("region").isNull() | F.contains(F.col("text"), where))
-    )
-    return texts.join(F.broadcast(named), F.coalesce(hit, F.lit(False))).select("insight_id").distinct()
+    forms = F.filter(F.array(*[mention_form(F.col(c)) for c in ("vernacular_name", "scientific_name")]), lambda x: F.coalesce(x, F.lit("")) != "")
+    by_name = named.select("insight_id", F.when(F.col("taxon_concept_id").isNotNull(), where).alias("place"), F.explode(
+        F.when(F.col("taxon_concept_id").isNull(), F.array(F.coalesce(where, F.lit("")))).otherwise(forms)).alias("name"))
+    met = substring_join(texts, by_name).join(by_name, "name")
+    return met.filter(F.col("place").isNull() | F.contains("text", "place")).select("insight_id").distinct()
 
 
 def discovered(ai: DataFrame, calc: DataFrame, taxa: DataFrame, k: int = PRIORITY_K) -> DataFrame:
@@ -279,17 +299,13 @@ def numeric_leaves(df: DataFrame, keys: list[str], figures: str) -> DataFrame:
     return cur.select(*keys, "path", n.alias("value")).filter(F.col("value").isNotNull())
 
 
-def result_values(results: DataFrame) -> DataFrame:
-    """query_id -> its numbers in row order, then the totals of columns with more than one number.
+def result_numbers(results: DataFrame) -> DataFrame:
+    """(query_id, n): the numbers of logged results, and the totals of columns with more than one.
 
     ``results``: query_id, row, column, value (text). Logged results are capped when they are logged.
     """
     n = results.withColumn("n", scored_number(F.col("value"))).filter(F.col("n").isNotNull())
-    totals = n.groupBy("query_id", "column").agg(F.sum("n").alias("n"), F.count("*").alias("c")).filter(F.col("c") > 1)
-    tagged = n.select("query_id", F.struct(F.lit(0).alias("part"), F.col("row").cast("bigint").alias("row"), "column", "n").alias("x")).unionByName(
-        totals.select("query_id", F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("row"), "column", "n").alias("x"))
-    )
-    return tagged.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("values"))
+    return n.select("query_id", "n").unionByName(column_totals(results).select("query_id", F.col("total").alias("n")))
 
 
 def column_totals(results: DataFrame) -> DataFrame:
@@ -303,62 +319,77 @@ def decimals(x: Column) -> Column:
     return F.length(F.regexp_extract(plain, r"\.(\d+)$", 1))
 
 
-def is_grounded(x: float, places: int, values: np.ndarray, ordered: np.ndarray, divisors: np.ndarray) -> bool:
-    """Whether x is one of the values, or a difference, ratio or percentage change of two of them.
+def matches(x: Column, places: Column, v: Column) -> Column:
+    """Whether v gives x: within a thousandth of v, or by rounding v to x's places."""
+    scale = F.pow(F.lit(10.0), places)
+    scaled = F.abs(v) * scale
+    rounded = F.when(scaled < 9e15, F.signum(v) * F.floor(F.when(scaled < 9e15, scaled) + 0.5) / scale).otherwise(v)
+    return (F.abs(x - v) <= F.lit(0.001) * F.abs(v)) | (rounded == x)
 
-    For a divisor b, each form of a and b gives x just if a lies in one interval, so a sorted search finds the partners
-    of all divisors at once; those found are then compared exactly.
-    """
-    scale = 10.0**places
-
-    def matches(v: np.ndarray) -> np.ndarray:
-        rounded = np.sign(v) * np.floor(np.abs(v) * scale + 0.5) / scale
-        return (np.abs(x - v) <= 0.001 * np.abs(v)) | (rounded == x)
-
-    with np.errstate(all="ignore"):
-        if matches(values).any():
-            return True
-        ends = np.array([x / 1.001, x / 0.999, x - 0.5 / scale, x + 0.5 / scale])
-        wide = 1e-9 * max(1.0, abs(x))
-        low, high = ends.min() - wide, ends.max() + wide
-        forms = [
-            (lambda c: divisors + c, lambda a, b: a - b), (lambda c: divisors * c, lambda a, b: a / b), (lambda c: divisors * (1 + c), lambda a, b: (a - b) / b),
-            (lambda c: divisors * (1 + c / 100), lambda a, b: (a - b) / b * 100), (lambda c: divisors * (c / 100), lambda a, b: a / b * 100),
-        ]
-        for partner, form in forms:
-            one, two = partner(low), partner(high)
-            lo, hi = np.minimum(one, two), np.maximum(one, two)
-            slack = 1e-12 * np.maximum(np.abs(lo), np.abs(hi))
-            first, last = np.searchsorted(ordered, lo - slack, "left"), np.searchsorted(ordered, hi + slack, "right")
-            for k in np.flatnonzero(last > first):
-                if matches(form(ordered[first[k] : last[k]], divisors[k])).any():
-                    return True
-    return False
-
-
-@F.pandas_udf(ArrayType(BooleanType()))
-def grounded(numbers: pd.Series, values: pd.Series) -> pd.Series:
-    """Per row: which of the numbers (value, places) are grounded in the values."""
-    out = []
-    for asked, given in zip(numbers, values):
-        v = np.array([] if given is None else given, float)
-        ordered = np.unique(v)
-        out.append([is_grounded(n["value"], n["places"], v, ordered, ordered[ordered != 0]) for n in asked])
-    return pd.Series(out)
 
+#: What two cited values a and b may stand for: the value that a must have for it to be c, and the value itself.
+FORMS = [
+    (lambda b, c: b + c, lambda a, b: a - b), (lambda b, c: b * c, lambda a, b: a / b), (lambda b, c: b * (1 + c), lambda a, b: (a - b) / b),
+    (lambda b, c: b * (1 + c / 100), lambda a, b: (a - b) / b * 100), (lambda b, c: b * (c / 100), lambda a, b: a / b * 100),
+]
+
+
+def reach() -> tuple[Column, Column]:
+    """Least and greatest value that can give the stated number, a little widened."""
+    x, half = F.col("value"), F.lit(0.5) / F.pow(F.lit(10.0), F.col("places"))
+    ends = [x / 1.001, x / 0.999, x - half, x + half]
+    wide = F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(x))
+    return F.least(*ends) - wide, F.greatest(*ends) + wide
 
-def grounding(ai: DataFrame, results: DataFrame) -> DataFrame:
-    """Per AI insight: numbers stated, numbers grounded in the cited results, and the paths that are not.
 
-    Gathered per insight are the numbers it states and the values it cites, which the query log bounds.
+def in_reach(wanted: DataFrame, values: DataFrame) -> DataFrame:
+    """``wanted`` (insight_id, lo, hi and more) with every cited value ``a`` of its insight from lo to hi.
+
+    A band join by equality: an interval lies in two buckets at most of the power of two at or above its length, and values are
+    put into the buckets of the lengths that occur, so no list of an insight's values is held and no value meets all intervals.
     """
-    cited = ai.select("insight_id", F.explode("query_ids").alias("query_id")).distinct().join(result_values(results), "query_id")
-    values = cited.groupBy("insight_id").agg(F.flatten(F.collect_list("values")).alias("values"))
-    leaf = F.struct("path", "value", decimals(F.col("value")).alias("places"))
-    stated = numeric_leaves(ai, ["insight_id"], "figures").groupBy("insight_id").agg(F.array_sort(F.collect_list(leaf)).alias("stated"))
-    per = stated.join(values, "insight_id", "left").withColumn("ok", grounded("stated", "values")).select(
-        "insight_id", F.size("stated").cast("long").alias("numbers"), F.size(F.filter("ok", lambda o: o)).cast("long").alias("grounded"),
-        F.sort_array(F.transform(F.filter(F.arrays_zip("stated", "ok"), lambda z: ~z["ok"]), lambda z: z["stated"]["path"])).alias("ungrounded"),
+    level = F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int")
+    bucket = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    asked = wanted.withColumn("level", level)
+    twice = asked.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("lo")), bucket(F.col("hi"))))))
+    levels = asked.select("insight_id", "level").distinct()
+    size = F.abs(F.col("a")) / F.pow(F.lit(2.0), F.col("level"))
+    placed = values.select("insight_id", F.col("n").alias("a")).join(levels, "insight_id").filter(size < 1e17).withColumn("bucket", bucket(F.col("a")))
+    return twice.join(placed, ["insight_id", "level", "bucket"]).filter(F.col("a").between(F.col("lo"), F.col("hi"))).drop("level", "bucket")
+
+
+def grounded_numbers(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (insight_id, value, places; distinct) that are one of the insight's ``values`` (insight_id, n; distinct), or a
+    difference, ratio or percentage of two of them."""
+    low, high = reach()
+    x, places = F.col("value"), F.col("places")
+    itself = in_reach(asked.withColumns({"lo": low, "hi": high}), values).filter(matches(x, places, F.col("a"))).select(asked.columns).distinct()
+    left = asked.join(itself, asked.columns, "left_anti")
+    divided = left.join(values.filter("n <> 0").withColumnRenamed("n", "b"), "insight_id")
+    ends = []
+    for i, (partner, _) in enumerate(FORMS):
+        one, two = partner(F.col("b"), low), partner(F.col("b"), high)
+        slack = F.lit(1e-12) * F.greatest(F.abs(one), F.abs(two))
+        ends.append(F.struct(F.lit(i).alias("form"), (F.least(one, two) - slack).alias("lo"), (F.greatest(one, two) + slack).alias("hi")))
+    wanted = divided.select(*divided.columns, F.explode(F.array(*ends)).alias("e")).select(*divided.columns, "e.*").filter((F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") < 1e300))
+    met = in_reach(wanted, values)
+    made = F.coalesce(*[F.when(F.col("form") == i, form(F.col("a"), F.col("b"))) for i, (_, form) in enumerate(FORMS)])
+    return itself.unionByName(met.filter(matches(x, places, made)).select(asked.columns).distinct())
+
+
+def grounding_lines(ai: DataFrame, results: DataFrame) -> DataFrame:
+    """(insight_id, path, value, ok): every number an AI insight states, and whether the results it cites give it."""
+    cited = ai.select("insight_id", F.explode("query_ids").alias("query_id")).distinct().join(result_numbers(results), "query_id")
+    values = cited.select("insight_id", "n").distinct()
+    stated = numeric_leaves(ai, ["insight_id"], "figures").withColumn("places", decimals(F.col("value")))
+    ok = grounded_numbers(stated.select("insight_id", "value", "places").distinct(), values).withColumn("ok", F.lit(True))
+    return stated.join(ok, ["insight_id", "value", "places"], "left").select("insight_id", "path", "value", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
+def grounding(ai: DataFrame, results: DataFrame) -> DataFrame:
+    """Per AI insight: numbers stated, numbers grounded in the cited results, and the paths that are not."""
+    per = grounding_lines(ai, results).groupBy("insight_id").agg(
+        F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("path")))).alias("ungrounded"),
     )
     return ai.select("insight_id").join(per, "insight_id", "left").select(
         "insight_id", F.coalesce("numbers", F.lit(0)).alias("numbers"), F.coalesce("grounded", F.lit(0)).alias("grounded"),

@@ -40,14 +40,25 @@ def with_context(rows: DataFrame, manifest_pages: DataFrame) -> DataFrame:
     Rows of runs without a manifest are left out: such a run is still being written.
     """
     at = manifest_pages.select("run", F.col("file").alias("page"), F.to_timestamp("fetchedAt").alias("fetched_at"))
-    runs = manifest_pages.select("run", F.col("harvestKey").alias("harvest_id")).distinct()
+    runs = manifest_pages.select("run", F.concat("harvestKey", F.lit("/"), "runId").alias("harvest_id")).distinct()
     return rows.join(runs, "run").join(at, ["run", "page"], "left").drop("run")
 
 
+def parsed_manifests(text: DataFrame) -> DataFrame:
+    """``text`` (run, value): manifest bodies, as columns."""
+    return text.select("run", F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("run", "m.*")
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per finished run. A run without a manifest is still being written and is not seen."""
     text = spark.read.text(f"{root}/run=*/manifest.json", wholetext=True)
-    return text.select(run_of_path(), F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("m")).select("run", "m.*")
+    return parsed_manifests(text.select(run_of_path(), "value"))
+
+
+def manifest_stream(spark: SparkSession, root: str, runs_per_batch: int) -> DataFrame:
+    """(run, value): manifests as they appear; each is read once, however often the stream is restarted."""
+    stream = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", runs_per_batch).schema("value string")
+    return stream.load(f"{root}/run=*/manifest.json").select(run_of_path(), "value")
 
 
 def newest_first(manifests: DataFrame) -> DataFrame:
@@ -63,8 +74,8 @@ def manifest_pages(manifests: DataFrame) -> DataFrame:
 
 
 def missing_pages(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """Pages a manifest lists that were not delivered. ``found`` holds ``page``."""
-    return listed.join(found.select(F.col("page").alias("file")).distinct(), "file", "left_anti")
+    """Pages a manifest lists that its run did not deliver. ``found`` holds ``run`` and ``page``; page names recur in every run."""
+    return listed.join(found.select("run", F.col("page").alias("file")).distinct(), ["run", "file"], "left_anti")
 
 
 # --- bulk CSV ---

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxatrend.operators.curation import managed_changes, managed_flag
-from taxatrend.workspace import write
+from taxatrend.workspace import drop, write
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -56,8 +56,8 @@ def merge_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str],
     # A partition that lost its last row has no merged rows to overwrite it with.
     left = {r[0] for r in merged.select(part).distinct().collect()}
     for v in [v for v in values if v not in left]:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={v}")
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        drop(spark, f"{path}/{part}={v}")
+    drop(spark, aside)
     return len(values)
 
 
@@ -99,9 +99,9 @@ def upsert_runs(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return kept.unionByName(added.select(*kept.columns))
 
 
-def attach_analysis(runs: DataFrame, harvest_id: str, analysis: DataFrame) -> DataFrame:
-    """Set a run's analysis, given as one JSON row."""
-    one = analysis.select(F.lit(harvest_id).alias("harvest_id"), F.col("analysis").alias("_a"))
+def attach_analysis(runs: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Set the analysis of runs: ``analysis`` holds harvest_id and its JSON."""
+    one = analysis.select("harvest_id", F.col("analysis").alias("_a"))
     return runs.join(one, "harvest_id", "left").withColumn("analysis", F.coalesce("_a", "analysis")).drop("_a")
 
 
@@ -155,6 +155,7 @@ def write_managed_flags(spark: SparkSession, path: str, rules: DataFrame, scratc
     write(managed_flag(stored.filter(F.col(part).isin([r[part] for r in changed])), rules), aside, partition_by=part)
     fresh = spark.read.schema(stored.schema).parquet(aside)
     fresh.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    drop(spark, aside)
     return sum(r["n"] for r in changed)
 
 

@@ -64,3 +64,9 @@ def write(df: DataFrame, path: str, partition_by: str | None = None, mode: str =
         df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a scratch copy that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

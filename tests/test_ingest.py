@@ -139,7 +139,7 @@ def test_one_harvest_does_not_depend_on_batches(spark, tmp_path):
 
 def test_no_bare_times_and_own_grammar(spark):
     from taxatrend.functions.timefn import text_instant
-    from taxatrend.operators.scoring import is_grounded, numeric_leaves, scored_number
+    from taxatrend.operators.scoring import grounded_numbers, numeric_leaves, scored_number
 
     texts = ["12:30", "2020-05-01", "2020-05-01T12:30:00Z", "0", "x", "2020", "05-2020"]
     got = [r[0] is not None for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_instant(F.col("t"))).collect()]
@@ -161,20 +161,72 @@ def test_no_bare_times_and_own_grammar(spark):
         pairs = ((a, b) for a, b in itertools.product(values, values) if b)
         return any(map(near, values)) or any(near(c) for a, b in pairs for c in (a - b, a / b, (a - b) / b, (a - b) / b * 100, a / b * 100))
 
-    for _ in range(3000):
-        values = np.array([rng.choice([0, rng.randint(-50, 50), round(rng.uniform(-1e4, 1e4), 2)]) for _ in range(rng.randint(0, 5))], float)
+    asked, given, want = [], [], {}
+    for i in range(3000):
+        values = [float(rng.choice([0, rng.randint(-50, 50), round(rng.uniform(-1e4, 1e4), 2), 10.0 ** rng.randint(-8, 12)])) for _ in range(rng.randint(0, 5))]
         places = rng.randint(0, 3)
         x = round(rng.choice([0.0, rng.uniform(-60, 60), rng.uniform(-2, 2), rng.uniform(-1e4, 1e4)]), places)
-        ordered = np.unique(values)
-        assert is_grounded(x, places, values, ordered, ordered[ordered != 0]) == direct(x, places, values), (x, places, values)
+        asked.append((i, x, places))
+        given += [(i, v) for v in set(values)]
+        want[i] = direct(x, places, values)
+    found = grounded_numbers(spark.createDataFrame(asked, "insight_id int, value double, places int"), spark.createDataFrame(given, "insight_id int, n double"))
+    rows = [r.insight_id for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {i for i, ok in want.items() if ok} and 300 < len(rows) < 2700
+
+
+def test_grounded_extents_against_brute_force(spark):
+    """Every number of an insight counts, extents of occurrence included."""
+    from taxatrend.operators.scoring import grounding, grounding_lines
+
+    figures = '{"eoo_km2": {"baseline": 1204.5, "recent": 963.6, "change": -0.2}, "records": {"baseline": 10, "recent": 7}}'
+    ai = spark.createDataFrame([(1, figures, [5]), (2, figures, [])], "insight_id int, f string, query_ids array<int>").withColumn("figures", F.parse_json("f"))
+    results = spark.createDataFrame([(5, 0, "a", "1204.49"), (5, 1, "a", "963.6"), (5, 0, "b", "3"), (5, 0, "c", "10")], "query_id int, row int, column string, value string")
+    # 7 is 10 - 3; the change is that of the two extents; a query not cited gives nothing.
+    assert {(r.insight_id, r.path) for r in grounding_lines(ai, results).collect() if r.ok} == {(1, p) for p in ("eoo_km2.baseline", "eoo_km2.recent", "eoo_km2.change", "records.baseline", "records.recent")}
+    assert [(r.numbers, r.grounded) for r in grounding(ai, results).orderBy("insight_id").collect()] == [(5, 5), (5, 0)]
+
+
+def test_names_in_texts_against_search(spark):
+    import random
+
+    from taxatrend.operators.scoring import substring_join
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 9)))
+    texts, names = {"".join(word() for _ in range(rng.randint(0, 20))) for _ in range(200)}, {word() for _ in range(150)} | {"", "no such name"}
+    got = substring_join(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted((r.text, r["name"]) for r in got.collect()) == sorted((t, n) for t in texts for n in names if n in t)
+    assert substring_join(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([], "name string")).count() == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_missing_pages_are_those_of_their_run(spark):
+    from taxatrend.sources.frozen import missing_pages
+
+    listed = spark.createDataFrame([("1", "p"), ("2", "p"), ("2", "q")], "run string, file string")
+    found = spark.createDataFrame([("1", "p"), ("2", "q")], "run string, page string")
+    assert [(r.run, r.file) for r in missing_pages(listed, found).collect()] == [("2", "p")]
+
+
+def test_year_partition_is_that_of_the_local_day(spark):
+    """An instant of 31 December in UTC is 1 January where the day is counted."""
+    from taxatrend.functions.timefn import in_any_window
+    from taxatrend.operators.curation import derived_columns
+    from taxatrend.params import Window
+
+    df = spark.createDataFrame([("1999-12-31 14:00:00",), ("1999-12-31 12:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp").alias("event_date"), F.lit(-12.05).alias("decimal_latitude"), F.lit(None).cast("double").alias("decimal_longitude"))
+    got = derived_columns(df)
+    assert sorted((r.event_year, str(r.event_day)) for r in got.collect()) == [(0, "None"), (1999, "1999-12-31"), (2000, "2000-01-01")]
+    assert in_any_window(got, Window("2000-01-01", "2000-12-31")).count() == 1
 
 
 def test_page_context_is_by_run(spark):
     from taxatrend.sources.frozen import with_context
 
     rows = spark.createDataFrame([("1", "p", 0), ("2", "p", 0), ("3", "p", 0)], "run string, page string, pos int")
-    pages = spark.createDataFrame([("1", "p", "2020-01-01T00:00:00Z", "h1"), ("2", "p", "2020-02-01T00:00:00Z", "h2")], "run string, file string, fetchedAt string, harvestKey string")
-    assert sorted((r.harvest_id, r.fetched_at.month) for r in with_context(rows, pages).collect()) == [("h1", 1), ("h2", 2)]
+    pages = spark.createDataFrame([("1", "p", "2020-01-01T00:00:00Z", "h", "1"), ("2", "p", "2020-02-01T00:00:00Z", "h", "2")], "run string, file string, fetchedAt string, harvestKey string, runId string")
+    assert sorted((r.harvest_id, r.fetched_at.month) for r in with_context(rows, pages).collect()) == [("h/1", 1), ("h/2", 2)]
 
 
 def test_only_window_years_are_read(spark, tmp_path):
