@@ -357,14 +357,14 @@ def ranges(c: Corpus, extent: bool):
 query("i2_range_change_aoo", S.using(f"select {dates_sql()} from rc", S.tiers(), S.range_change()))(lambda c: range_flat(ranges(c, False)))
 
 
-@query("i2_range_change_full")
+@query("i2_range_change_full", S.using("select * from rc_text", S.tiers(), S.range_change(), S.range_extent()))
 def _(c: Corpus):
     df = ranges(c, True)
     f = lambda x: F.col(f"figures.{x}")
     return df.select("taxon_concept_id", f("flag").alias("flag"), f("eoo_km2.baseline").alias("eoo_b"), f("eoo_km2.recent").alias("eoo_r"), f("eoo_km2.change").alias("eoo_change"), "summary")
 
 
-query("a8_extent_of_occurrence")(
+query("a8_extent_of_occurrence", S.using("select key as taxon_concept_id, round(eoo_km2, 3) as eoo_km2 from eoo", S.hull_area("eoo", "select taxon_concept_id as key, lon, lat from rec")))(
     lambda c: extent_km2(c.records.filter(cu.has_point()).select("taxon_concept_id", F.col("decimal_longitude").alias("lon"), F.col("decimal_latitude").alias("lat")), ["taxon_concept_id"])
     .withColumn("eoo_km2", F.round("eoo_km2", 3))
 )
@@ -439,15 +439,15 @@ query("a11_finding_members", S.using("select taxon_concept_id, coalesce(ibra_reg
 )
 
 
-P29 = """select summary from silent_nat union all select summary from silent_reg union all select summary from rate_reg union all select summary from co union all select summary from nt"""
+P29 = """select summary from silent_nat union all select summary from silent_reg union all select summary from rate_reg union all select summary from co union all select summary from nt union all select summary from rc_text"""
 
 
-@query("p29_summary_sentences", S.using(P29, S.tiers(), S.silent(), S.rate(P, True), S.co_movement(P), S.notable()))
+@query("p29_summary_sentences", S.using(P29, S.tiers(), S.silent(), S.rate(P, True), S.co_movement(P), S.notable(), S.range_change(), S.range_extent()))
 def _(c: Corpus):
     reg = c.regional_rates
     parts = [
         si.national(c.records, c.taxa, c.p), si.regional(c.records, c.taxa, c.p), reg, cm.co_movement(reg, c.taxa, c.p),
-        nt.notable_records(c.occurrences, c.records, c.datasets, c.taxa, c.tiers, c.p),
+        nt.notable_records(c.occurrences, c.records, c.datasets, c.taxa, c.tiers, c.p), ranges(c, True),
     ]
     out = parts[0].select("summary")
     for d in parts[1:]:

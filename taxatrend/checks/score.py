@@ -201,7 +201,7 @@ def _(c: Corpus):
 
 # --- grounding ---
 
-RESULTS = """
+RESULTS = S.range_extent() + """,
 res as (
   select cast(taxon_concept_id[2:] as bigint) as query_id, 0 as r, 'n' as col, cast(count(*) as varchar) as v from rec group by taxon_concept_id
   union all select cast(taxon_concept_id[2:] as bigint), 0, 'label', 'x' || taxon_concept_id from rec group by taxon_concept_id
@@ -212,10 +212,11 @@ vals as (
   select query_id, n from num union all select query_id, sum(n) from num group by query_id, col having count(*) > 1
 ),
 leaf as (
-  select insight_id, k, p.path, p.x from ai, lateral (select unnest([
+  select insight_id, k, p.path, p.x from (select * from ai left join rc_eoo using (taxon_concept_id)) ai, lateral (select unnest([
     struct_pack(path := 'records_since_2015', x := cast(case when insight_type = 'silent_species' then records_since_2015 end as double)), struct_pack(path := 'detection_ratio', x := case when insight_type = 'reporting_rate' then detection_ratio end),
     struct_pack(path := 'aoo_10km_km2.baseline', x := case when insight_type = 'range_change' then aoo_10km_b end), struct_pack(path := 'aoo_10km_km2.recent', x := case when insight_type = 'range_change' then aoo_10km_r end),
     struct_pack(path := 'aoo_10km_km2.change', x := case when insight_type = 'range_change' then aoo_10km_change end),
+    struct_pack(path := 'eoo_km2.change', x := case when insight_type = 'range_change' then eoo_change end),
     struct_pack(path := 'records.baseline', x := case when insight_type = 'range_change' then records_b end), struct_pack(path := 'records.recent', x := case when insight_type = 'range_change' then records_r end),
     struct_pack(path := 'declines', x := case when insight_type = 'co_movement' then declines end), struct_pack(path := 'increases', x := case when insight_type = 'co_movement' then increases end), struct_pack(path := 'taxa_assessed', x := case when insight_type = 'co_movement' then taxa_assessed end),
     struct_pack(path := 'records', x := case when insight_type = 'notable_record' then records end)], recursive := true)) p where p.x is not null
@@ -258,25 +259,16 @@ def lines_of(c: Corpus):
     return c.ws.table("grounding_lines", lambda: sc.grounding_lines(placed_ai(c), results(c)))
 
 
-#: The SQL has no hull, so it restates all numbers but extents of occurrence; those are held against brute force in the tests.
-EXTENT = F.col("path").startswith("eoo_km2.")
+RATES = f"select cast(sum(numbers) as bigint) as numbers, {S.fx('sum(grounded) / sum(numbers)', 3)} as numbers_grounded, {S.fx('count(*) filter (numbers = grounded) / count(*)', 3)} as insights_fully_grounded"
+PER_INSIGHT = "select insight_id, count(path) as numbers, coalesce(count(*) filter (ok), 0) as grounded from ai left join judged using (insight_id) group by insight_id"
 
 
-@query("j24_grounded_numbers", using("select insight_id, count(*) as numbers, count(*) filter (ok) as grounded from judged group by insight_id", RESULTS))
+@query("j24_grounded_numbers", using("select insight_id, path, ok from judged", RESULTS))
 def _(c: Corpus):
-    return lines_of(c).filter(~EXTENT).groupBy("insight_id").agg(F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"))
+    return lines_of(c).select("insight_id", "path", "ok")
 
 
-query("j24_grounded_extents")(lambda c: lines_of(c).filter(EXTENT))
-
-
-@query("a33_grounding_rates", using(f"select cast(sum(numbers) as bigint) as numbers, {S.fx('sum(grounded) / sum(numbers)', 3)} as numbers_grounded, {S.fx('count(*) filter (numbers = grounded) / count(*)', 3)} as insights_fully_grounded from (select insight_id, count(path) as numbers, coalesce(count(*) filter (ok), 0) as grounded from ai left join judged using (insight_id) group by insight_id)", RESULTS))
-def _(c: Corpus):
-    per = lines_of(c).filter(~EXTENT).groupBy("insight_id").agg(F.count("*").alias("numbers"), F.count_if("ok").alias("grounded"))
-    return sc.grounding_rates(placed_ai(c).select("insight_id").join(per, "insight_id", "left").fillna(0))
-
-
-query("a33_grounding_rates_with_extents")(lambda c: sc.grounding_rates(sc.grounding(placed_ai(c), results(c))))
+query("a33_grounding_rates", using(f"{RATES} from ({PER_INSIGHT})", RESULTS))(lambda c: sc.grounding_rates(sc.grounding(placed_ai(c), results(c))))
 
 
 def logged(c: Corpus):
@@ -284,12 +276,21 @@ def logged(c: Corpus):
     return r.select("query_id", "rerun_hash", F.when(F.col("query_id") % 9 != 0, F.col("rerun_hash")).otherwise("other").alias("result_hash"))
 
 
-query("a33_queries_reproduced", using("select count(*) as queries_cited, count(*) filter (q % 9 <> 0 and q in (select query_id from res)) as queries_reproduced from (select distinct unnest([k, k + 1000]) as q from ai where taxon_concept_id is not null)", RESULTS))(
+REPRODUCED = "select count(*) as queries_cited, count(*) filter (q % 9 <> 0 and q in (select query_id from res)) as queries_reproduced from (select distinct unnest([k, k + 1000]) as q from ai where taxon_concept_id is not null)"
+
+query("a33_queries_reproduced", using(REPRODUCED, RESULTS))(
     lambda c: sc.query_reproduction(placed_ai(c), logged(c))
 )
 
 
-@query("e1_score_run")
+# Headline rows count as insights, each with one number and no cited query.
+E1 = f"""select (select count(*) from ai) + (select count(*) from heads) as ai_insights, t.*, {S.fx('agreed / checked', 3)} as figure_agreement, r.* exclude (set, found, mentioned, of), u.*, q.*, g.*
+  from ({TOTALS}) t, (select 'overall' as set, *, {S.fx('found / of', 3)} as recall_by_key, {S.fx('mentioned / of', 3)} as recall_by_mention from (select {RECALL})) r,
+  (select count(*) as insights_on_unflagged_taxa from ai where taxon_concept_id is not null and taxon_concept_id not in (select taxon_concept_id from calc where taxon_concept_id is not null and (kind is not null or flag is not null or insight_type = 'notable_record'))) u,
+  ({REPRODUCED}) q, ({RATES} from ({PER_INSIGHT} union all select key, 1, 0 from heads)) g"""
+
+
+@query("e1_score_run", using(E1, PRIORITY, RESULTS))
 def _(c: Corpus):
     summary, _ = sc.score_run(ai(c), ins(c), results(c), logged(c), c.taxa, guided=True)
     return summary

@@ -431,6 +431,58 @@ nt as (
 )"""
 
 
+#: Marks CTEs that refer to themselves.
+RECURSIVE = "/* recursive */"
+
+
+def hull_area(name: str, points: str) -> str:
+    """CTE ``name`` (key, eoo_km2): area of the convex hull of each key's points (key, lon, lat in whole hundredths of a degree).
+
+    The two chains of a hull are walked over one meridian's extreme points after another: the last kept point is given up as long as it does not
+    turn left to the next. Cross products of whole numbers are exact. Edges are great circles on the sphere of equal area.
+    """
+    e2 = geo.WGS84_F * (2 - geo.WGS84_F)
+    q = lambda s: f"({1 - e2!r} * ({s} / (1 - {e2!r} * {s} * {s}) + atanh(sqrt({e2!r}) * {s}) / sqrt({e2!r})))"
+    half = lambda y: f"tan(asin(greatest(-1.0, least(1.0, {q(f'sin(radians({y} / 100.0::double))')} / {q('1.0::double')}))) / 2)"
+    return f"""
+{name}_x as {RECURSIVE} (
+  select key, x, min(y) as south, max(y) as north from (select key, cast(round(lon * 100) as bigint) as x, cast(round(lat * 100) as bigint) as y from ({points})) group by key, x
+),
+{name}_side as (
+  select key, 1 as side, list({{'x': x, 'y': south}} order by x) as pts from {name}_x group by key union all select key, 2, list({{'x': x, 'y': north}} order by x desc) from {name}_x group by key
+),
+{name}_walk as (
+  select key, side, cast(1 as bigint) as i, pts[1:0] as st from {name}_side
+  union all
+  select key, side, case when back then i else i + 1 end, case when back then st[1:len(st) - 1] else list_append(st, pt) end from (
+    select key, side, i, st, pt, len(st) > 1 and (st[len(st)].x - st[len(st) - 1].x) * (pt.y - st[len(st) - 1].y) - (st[len(st)].y - st[len(st) - 1].y) * (pt.x - st[len(st) - 1].x) <= 0 as back
+    from (select w.key, w.side, w.i, w.st, s.pts[w.i] as pt from {name}_walk w join {name}_side s on s.key = w.key and s.side = w.side where w.i <= len(s.pts)))
+),
+{name}_ring as (
+  select key, list_concat(max(w.st) filter (side = 1), max(w.st) filter (side = 2)) as ring from {name}_walk w join {name}_side s using (key, side) where w.i = len(s.pts) + 1 group by key
+),
+{name} as (
+  select key, abs(sum(2 * atan2(tan(radians((b.x - a.x) / 100.0::double) / 2) * (ta + tb), 1 + ta * tb))) * {(geo.A / 1000) ** 2!r} * {q('1.0::double')} / 2 as eoo_km2
+  from (select key, a, b, {half('a.y')} as ta, {half('b.y')} as tb from (select key, ring[j] as a, ring[j % len(ring) + 1] as b from (select key, ring, unnest(range(1, len(ring) + 1)) as j from {name}_ring)))
+  group by key
+)"""
+
+
+def range_extent(p: Params = PARAMS) -> str:
+    """CTE rc_eoo (taxon_concept_id, eoo_b, eoo_r, eoo_change). Needs range_change()."""
+    side = lambda w: f"coalesce(max(eoo_km2) filter (key = taxon_concept_id || '{w}'), 0)"
+    return hull_area("eoo", "select taxon_concept_id || win as key, lon, lat from rw") + f""",
+rc_eoo as (
+  select taxon_concept_id, {ri('b')} as eoo_b, {ri('r')} as eoo_r, {fx('((r - b) / nullif(b, 0))', 3)} as eoo_change
+  from (select taxon_concept_id, {side('b')} as b, {side('r')} as r from (select distinct taxon_concept_id, win from rw) join eoo on key = taxon_concept_id || win group by taxon_concept_id)
+),
+rc_text as (
+  select rc.taxon_concept_id, flag, eoo_b, eoo_r, eoo_change, {NAME} || ': occupied 10 km cells ' || {change_text('aoo_10km_change')} || ', {p.baseline_window.years} to {p.recent_window.years} (' || aoo_10km_b || ' → ' || aoo_10km_r
+    || ' km²); extent ' || {change_text('eoo_change')} || '; records ' || records_b || ' → ' || records_r || case when flag is not null then '; flag: ' || flag || '.' when enough_records then '.' else '; not enough records for a flag.' end as summary
+  from rc join rc_eoo using (taxon_concept_id) join taxa using (taxon_concept_id)
+)"""
+
+
 def using(select: str, *ctes: str) -> str:
     """A statement over the corpus and the given further CTEs."""
-    return "with " + ",\n".join([CORPUS, *ctes]) + "\n" + select
+    return ("with recursive " if any(RECURSIVE in c for c in ctes) else "with ") + ",\n".join([CORPUS, *ctes]).replace(RECURSIVE, "") + "\n" + select

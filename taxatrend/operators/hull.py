@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from taxatrend.functions.geo import WGS84_F, A
 
 E2 = WGS84_F * (2 - WGS84_F)
+#: Twice the area, in square degrees, below which three points count as collinear: rounding of coordinates makes no vertex.
+FLAT = 1e-9
 
 # Workers get these functions with the task, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,7 +42,7 @@ def hull(points: np.ndarray) -> np.ndarray:
         for q in seq:
             while len(out) > 1:
                 a, b = out[-2], out[-1]
-                if (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]) > 0:
+                if (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0]) > FLAT:
                     break
                 out.pop()
             out.append(q)
@@ -78,6 +80,26 @@ def area_km2(vertices: np.ndarray) -> float:
     return float(abs(excess.sum()) * authalic_radius_km() ** 2)
 
 
+def outer_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, lon, lat) less those inside the polygon of a group's extremes in eight directions, which are no hull vertices.
+
+    The extremes are one row of aggregates a group; most points of a spread-out group go here, before Python sees any.
+    """
+    lon, lat, at = F.col("lon"), F.col("lat"), F.struct("lon", "lat")
+    # Counter-clockwise from the south; ties go to one of the extremes, which is enough.
+    ways = [(-lat), (lon - lat), lon, (lon + lat), lat, (lat - lon), (-lon), (-lon - lat)]
+    corners = points.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.max_by(at, F.struct(w, at)).alias(f"c{i}") for i, w in enumerate(ways)])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside, some = F.lit(True), F.lit(False)
+    for i in range(len(ways)):
+        a, b = F.col(f"c{i}"), F.col(f"c{(i + 1) % len(ways)}")
+        turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        inside, some = inside & ((a == b) | (turn > FLAT)), some | (a != b)
+    return points.join(corners, same).filter(~(inside & some)).select(points.columns)
+
+
 def extent_km2(points: DataFrame, keys: list[str]) -> DataFrame:
     """``points``: keys, lon, lat -> keys, eoo_km2."""
     types = dict(points.dtypes)
@@ -86,7 +108,7 @@ def extent_km2(points: DataFrame, keys: list[str]) -> DataFrame:
     # Of the points on one meridian only the southernmost and northernmost can be hull vertices. Grouping by
     # longitude also spreads a group that holds most rows over all partitions.
     extremes = points.groupBy(*keys, "lon").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
-    candidates = extremes.select(*keys, "lon", F.explode(F.array_distinct(F.array("south", "north"))).alias("lat"))
+    candidates = outer_points(extremes.select(*keys, "lon", F.explode(F.array_distinct(F.array("south", "north"))).alias("lat")), keys)
 
     def reduce_groups(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from taxatrend.operators.hull import area_km2, extent_km2, hull
+from taxatrend.operators.hull import area_km2, extent_km2, hull, outer_points
 from taxatrend.operators.nearest import leaf_level, nearest_earlier
 
 
@@ -26,6 +26,19 @@ def test_degenerate_hulls_have_no_area():
     assert area_km2(hull(np.array([[1.0, 1.0], [2.0, 2.0], [3.0, 3.0], [2.0, 2.0]]))) == pytest.approx(0, abs=1e-9)
 
 
+def test_no_vertex_is_cut_away(spark):
+    rng = np.random.default_rng(6)
+    pts = [("round", float(x), float(y)) for x, y in rng.normal(size=(4000, 2))] + [("line", float(i), 2.0 * i) for i in range(50)] + [("spot", 1.0, 1.0)] * 3 + [(None, 0.0, 0.0), (None, 1.0, 0.0), (None, 0.0, 1.0)]
+    df = spark.createDataFrame(pts, "k string, lon double, lat double")
+    left = outer_points(df, ["k"]).collect()
+    by = {k: np.array([(r.lon, r.lat) for r in left if r.k == k]) for k in ("round", "line", "spot", None)}
+    assert len(by["round"]) < 1000 and len(by["spot"]) == 3 and len(by[None]) == 3
+    for k in by:
+        whole = np.array([(x, y) for n, x, y in pts if n == k])
+        assert {tuple(p) for p in hull(whole)} == {tuple(p) for p in hull(by[k])}
+    assert {r.k for r in extent_km2(df, ["k"]).collect()} == set(by)
+
+
 def test_area_of_a_degree_square():
     # One degree square on the equator of WGS84 is 12308.8 km2 between parallels.
     square = np.array([[0, -0.5], [1, -0.5], [1, 0.5], [0, 0.5]], dtype=float)
