@@ -32,7 +32,7 @@ delivered as (
     select 0 as again union all select 1 where l_linenumber = 1 and l_orderkey % 20 = 3)
 ),
 mapped as (
-  select *, case when ln = 7 and ok % 50 = 0 then '' else sid end as source_record_id,
+  select *, row_number() over (partition by page order by again, ok, ln, l_partkey, l_suppkey, l_quantity, l_shipdate, l_tax) - 1 as page_pos, case when ln = 7 and ok % 50 = 0 then '' else sid end as source_record_id,
          case when ln <> 5 then 'd' || (l_suppkey % 10) end as data_resource_uid,
          case when not (k = 11 and ln = 4) then 'Genus species' || k when ok % 2 = 0 then 'nested' end as scientific_name,
          case when l_partkey % 9 = 0 then 'Common; name-' || k end as vernacular_name,
@@ -241,26 +241,71 @@ def _(c: Corpus):
 # --- mapping ---
 
 
-@query("p9_canonical_projection", using("""select 'atlas:' || source_record_id as record_id, data_resource_uid, scientific_name, vernacular_name, 'T' || k as taxon_concept_id, 'Aves' as taxon_class,
-  cast(event_date as varchar) as event_date, cast(lat as double) as decimal_latitude, cast(lon as double) as decimal_longitude, unc as coordinate_uncertainty_m, individual_count, remarks as occurrence_remarks, assertions, is_valid from kept"""))
+def literal(text: str | None) -> str:
+    return "cast(null as varchar)" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+# The status of every mapped field that the delivery can hold; all others are absent.
+STATUS = {
+    "provenance.sourceRecordId": "case when ln = 7 and ok % 50 = 0 then 'absent_from_source' else 'mapped' end",
+    "provenance.dataResourceUid": "case when ln = 5 then 'empty_in_source' else 'mapped' end",
+    "provenance.dataResourceName": "case when ln = 5 then 'empty_in_source' else 'mapped' end",
+    "scientificName": "case when k = 11 and ln = 4 and ok % 2 = 1 then 'empty_in_source' when k = 11 and ln = 4 then 'mapped' when l_partkey % 7 = 0 then 'derived' else 'mapped' end",
+    "vernacularName": "case when l_partkey % 9 = 0 then 'derived' when l_partkey % 9 = 1 then 'empty_in_source' else 'absent_from_source' end",
+    "taxonConceptId": "'mapped'", "taxonClass": "'mapped'", "stateProvince": "'mapped'", "decimalLongitude": "'mapped'", "recordedByPseudonym": "'derived'",
+    "nationalStatus": "case when l_partkey % 10 <> 9 then 'mapped' else 'absent_from_source' end",
+    "eventDate": "case when ln = 6 and ok % 10 = 1 then 'rejected' when ln = 7 then 'absent_from_source' else 'derived' end",
+    "decimalLatitude": "case when ln = 1 and ok % 100 = 7 then 'mapped' when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end",
+    "coordinateUncertaintyInMeters": "case when ln <> 7 or ok % 40 = 9 then 'mapped' else 'absent_from_source' end",
+    "individualCount": "case when ln = 4 and ok % 30 = 2 then 'mapped' else 'derived' end",
+    "occurrenceRemarks": "case when ln % 3 = 2 then 'absent_from_source' else 'mapped' end",
+    "sourceAssertions": "case ln when 1 then 'derived' when 2 then 'mapped' when 3 then 'rejected' else 'absent_from_source' end",
+}
+
+
+def statuses(source: str) -> str:
+    """Rows (canonical_field, status, note) for all mapped fields of the records in ``source``."""
+    each = ", ".join(f"{{'canonical_field': '{f.path}', 'status': {STATUS.get(f.path, literal('absent_from_source'))}, 'own': {literal(f.note)}}}" for f in mp.sc.MAPPED)
+    return f"select canonical_field, status, case when own is not null then own when status = 'rejected' then '{mp.REJECTED_NOTE}' end as note from (select unnest([{each}], recursive := true) from {source})"
+
+
+ISSUES = """list_filter([case when source_record_id = '' then 'MISSING_SOURCE_RECORD_ID' end, case when scientific_name is null then 'MISSING_SCIENTIFIC_NAME' end,
+    case when lat is null then 'MISSING_COORDINATES' end, case when lat > 90 then 'COORDINATES_OUT_OF_RANGE' end,
+    case when lat <= 90 and not (lat between -44 and -9 and lon between 112 and 154) then 'OUTSIDE_AUSTRALIA_BBOX' end,
+    case when unc < 0 then 'NEGATIVE_UNCERTAINTY' end, case when event_date is null then 'MISSING_EVENT_DATE' end,
+    case when event_date > timestamp '2001-06-01' then 'FUTURE_EVENT_DATE' end, case when individual_count < 0 then 'NEGATIVE_INDIVIDUAL_COUNT' end], lambda x: x is not null)"""
+#: Fields that no record of the delivery has.
+BARE = ["occurrence_id", "license", "taxon_rank", "kingdom", "phylum", "taxon_order", "family", "genus", "first_loaded_at", "ibra_region", "locality", "basis_of_record", "event_remarks"]
+
+
+def hmac_sql(message: str) -> str:
+    """HMAC-SHA256 as two nested digests over padded keys."""
+    key = dv.SALT.encode().ljust(64, b"\0")
+    inner, outer = ("'" + "".join(f"\\x{b ^ pad:02X}" for b in key) + "'::blob" for pad in (0x36, 0x5C))
+    return f"sha256({outer} || unhex(sha256({inner} || encode({message}))))"
+
+
+OBSERVER = f"'obs_' || left({hmac_sql("'observer ' || l_suppkey % 50 || '|team'")}, 16)"
+
+
+@query("p9_canonical_projection", using(f"""select 'atlas:' || source_record_id as record_id, 'atlas' as source, source_record_id, data_resource_uid, case when ln <> 5 then 'Dataset ' || (l_suppkey % 10) end as data_resource_name, scientific_name, vernacular_name,
+  'T' || k as taxon_concept_id, 'Aves' as taxon_class, case when l_partkey % 10 <> 9 then 'Vulnerable' end as national_status, cast(event_date as varchar) as event_date, cast(lat as double) as decimal_latitude, cast(lon as double) as decimal_longitude,
+  unc as coordinate_uncertainty_m, 'State' as state_province, individual_count, {OBSERVER} as recorded_by_pseudonym, remarks as occurrence_remarks, assertions, is_valid, len({ISSUES}) as issue_count,
+  'pages/2001-07-0' || (page % {dv.RUNS} + 1) || 'T00-00-00' as harvest_id, 'page=p' || printf('%08d', page) as snapshot_page, page_pos, '2001-07-01 00:00:00' as fetched_at, {", ".join(f"cast(null as varchar) as {c}" for c in BARE)} from kept"""))
 def _(c: Corpus):
+    text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
     return kept(c).select(
-        "record_id", "data_resource_uid", "scientific_name", "vernacular_name", "taxon_concept_id", "taxon_class", F.col("event_date").cast("string").alias("event_date"),
-        "decimal_latitude", "decimal_longitude", "coordinate_uncertainty_m", "individual_count", "occurrence_remarks", F.array_join("source_assertions", ",").alias("assertions"), "is_valid",
+        "record_id", "source", "source_record_id", "data_resource_uid", "data_resource_name", "scientific_name", "vernacular_name", "taxon_concept_id", "taxon_class", "national_status",
+        *text("event_date"), "decimal_latitude", "decimal_longitude", "coordinate_uncertainty_m", "state_province", "individual_count", "recorded_by_pseudonym", "occurrence_remarks",
+        F.array_join("source_assertions", ",").alias("assertions"), "is_valid", "issue_count", "harvest_id", "snapshot_page", "page_pos", *text("fetched_at", *BARE),
     )
 
 
-@query("p2_mapping_trace", using("""select status, note, count(*) as n from (
-  select case when k = 11 and ln = 4 and ok % 2 = 1 then 'empty_in_source' when k = 11 and ln = 4 then 'mapped' when l_partkey % 7 = 0 then 'derived' else 'mapped' end as status, cast(null as varchar) as note from delivered
-  union all select case when l_partkey % 9 = 0 then 'derived' when l_partkey % 9 = 1 then 'empty_in_source' else 'absent_from_source' end, null from delivered
-  union all select case when ln = 3 and ok % 25 = 0 then 'rejected' when ln = 2 then 'derived' else 'mapped' end, case when ln = 3 and ok % 25 = 0 then 'value given but unreadable' end from delivered
-  union all select case when ln = 6 and ok % 10 = 1 then 'rejected' when ln = 7 then 'absent_from_source' else 'derived' end, 'epoch milliseconds or ISO text, kept as a UTC instant' from delivered
-  union all select case when ln = 1 or ln = 2 then case ln when 1 then 'derived' else 'mapped' end when ln = 3 then 'rejected' else 'absent_from_source' end, case when ln = 3 then 'value given but unreadable' end from delivered
-  union all select case when ln = 4 and ok % 30 = 2 then 'mapped' else 'derived' end, null from delivered) group by all"""))
+@query("p2_mapping_trace", using(f"select canonical_field, status, note, count(*) as n from ({statuses('delivered')}) group by all"))
 def _(c: Corpus):
-    chosen = ["scientificName", "vernacularName", "decimalLatitude", "eventDate", "sourceAssertions", "individualCount"]
-    lines = mp.adapt(rows(c), dv.SALT, dv.AS_OF, full_trace=True).select(F.explode(F.filter("trace", lambda t: t["canonical_field"].isin(chosen))).alias("t"))
-    return lines.groupBy("t.status", "t.note").agg(F.count("*").alias("n"))
+    # An explode would bring a filter on the trace, which would be pushed below the mapping and repeat it.
+    lines = mp.adapt(rows(c), dv.SALT, dv.AS_OF, full_trace=True).select(F.explode_outer("trace").alias("t"))
+    return lines.groupBy("t.canonical_field", "t.status", "t.note").agg(F.count("*").alias("n"))
 
 
 @query("p1_flatten_nested", using("select 'month' || case ln % 3 when 2 then '' else ',raw_occurrenceRemarks' end || case when k = 11 and ln = 4 and ok % 2 = 0 then ',scientificName' else '' end as lifted, count(*) as n from kept group by all"))
@@ -288,25 +333,12 @@ def _(c: Corpus):
     return d.groupBy(F.coalesce(F.split("u", ":")[1].cast("int"), F.lit(0)).alias("ln"), F.col("t.canonical_value").alias("value")).agg(F.count("*").alias("n"))
 
 
-def hmac_sql(message: str) -> str:
-    """HMAC-SHA256 as two nested digests over padded keys."""
-    key = dv.SALT.encode().ljust(64, b"\0")
-    inner, outer = ("'" + "".join(f"\\x{b ^ pad:02X}" for b in key) + "'::blob" for pad in (0x36, 0x5C))
-    return f"sha256({outer} || unhex(sha256({inner} || encode({message}))))"
-
-
-@query("p10_observer_pseudonym", using(f"select 'obs_' || left({hmac_sql("'observer ' || l_suppkey % 50 || '|team'")}, 16) as recorded_by_pseudonym, count(*) as n from kept group by 1"))
+@query("p10_observer_pseudonym", using(f"select {OBSERVER} as recorded_by_pseudonym, count(*) as n from kept group by 1"))
 def _(c: Corpus):
     return kept(c).groupBy("recorded_by_pseudonym").agg(F.count("*").alias("n"))
 
 
-@query("p12_p13_validation", using("""select code, count(*) as n from (
-  select unnest([case when source_record_id = '' then 'MISSING_SOURCE_RECORD_ID' end, case when scientific_name is null then 'MISSING_SCIENTIFIC_NAME' end,
-    case when lat is null then 'MISSING_COORDINATES' end, case when lat > 90 then 'COORDINATES_OUT_OF_RANGE' end,
-    case when lat <= 90 and not (lat between -44 and -9 and lon between 112 and 154) then 'OUTSIDE_AUSTRALIA_BBOX' end,
-    case when unc < 0 then 'NEGATIVE_UNCERTAINTY' end, case when event_date is null then 'MISSING_EVENT_DATE' end,
-    case when event_date > timestamp '2001-06-01' then 'FUTURE_EVENT_DATE' end, case when individual_count < 0 then 'NEGATIVE_INDIVIDUAL_COUNT' end]) as code from kept)
-  where code is not null group by code union all select 'valid', count(*) from kept where is_valid"""))
+@query("p12_p13_validation", using(f"select code, count(*) as n from (select unnest({ISSUES}) as code from kept) group by code union all select 'valid', count(*) from kept where is_valid"))
 def _(c: Corpus):
     k = kept(c)
     return cv.validation_counts(k).select("code", F.col("count").alias("n")).unionByName(k.filter("is_valid").select(F.lit("valid").alias("code")).groupBy("code").agg(F.count("*").alias("n")))
@@ -322,21 +354,32 @@ def _(c: Corpus):
     return out.filter(F.col("i.code").endswith("EVENT_DATE")).groupBy("k", F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("p14_schema_conformance", """select path, status, actual_type, count(*) as records from (
-  select unnest([struct_pack(path := 'scientificName', status := 'ok', actual_type := 'string'),
-    struct_pack(path := 'decimalLatitude', status := case when o_orderkey % 5 = 0 then 'type_mismatch' else 'ok' end, actual_type := 'number'),
-    struct_pack(path := 'individualCount', status := case when o_orderkey % 2 = 0 then 'ok' else 'type_mismatch' end, actual_type := case when o_orderkey % 2 = 0 then 'number' else 'string' end),
-    struct_pack(path := 'isValid', status := 'missing_required', actual_type := 'absent'),
-    struct_pack(path := 'provenance.source', status := case when o_orderkey % 3 = 0 then 'missing_required' else 'ok' end, actual_type := 'string')], recursive := true) from orders) group by all""")
+def p14_sql() -> str:
+    """Every declared field: those the made-up records hold, and the rest, absent."""
+    held = {
+        "scientificName": ("'ok'", "'string'"), "decimalLatitude": ("case when o_orderkey % 5 = 0 then 'type_mismatch' else 'ok' end", "'number'"),
+        "individualCount": ("case when o_orderkey % 2 = 0 then 'ok' else 'type_mismatch' end", "case when o_orderkey % 2 = 0 then 'number' else 'string' end"),
+        "provenance.source": ("case when o_orderkey % 3 = 0 then 'missing_required' else 'ok' end", "'string'"),
+        "provenance.fetchedAt": ("case when o_orderkey % 4 = 0 then 'ok' else 'type_mismatch' end", "'string'"), "sourceAssertions": ("case when o_orderkey % 4 = 1 then 'type_mismatch' else 'ok' end", "'array'"),
+        "locality": ("'empty'", "'null'"), "decimalLongitude": ("'type_mismatch'", "'object'"), "isValid": ("case when o_orderkey % 7 = 0 then 'ok' else 'type_mismatch' end", "case when o_orderkey % 7 = 0 then 'boolean' else 'number' end"),
+    }
+    lines = []
+    for f in mp.sc.FIELDS:
+        status, kind = held.get(f.path, (literal("missing_required" if f.required else "empty"), "'absent'"))
+        lines.append(f"{{'path': '{f.path}', 'status': {status}, 'actual_type': {kind}}}")
+    return f"select path, status, actual_type, count(*) as records from (select unnest([{', '.join(lines)}], recursive := true) from orders) group by all"
+
+
+@query("p14_schema_conformance", p14_sql())
 def _(c: Corpus):
     ok = F.col("o_orderkey")
-    lat = F.when(ok % 5 == 0, "123.5").otherwise("-33.5")
-    n = F.when(ok % 2 == 0, "4").otherwise('"4"')
-    src = F.when(ok % 3 == 0, "").otherwise("atlas")
-    doc = F.concat(F.lit('{"scientificName": "a", "decimalLatitude": '), lat, F.lit(', "individualCount": '), n, F.lit(', "provenance": {"source": "'), src, F.lit('"}}'))
-    o = read(c.spark, c.sf_dir, "orders").select(F.parse_json(doc).alias("r"))
-    wanted = ["scientificName", "decimalLatitude", "individualCount", "isValid", "provenance.source"]
-    return va.schema_conformance(o, "r").filter(F.col("path").isin(wanted))
+    pick = lambda when, a, b: F.when(when, a).otherwise(b)
+    doc = F.concat(
+        F.lit('{"scientificName": "a", "decimalLatitude": '), pick(ok % 5 == 0, "123.5", "-33.5"), F.lit(', "individualCount": '), pick(ok % 2 == 0, "4", '"4"'),
+        F.lit(', "locality": null, "decimalLongitude": {"x": 1}, "isValid": '), pick(ok % 7 == 0, "true", "1"), F.lit(', "sourceAssertions": ["A"'), pick(ok % 4 == 1, ", 5]", "]"),
+        F.lit(', "provenance": {"source": "'), pick(ok % 3 == 0, "", "atlas"), F.lit('", "fetchedAt": "'), pick(ok % 4 == 0, "2020-01-01T00:00:00.000Z", "yesterday"), F.lit('"}}'),
+    )
+    return va.schema_conformance(read(c.spark, c.sf_dir, "orders").select(F.parse_json(doc).alias("r")), "r")
 
 
 @query("p6_p7_p8_coercions", """select event_id, try_cast(json_extract_string(props, '$.k') as double) as num, cast(trunc(try_cast(json_extract_string(props, '$.k') as double) / 7) as bigint) as whole,
@@ -357,15 +400,13 @@ def _(c: Corpus):
     return mp.adapt_summary(adapted(c), kept(c))
 
 
-@query("a13_field_coverage", using(f"""select 'scientificName' as canonical_field, count(*) as total, count(scientific_name) as populated, {S.fx('count(scientific_name) / count(*)', 6)} as coverage from kept
-  union all select 'eventDate', count(*), count(event_date), {S.fx('count(event_date) / count(*)', 6)} from kept
-  union all select 'decimalLatitude', count(*), count(lat), {S.fx('count(lat) / count(*)', 6)} from kept
-  union all select 'occurrenceRemarks', count(*), count(remarks), {S.fx('count(remarks) / count(*)', 6)} from kept
-  union all select 'coordinateUncertaintyInMeters', count(*), count(unc), {S.fx('count(unc) / count(*)', 6)} from kept
-  union all select 'genus', count(*), 0, 0.0 from kept"""))
+COVERAGE = f"""select canonical_field, {', '.join(f"count(*) filter (status = '{x}') as {x}" for x in cv.STATUSES)}, count(*) as total, count(*) filter (status in ('mapped', 'derived')) as populated,
+  {S.fx("count(*) filter (status in ('mapped', 'derived')) / count(*)", 6)} as coverage from ({statuses('kept')}) group by canonical_field"""
+
+
+@query("a13_field_coverage", using(COVERAGE))
 def _(c: Corpus):
-    wanted = ["scientificName", "eventDate", "decimalLatitude", "occurrenceRemarks", "coordinateUncertaintyInMeters", "genus"]
-    return cv.field_coverage(kept(c)).filter(F.col("canonical_field").isin(wanted)).select("canonical_field", "total", "populated", fixed(F.col("coverage"), 6).alias("coverage"))
+    return cv.field_coverage(kept(c)).withColumn("coverage", fixed(F.col("coverage"), 6))
 
 
 WORDS = "len(regexp_extract_all(t, '[A-Za-z]{2,}'))"
@@ -410,20 +451,47 @@ def _(c: Corpus):
     return cv.assertion_counts(k, k.count()).withColumn("share", fixed(F.col("share"), 6))
 
 
-@query("c1_corpus_analysis")
+UNMAPPED = """select 'mystery' as field, count(*) as records from kept where ln = 2 union all select 'otherProperties.scientificName', count(*) from kept where ok % 2 = 0 and not (k = 11 and ln = 4)"""
+ASSERTED = "select a as assertion, count(*) as n from kept, lateral (select unnest(string_split(assertions, ','))) u(a) where a <> '' group by a"
+ALL_KEPT = "(select count(*) from kept)"
+C1 = f"""select 'fields' as part, canonical_field as key, populated as n, coverage as figure from ({COVERAGE})
+  union all select 'free_text', 'occurrence_remarks', count(*) filter (remarks like 'Looks%'), median(length(remarks)) from kept union all select 'free_text', 'event_remarks', 0, 0
+  union all select 'unmapped', field, records, {S.fx(f'records / {ALL_KEPT}', 6)} from ({UNMAPPED})
+  union all select 'excluded', unnest(['country', 'month']), {ALL_KEPT}, 1
+  union all select 'resources', coalesce('Dataset ' || data_resource_uid[2:], '(unattributed)'), count(*), median(unc) from kept group by data_resource_uid
+  union all select 'validation', code, count(*), null from (select unnest({ISSUES}) as code from kept) group by code
+  union all select 'assertions', assertion, n, {S.fx(f'n / {ALL_KEPT}', 6)} from ({ASSERTED})"""
+
+
+@query("c1_corpus_analysis", using(C1))
 def _(c: Corpus):
-    k = kept(c)
-    parts = cv.corpus_analysis(k)
+    shown = {
+        "fields": ("canonical_field", "populated", "coverage"), "free_text": ("field", "substantive", "median_length"), "unmapped": ("field", "records", "share"), "excluded": ("field", "records", "share"),
+        "resources": ("data_resource_name", "records", "median_uncertainty"), "validation": ("code", "count", None), "assertions": ("assertion", "count", "share"),
+    }
     out = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("line"))
+    for name, df in cv.corpus_analysis(kept(c)).items():
+        key, n, figure = shown[name]
+        one = df.select(F.lit(name).alias("part"), F.col(key).alias("key"), F.col(n).cast("bigint").alias("n"), (fixed(F.col(figure).cast("double"), 6) if figure else F.lit(None).cast("double")).alias("figure"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("o9_lowest_coverage")
+@query("o9_lowest_coverage", using(f"""select * from (select 'coverage' as list, canonical_field as key, populated as n from ({COVERAGE}) order by coverage, canonical_field limit 18)
+  union all select * from (select 'unmapped', field, records from ({UNMAPPED}) order by records desc, field limit 15) union all select * from (select 'assertions', assertion, n from ({ASSERTED}) order by n desc, assertion limit 12)"""))
 def _(c: Corpus):
-    return cv.lowest_coverage(cv.field_coverage(kept(c)), 18).select("canonical_field", "total", "populated")
+    """The three lists of the corpus report: fields covered worst, unmapped fields and assertions met most."""
+    k = kept(c)
+    total = k.count()
+    lists = {
+        "coverage": cv.lowest_coverage(cv.field_coverage(k), 18).select("canonical_field", "populated"),
+        "unmapped": cv.field_counts(k, "unmapped_fields", total, SEQ).limit(15).select("field", "records"), "assertions": cv.assertion_counts(k, total).limit(12).select("assertion", "count"),
+    }
+    out = None
+    for name, df in lists.items():
+        one = df.toDF("key", "n").select(F.lit(name).alias("list"), "key", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("f_hash_functions", "select o_orderkey, md5(o_orderpriority) as md5, sha256(o_orderpriority) as sha256 from orders")
