@@ -319,14 +319,14 @@ def _(c: Corpus):
 
     n = c.records.groupBy(F.col("ibra_region").alias("way"), "taxon_concept_id").agg(F.count("*").alias("n"))
     ps = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("way")) * 60)
-    return cm.bh_adjust(ps, "p", "way", "taxon_concept_id").select("way", "taxon_concept_id", F.round("q", 9).alias("q"))
+    return cm.bh_adjust(ps, "p", "way").select("way", "taxon_concept_id", F.round("q", 9).alias("q"))
 
 
 @query(
     "f_binomial_upper_tail",
     S.using(
         f"""select ibra_region, taxon_concept_id, {S.sig3('''least(1.0, (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.12) + (n - i) * ln(0.88)))
-            from range(1, 100000) t(i) where i between k and n))''')} as p from (select ibra_region, taxon_concept_id, count(*) as n, count(*) filter (population = 'managed') as k from rec group by all) where k > 0
+            from (select unnest(range(greatest(k, 1), n + 1)) as i)))''')} as p from (select ibra_region, taxon_concept_id, count(*) as n, count(*) filter (population = 'managed') as k from rec group by all) where k > 0
             union all select ibra_region, taxon_concept_id, 1.0 from rec group by all having count(*) filter (population = 'managed') = 0"""
     ),
 )

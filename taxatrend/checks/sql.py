@@ -250,7 +250,7 @@ def co_movement(p: Params) -> str:
     tail = lambda k, e: (
         f"case when {k} <= 0 then 1.0 when {e} <= 0 then 0.0 when {e} >= 1 then 1.0 else least(1.0, ("
         f"select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({e}) + (n - i) * ln(1 - {e}))) "
-        f"from range(1, 5000) t(i) where i between {k} and n)) end"
+        f"from (select unnest(range(greatest({k}, 1), n + 1)) as i))) end"
     )
     q = lambda w: f"(select min(least(1.0, y.p_{w} * y.m / y.rk_{w})) from co_rank y where y.rk_{w} >= x.rk_{w})"
     groups = lambda f: (

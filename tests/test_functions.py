@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,10 +88,68 @@ def test_binomial_tail(spark, k, n, p):
 
 def test_bh_matches_the_step_up_rule(spark):
     ps = [0.2, 0.01, 0.04, 0.04, 0.9, 0.03]
-    got = {r["k"]: r["q"] for r in bh_adjust(spark.createDataFrame([(i, p, "f") for i, p in enumerate(ps)], "k int, p double, f string"), "p", "f", "k").collect()}
+    got = {r["k"]: r["q"] for r in bh_adjust(spark.createDataFrame([(i, p, "f") for i, p in enumerate(ps)], "k int, p double, f string"), "p", "f").collect()}
     order = sorted(range(len(ps)), key=lambda i: ps[i])
     want, low = {}, 1.0
     for r in range(len(ps) - 1, -1, -1):
         low = min(low, ps[order[r]] * len(ps) / (r + 1))
         want[order[r]] = low
     assert got == pytest.approx(want)
+
+
+def tail_by_ratios(k, n, p):
+    """P(X >= k) from ratios of neighbouring terms, out from the mode, so that nothing is large or cancels."""
+    mode = min(n, int((n + 1) * p))
+    up, t = {mode: 1.0}, 1.0
+    for i in range(mode, n):
+        t *= (n - i) / (i + 1) * p / (1 - p)
+        if t < 1e-300:
+            break
+        up[i + 1] = t
+    t = 1.0
+    for i in range(mode, 0, -1):
+        t *= i / (n - i + 1) * (1 - p) / p
+        if t < 1e-300:
+            break
+        up[i - 1] = t
+    return math.fsum(v for i, v in up.items() if i >= k) / math.fsum(up.values())
+
+
+def test_binomial_tail_for_any_size(spark):
+    rng = random.Random(4)
+    cases = [(1, 1, 0.3), (5, 5, 0.5), (1, 10**6, 1e-6), (500_900, 10**6, 0.5), (3, 10**6, 1e-6), (999_000, 10**6, 0.999)]
+    for _ in range(250):
+        n = int(10 ** rng.uniform(0, 6))
+        p = rng.choice([rng.uniform(0.001, 0.999), rng.uniform(1, 20) / (n + 20)])
+        mid = n * p + rng.uniform(-6, 6) * (n * p * (1 - p)) ** 0.5
+        cases.append((min(n, max(1, round(mid))), n, p))
+    df = spark.createDataFrame(cases, "k int, n int, p double")
+    for r in df.select("k", "n", "p", stats.binomial_upper_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect():
+        want = tail_by_ratios(r.k, r.n, r.p)
+        assert r.t == pytest.approx(want, abs=1e-9) and r.t == pytest.approx(want, rel=1e-7, abs=1e-280), (r, want)
+
+
+def test_adjusted_values_with_ties_and_gaps(spark):
+    rng = random.Random(6)
+    rows = [(f, rng.choice([0.01, 0.01, 1.0, None, rng.random()]), i) for f in ("a", None) for i in range(3000)] + [("one", 0.04, 0), ("none", None, 0)]
+    df = spark.createDataFrame(rows, "f string, p double, i int")
+    got = {(r.f, r.i): r.q for r in bh_adjust(df, "p", "f").collect()}
+    assert len(got) == len(rows)
+    for f in {r[0] for r in rows}:
+        ranked = sorted((p, i) for g, p, i in rows if g == f and p is not None)
+        least = 1.0
+        for rank in range(len(ranked), 0, -1):
+            p, i = ranked[rank - 1]
+            least = min(least, p * len(ranked) / rank)
+            assert got[f, i] == pytest.approx(least)
+        assert all(got[f, i] is None for g, p, i in rows if g == f and p is None)
+
+
+def test_medians_by_selection(spark):
+    from taxatrend.operators.coverage import exact_median
+
+    rng = random.Random(9)
+    groups = {"even": [rng.random() for _ in range(3000)], "odd": [rng.choice([1.0, 2.0, 7.5]) for _ in range(2001)], "two": [1.0, 4.0], "one": [3.0], None: [rng.gauss(0, 1e6) for _ in range(30_000)], "none": [None]}
+    df = spark.createDataFrame([(g, v) for g, all_ in groups.items() for v in all_], "g string, v double").repartition(6)
+    got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m").collect()}
+    assert got == {g: statistics.median(all_) for g, all_ in groups.items() if g != "none"}
