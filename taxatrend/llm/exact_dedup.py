@@ -77,22 +77,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, keep_id, group_size, kept, text_sha256; only possibly repeated hashes shuffle.
 
     Of equal texts the row with the smallest id stays. Null text counts as empty, which is a text like any other.
-    Rows that repeat both id and text are one document and give one row; an id with two texts gives a row for each.
-    A null id ranks after all others and stays only if its whole group has none. Extra columns are ignored. An empty
-    table gives an empty table.
+    Every row gives a row and counts, those that repeat another whole included; rows that repeat the id and text of the one that stays are kept
+    with it, as they are that document. An id with two texts is in two groups. A null id ranks after all others and stays only if its whole group has none.
+    Extra columns are ignored. An empty table gives an empty table.
     """
     keys = written(docs.select(quoted(id_col).alias("doc_id"), text_digest(quoted(text_col)).alias("text_sha256")), "dedup-keys")
     bits = slot_bits(keys.count())
-    filters = repeated_slots(keys, "text_sha256", bits)
+    filters = written(repeated_slots(keys, "text_sha256", bits), "dedup-filter")
     flagged = with_suspicion(keys, "text_sha256", filters, bits, "suspect")
     one = F.lit(1).cast("long")
     alone = flagged.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    rows = flagged.filter("suspect").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("_rows"))
-    groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    met = rows.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
-    return alone.unionByName(met)
+    # Only texts that do repeat are met again; their groups are written, so that a group of any size can be split over tasks.
+    suspects = flagged.filter("suspect")
+    repeated = suspects.groupBy("text_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    groups = written(repeated, "dedup-groups")
+    keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("keep_id")
+    met = suspects.join(groups, "text_sha256", "left").select("doc_id", keep, F.coalesce("rows", one).alias("group_size"), "text_sha256")
+    return alone.unionByName(met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

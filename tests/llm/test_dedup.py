@@ -23,11 +23,17 @@ def odd_docs(spark):
 def test_exact_groups(odd_docs):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(odd_docs).collect()}
     assert got == {
-        (5, 3, 3, False), (3, 3, 3, True), (None, 3, 3, False), (9, 8, 2, False), (8, 8, 2, True), (7, 7, 1, True),
+        (5, 3, 3, False), (3, 3, 3, True), (None, 3, 3, False), (9, 8, 2, False), (8, 8, 2, True), (7, 7, 2, True),
         (1, 1, 1, True), (2, 2, 1, True), (4, 4, 2, True), (6, 4, 2, False),
     }
 
 
+def test_every_row_counts(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (1, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (1, 1, 1, True), (None, None, 2, True), (None, None, 2, True)], key=repr)
+
+
 def test_drop_exact_keeps_columns(odd_docs):
     kept = drop_exact(odd_docs)
     assert kept.columns == odd_docs.columns
