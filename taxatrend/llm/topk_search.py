@@ -138,14 +138,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     """Each query's k rows of highest integer inner product: query_id, rank from 1, vec_id, score.
 
     Components become floor(64 x). Candidates are all rows of ``vectors`` but those with the query's own id; rows that
-    repeat an id each count, queries that repeat an id are one. Ties go to the smaller vec_id. A shorter vector counts as
+    repeat an id each count, queries that repeat an id are one, with the least of its vectors by components in order. Ties go to the smaller vec_id. A shorter vector counts as
     zero beyond its end. Vectors that are null or hold null or non-finite components take no part; with fewer than k
     candidates all are listed. Extra columns are ignored.
     """
     configure(vectors.sparkSession)
     unknown = F.lit(float("-inf")).alias("cutoff")
     blocks = written(pack(usable(vectors, id_col, vector_col).select("vec_id", "v", unknown), CANDIDATE_ROWS), "search-candidates")
-    asked = written(usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]), "search-queries")
+    asked = written(usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "search-queries")
     names = lambda df, s: df.toDF(*[f"{s}{i}" for i in range(4)])
     meet = lambda q: names(q, "q").crossJoin(names(blocks, "c"))  # noqa: E731  blocks of the stated query set against blocks of all rows
     first = written(pack(asked.select("vec_id", "v", unknown), QUERY_ROWS), "search-query-blocks")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taxatrend.llm import topk_search
 
@@ -42,3 +43,10 @@ def test_parts_add_up():
     assert np.array_equal(sum(topk_search.part_scores(q, c)), q @ c.T)
     with pytest.raises(ValueError):
         topk_search.part_scores(np.full((1, 2), 2.0**30), np.full((1, 2), 2.0**30))
+
+
+def test_queries_that_repeat_an_id(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [0.5, 9.0]), (0, [0.25, 2.0]), (0, [0.25, 1.0])], "vec_id long, embedding array<double>")
+    for q in (queries, queries.orderBy("embedding"), queries.orderBy(F.desc("embedding"))):
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(topk_search.top_k(q, vectors, 2).collect(), key=lambda r: r.rank)] == [(0, 1, 2, 64 * 64), (0, 2, 1, 16 * 64)]
