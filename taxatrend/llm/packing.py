@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from taxatrend.llm.chunk_table import ChunkTable
-from taxatrend.llm.common import configure, kept, map_arrow, quoted, whole_text, written
+from taxatrend.llm.common import configure, fresh, kept, map_arrow, quoted, whole_text, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -104,7 +104,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if kept, ids (array<int>).
 
     A document is its ids and one end id; null text counts as empty (the end id alone). A document longer than
-    ``capacity`` is cut into pieces of ``capacity``, the last may be shorter. Extra columns are ignored.
+    ``capacity`` is cut into pieces of ``capacity``, the last may be shorter. Rows that repeat an id, or have none, are documents of their own. Extra columns are ignored.
     """
     configure(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("doc_id"), whole_text(quoted(text_col)).alias("text"))
@@ -167,19 +167,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, places
 
 
-def placer(level: int, shards: int, capacity: int):
-    """The packing of one shard; pieces of bins to be opened again get sequence -1."""
+def placer(level: int, capacity: int, order: list[str]):
+    """The packing of one shard: sequence, place and the gap that is left in the sequence."""
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["length"].max() > capacity:
             raise ValueError("a piece is longer than a sequence")
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "piece", *order], ascending=[False, True, True, *[True] * len(order)], kind="stable")
         lengths = pdf["length"].to_numpy()
         bins, places = sum_of_squares(lengths, capacity)
-        reopened = (np.bincount(bins, lengths) < capacity - OPEN_GAP)[bins] & (shards > 1)
         first = (level << 56) | (int(pdf["shard"].iloc[0]) << 32)  # shards and levels never share a number
-        pdf["sequence_id"] = np.where(reopened, -1, first + bins)
-        pdf["offset"] = places
+        pdf["sequence_id"], pdf["offset"] = first + bins, places
+        pdf["gap_left"] = capacity - np.bincount(bins, lengths).astype(np.int64)[bins]
         return pdf.drop(columns="shard")
 
     return place
@@ -188,26 +187,33 @@ def placer(level: int, shards: int, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with ``sequence_id`` and ``offset``: gapless from 0 in every sequence.
 
-    Of equal lengths the smaller doc_id and piece is placed first; a piece of the full length fills a sequence alone. A length beyond ``capacity`` raises. An empty table stays empty.
+    Of equal lengths the smaller doc_id and piece is placed first, null ids last; rows that repeat an id, or have none, are pieces of their own, dealt to
+    shards by the row they are. A piece of the full length fills a sequence alone. A length beyond ``capacity`` raises. An empty table stays empty.
+
+    Of a level's sequences those are opened again that have a gap of over OPEN_GAP and into which the shortest piece of them all would fit: where no two pieces
+    fit together, nothing moves on, and no shard grows by it.
     """
-    left, done, level = written(pieces, "packing-pieces"), [], 0
-    kind = left.schema
-    out = StructType([*kind.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    kind = pieces.schema
+    (row,) = fresh(pieces, "packed_row")
+    left, done, level = written(pieces.withColumn(row, F.monotonically_increasing_id()), "packing-pieces"), [], 0
+    out = StructType([*left.schema.fields, *[StructField(c, LongType()) for c in ("sequence_id", "offset", "gap_left")]])
     total = left.count()
     while total:
         shards = max(1, -(-total // shard_pieces))
         if shards >= 1 << 24:
             raise ValueError("more than 2^24 shards: raise shard_pieces")
-
-        shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)).alias("shard")
-        placed = written(left.select("*", shard).groupBy("shard").applyInPandas(placer(level, shards, capacity), out), "packing-level")
-        done.append(placed.filter("sequence_id >= 0"))
-        left = placed.filter("sequence_id < 0").select(*kind.names)
+        shard = F.pmod(F.xxhash64(row, F.lit(level)), F.lit(shards)).alias("shard")
+        placed = written(left.select("*", shard).groupBy("shard").applyInPandas(placer(level, capacity, [row]), out), "packing-level")
+        loose = F.col("gap_left") > OPEN_GAP
+        shortest = placed.filter(loose).agg(F.min("length")).first()[0] if shards > 1 else None
+        again = loose & (F.col("gap_left") >= shortest) if shortest is not None else F.lit(False)
+        done.append(placed.filter(~again).select(*kind.names, "sequence_id", "offset"))
+        left = placed.filter(again).select(*kind.names, row)
         before, total, level = total, left.count(), level + 1
         if total > 0.9 * before:  # little is won: twice the pieces a shard, half the shards
             shard_pieces *= 2
     if not done:
-        return left.select("*", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+        return pieces.select("*", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).limit(0)
     packed = done[0]
     for d in done[1:]:
         packed = packed.unionByName(d)

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taxatrend.llm import packing, sentencepiece_codec
@@ -108,6 +109,29 @@ def test_packing_over_several_shards(spark):
     assert bins <= 1.03 * least + 1
 
 
+def test_packing_of_rows_without_or_with_one_id(spark):
+    """Rows that share an id, or have none, are dealt over all shards, and each is a piece."""
+    rows = [(None, 0, 0, 100 + i % 50, 7) for i in range(2000)] + [(5, 0, 0, 100 + i % 50, 7) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    got = packing.pack(pieces, 4096, shard_pieces=250).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == sorted((r[0] or 0, r[3]) for r in rows)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(bins) <= 1.02 * sum(r[3] for r in rows) / 4096 + 2
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    shards = {(s >> 32) & 0xFFFFFF for s in bins if s >> 56 == 0}
+    assert len(shards) >= 14
+
+
+def test_pieces_that_do_not_fit_together_move_on_nowhere(spark):
+    pieces = spark.range(6000).select("id", F.lit(0).alias("piece"), (F.lit(2100) + F.col("id") * 7919 % 1800).alias("length")).withColumnRenamed("id", "doc_id")
+    got = packing.pack(pieces, 4096, shard_pieces=500).collect()
+    assert len({r.sequence_id for r in got}) == 6000 and {r.sequence_id >> 56 for r in got} == {0}
+
+
 def test_packing_of_nothing(spark, odd):
     assert packing.packed_documents(odd.filter("doc_id < 0"), WORDS).columns[-2:] == ["sequence_id", "offset"]
     assert packing.packed_documents(odd.filter("doc_id < 0"), WORDS).count() == 0
