@@ -10,7 +10,7 @@ toxic texts, and wrongly, in ordinary ones. The histogram of a text's difference
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxatrend.llm.common import configure, kept, map_arrow, quoted, whole_text
+from taxatrend.llm.common import configure, kept, map_arrow, quoted, whole_text, written
 from taxatrend.llm.labelled import held_out, sample
 from taxatrend.llm.logistic import Logistic, area_under_curve, fit
 
@@ -27,8 +27,9 @@ from taxatrend.llm.logistic import Logistic, area_under_curve, fit
 WINDOW = 10
 LEVEL = 12
 BASE_BYTES, OWN_BYTES = 65_536, 8_192
-#: Labelled rows learnt from, per class, and words taken from one of them (those with the smallest hashes of position).
-PER_CLASS, WORDS_OF_ONE = 3_000, 4_000
+#: Labelled rows learnt from, per class; for the dictionaries, words taken from one of them (whole windows, drawn over the whole text) and windows in
+#: all (drawn likewise). The calibration reads the whole texts of these rows.
+PER_CLASS, WORDS_OF_ONE, WINDOWS = 3_000, 4_000, 400_000
 ROUNDS = 3
 EDGES = np.array([-1000, -3, -1, 0, 1, 2, 3, 4, 6, 8, 11, 1000])
 BREAKS = re.compile(rb"[^a-z0-9'\x80-\xff]+")
@@ -44,8 +45,10 @@ def windows(ws: list[bytes]) -> list[bytes]:
 
 def dictionary(size: int, samples: list[bytes]) -> bytes:
     """Segments that recur in the samples; where they are too few to train on, the samples themselves."""
+    if len(samples) > WINDOWS:
+        samples = [samples[i] for i in np.sort(np.random.default_rng(len(samples)).permutation(len(samples))[:WINDOWS])]
     try:
-        return zstandard.train_dictionary(size, samples[:400_000], k=24, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -89,61 +92,80 @@ class Model:
         return self.calibration.probability(np.array([distance.features(windows(words(t))) for t in texts]))
 
 
-def learn(texts: list[list[bytes]], y: np.ndarray) -> Model:
-    """The model from the words of each sampled text and its label. Without examples of both kinds every text scores the share of toxic ones."""
-    toxic, plain = [t for t, k in zip(texts, y) if k], [t for t, k in zip(texts, y) if not k]
+def learn(texts: list[list[bytes]], y: np.ndarray, measured: Callable[[bytes, bytes, bytes], np.ndarray]) -> Model:
+    """The model from words of each sampled text and its label. ``measured(base, toxic, ordinary)`` gives the features of the whole texts, in the same order.
+
+    Without examples of both kinds every text scores the share of toxic ones.
+    """
+    toxic, plain = np.flatnonzero(y), np.flatnonzero(1 - y)
     if len(toxic) < 4 or len(plain) < 4:
         return Model(b"", b"", b"", None, float(np.mean(y)) if len(y) else 0.0)
     half = len(plain) // 2
-    known = {w for t in plain[:half] for w in t}
+    known = {w for i in plain[:half] for w in texts[i]}
     new = lambda ws: [w for w in dict.fromkeys(ws) if w not in known]
     grouped = lambda ts: [w for t in ts for w in windows(t)]
-    base = dictionary(BASE_BYTES, grouped([list(dict.fromkeys(t)) for t in plain[:half]]))
+    base = dictionary(BASE_BYTES, grouped(list(dict.fromkeys(texts[i])) for i in plain[:half]))
     train, tune = toxic[: (len(toxic) + 1) // 2], toxic[(len(toxic) + 1) // 2 :]
-    from_toxic, from_plain = grouped(map(new, train)), grouped(map(new, plain[half:]))
+    from_toxic, from_plain = grouped(new(texts[i]) for i in train), grouped(new(texts[i]) for i in plain[half:])
     best, reached = None, -1.0
     # Distances are learnt from the first half of the toxic texts and judged on all of the second, never on held-out rows.
-    judged = [windows(t) for t in tune + plain[half:] + plain[:half]]
-    is_toxic = np.r_[np.ones(len(tune)), np.zeros(len(plain))]
+    judged = np.r_[tune, plain]
     for _ in range(ROUNDS):
         own = dictionary(OWN_BYTES, from_toxic), dictionary(OWN_BYTES, from_plain)
-        d = Distance(base, *own)
-        x = np.array([d.features(w) for w in judged])
-        calibration = fit(x, is_toxic)
-        area = area_under_curve(calibration.probability(x), is_toxic)
+        x = measured(base, *own)[judged]
+        calibration = fit(x, y[judged])
+        area = area_under_curve(calibration.probability(x), y[judged])
         if area > reached:
             best, reached = Model(base, *own, calibration, 0.5), area
-        won = lambda ts, least: grouped([new([w for x, g in zip(ws, d.differences(ws)) if g >= least for w in x.split()]) for ws in (windows(t) for t in ts)])
+        d = Distance(base, *own)
+        won = lambda rows, least: grouped(new([w for x, g in zip(ws, d.differences(ws)) if g >= least for w in x.split()]) for ws in (windows(texts[i]) for i in rows))
         from_toxic, from_plain = won(train, 3) or from_toxic, won(plain, 2) or from_plain
     return best
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Learn from at most ``per_class`` labelled documents of each kind, none of the held-out fold."""
-    rows = sample(docs.select("doc_id", "text"), labels, label, per_class, held_out).select("text", "sampled_label", "doc_id").orderBy("doc_id").select("text", "sampled_label")
+    """Learn from at most ``per_class`` labelled documents of each kind, none of the held-out fold; one that repeats is learnt from as often.
+
+    The driver holds words of these rows and, in each round, the few features of their whole texts, which tasks compute.
+    """
+    configure(docs.sparkSession)
+    drawn = sample(docs.select("doc_id", "text"), labels, label, per_class, held_out).select("text", F.col("sampled_label").alias("y"))
+    rows = written(drawn.withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
                 ws = words(t)
-                if len(ws) > WORDS_OF_ONE:  # whole windows, drawn over the whole text
+                if len(ws) > WORDS_OF_ONE:
                     w = windows(ws)
                     ws = b"".join(w[i] for i in np.sort(np.random.default_rng(len(ws)).permutation(len(w))[: WORDS_OF_ONE // WINDOW])).split()
                 out.append(b" ".join(ws))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], ["words", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1), b.column(2)], ["words", "y", "row"])
 
-    configure(docs.sparkSession)
-    found = sorted((bytes(r.words), r.y) for r in map_arrow(rows, shorten, "words binary, y int").collect())  # 2 * per_class rows at most
+    found = sorted((bytes(r.words), r.y, r.row) for r in map_arrow(rows, shorten, "words binary, y int, row bigint").collect())  # 2 * per_class rows at most
     order = np.random.default_rng(0).permutation(len(found))
-    return learn([found[i][0].split() for i in order], np.array([found[i][1] for i in order], float))
+
+    def measured(base: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
+        key = ("toxicity", hash((toxic, ordinary, base)))
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = kept(key, lambda: Distance(base, toxic, ordinary))
+            for b in batches:
+                x = [d.features(windows(words(t))).tolist() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["row", "x"])
+
+        by = {r.row: r.x for r in map_arrow(rows.select("row", "text"), read, "row bigint, x array<double>").collect()}
+        return np.array([by[found[i][2]] for i in order])
+
+    return learn([found[i][0].split() for i in order], np.array([found[i][1] for i in order], float), measured)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
     Whole texts are read; null counts as empty, an empty text has no window and scores what the calibration gives for
-    none. Extra columns are ignored; an empty table gives none.
+    none. Rows that repeat are scored alike, each by itself. Extra columns are ignored; an empty table gives none.
     """
     configure(docs.sparkSession)
     rows = docs.select(quoted(id_col).alias("doc_id"), whole_text(quoted(text_col)).alias("text"))

@@ -48,6 +48,48 @@ def test_held_out_labels_change_nothing(made):
     assert (a.toxic, a.ordinary, a.base) == (b.toxic, b.ordinary, b.base) and np.array_equal(a.calibration.weights, b.calibration.weights)
 
 
+def test_scores_against_windows_compressed_one_by_one(made):
+    """The score of a text, from each of its windows compressed by itself with either dictionary."""
+    import zstandard
+
+    docs, labels = made
+    m = toxicity.train(docs, labels)
+
+    def lengths(own, window):
+        d = zstandard.ZstdCompressionDict(own + m.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress(window))
+
+    for r in toxicity.score(docs.filter("doc_id < 40"), m).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ws = r.text.lower().encode().split()
+        g = np.array([lengths(m.ordinary, x) - lengths(m.toxic, x) for x in (b" " + b" ".join(ws[i : i + 10]) + b" " for i in range(0, len(ws), 10))])
+        shares = [((g >= a) & ((g < b) | (b == 1000) & (g <= b))).mean() for a, b in zip(toxicity.EDGES, toxicity.EDGES[1:])]
+        x = np.array([*shares, g.max(), np.sort(g)[-3:].mean(), g.mean(), (g >= 3).mean(), np.log1p(len(g)), np.log1p((g >= 4).sum())])
+        z = np.clip((x - m.calibration.mean) / m.calibration.scale, -30, 30)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z @ m.calibration.weights[:-1] + m.calibration.weights[-1], -30, 30)))) < 1e-9
+
+
+def test_long_texts_are_calibrated_whole(spark):
+    """Texts of over 4,000 words with one toxic stretch anywhere in them are told from those without."""
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("aeioutrnsl") for _ in range(rng.randint(2, 5))) for _ in range(80)]
+    docs, labels = [], []
+    for i in range(160):
+        n = 6000 if i % 4 == 0 else 120
+        w = ["".join(rng.choice(stems) for _ in range(rng.randint(1, 2))) for _ in range(n)]
+        toxic = int(i % 8 in (0, 1, 2))
+        at = rng.randrange(len(w) - 60)
+        if toxic:
+            w[at : at + 40] = [rng.choice(["blockhead", "gnarfle", "vexous", *stems[:4]]) for _ in range(40)]
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    long = [r for r in rows if r.doc_id % 4 == 0]
+    y = np.array([r.doc_id % 8 == 0 for r in long])
+    assert area_under_curve(np.array([r.score for r in long]), y) > 0.97
+    assert np.mean([r.predicted == k for r, k in zip(long, y)]) > 0.9
+
+
 def test_too_few_labels(made):
     docs, labels = made
     m = toxicity.train(docs, labels.filter("toxic = 0"))
