@@ -10,8 +10,10 @@ number without its plus, an address with a bracketed "at") and on near misses, w
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from taxatrend.llm.common import configure, fresh, map_arrow, quoted, whole_text
 KINDS = ["email", "ip", "card", "phone"]
 #: Tokens a segment may have, and documents the model is trained on.
 LONGEST, SAMPLE = 6, 3_000
+#: Characters about the signs of one of them that are learnt from.
+CHARACTERS = 20_000
 #: Posterior that a segment needs to be added.
 SURE = 0.9
 
@@ -84,23 +88,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: What marks a token that may belong to a span: a digit, an at-sign, or a bracketed "at" or "dot".
 SIGN = re.compile(r"[0-9@]|[\[({](?:[aA][tT]|[dD][oO][tT])[\])}]")
-REST = re.compile(r"\S*")
+MAX_TOKEN = 80
+REST = re.compile(r"\S{0,%d}" % (MAX_TOKEN + 1))
 BEFORE, AFTER = re.compile(r"(\S{1,80})[ \t]$"), re.compile(r"[ \t](\S{1,80})")
 TRIM_LEFT, TRIM_RIGHT = "\"'<[{,;:!?", "\"'>]},;:!?."
 AT, DOT = re.compile(r"\s*[\[({]at[\])}]\s*|\s*@\s*", re.IGNORECASE), re.compile(r"\s*[\[({]dot[\])}]\s*", re.IGNORECASE)
 BRACKETED = re.compile(r"[\[({](?:at|dot)[\])}]", re.IGNORECASE)
-MAX_TOKEN = 80
+#: Of a token longer than MAX_TOKEN the characters of this kind about a sign are taken, so many on either side.
+CORE, NEAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@()[]{}"), 37
+#: Tokens of a longer run that are segmented at once, and the tokens on either side that are segmented with them.
+RUN, AROUND = 64, 10
 
 
 def islands(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of up to 64 neighbouring tokens with signs, with one plain token before and after each bracketed or bare sign."""
+    """Runs of neighbouring tokens with signs, with one plain token before and after each bracketed or bare sign.
+
+    A token without a blank for MAX_TOKEN characters is cut at changes of the kind of its characters, and near its signs.
+    """
     runs: list[list[tuple[int, int]]] = []
-    m = SIGN.search(text)
+    m, done = SIGN.search(text), 0
     while m:
         start, end = m.start(), REST.match(text, m.end()).end()
-        while start > 0 and m.start() - start <= MAX_TOKEN and not text[start - 1].isspace():
+        while start > done and m.start() - start <= MAX_TOKEN and not text[start - 1].isspace():
             start -= 1
-        tokens = [(start, end)]
+        if end - start > MAX_TOKEN:
+            start, end = m.span()
+            while start > done and m.start() - start < NEAR and text[start - 1] in CORE:
+                start -= 1
+            while end < len(text) and end - m.end() < NEAR and text[end] in CORE:
+                end += 1
+        tokens, done = [(start, end)], end
         m = SIGN.search(text, end)
         word = text[start : min(end, start + MAX_TOKEN)]
         if word == "@" or BRACKETED.search(word):
@@ -112,7 +129,7 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
         for t in tokens:
             if runs and t[0] < runs[-1][-1][1]:
                 continue
-            if runs and t[0] - runs[-1][-1][1] <= 1 and len(runs[-1]) < 64:
+            if runs and t[0] - runs[-1][-1][1] <= 1:
                 runs[-1].append(t)
             else:
                 runs.append([t])
@@ -242,7 +259,7 @@ def fit(examples: list[tuple[np.ndarray, int, list[tuple[int, int, int]]]], step
 def examples_of(text: str) -> Iterator[tuple[str, list[tuple[int, int, int]], list[tuple[int, int]]]]:
     """Islands of a text with the base spans that fill whole tokens."""
     spans = base_spans(text)
-    for tokens in islands(text):
+    for tokens in (run[at : at + RUN] for run in islands(text) for at in range(0, len(run), RUN)):
         starts, ends = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
         labelled, free = [], 0
         for kind, a, b in spans:
@@ -315,24 +332,52 @@ def learn(texts: list[str], most: int = 700) -> Field | None:
     return fit(found)
 
 
+def segmented(text: str, tokens: list[tuple[int, int]], field: Field) -> list[tuple[str, int, int]]:
+    """Spans of the best segmentation of a run, those nearly certain, window by window.
+
+    A window decides on the spans that begin in it, with the tokens around it in view, which are more than a span can have; the next window begins
+    behind the last of its spans.
+    """
+    out, at = [], 0
+    while at < len(tokens):
+        start, until = max(0, at - AROUND), min(at + RUN, len(tokens))
+        window = tokens[start : until + AROUND]
+        segs = segments(len(window))
+        scores = field.table(text, window) @ field.weights.T + barred(segs)
+        _, each, _ = posterior(scores, segs, field.moves, len(window))
+        for k, y in best_path(scores, segs, field.moves, len(window)):
+            i, j = segs[k]
+            if y and at <= start + i < until and each[k, y] >= SURE:
+                out.append((KINDS[y - 1], window[i][0], window[j - 1][1]))
+                until = max(until, start + j)
+        at = until
+    return out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Spans of the best segmentation beyond the base ones: none overlaps a base span, each nearly certain."""
     out = []
     for tokens in islands(text):
         # Base spans split an island: they stay as they are, and so do all tokens they touch.
         pieces: list[list[tuple[int, int]]] = [[]]
-        for a, b in tokens:
-            if any(x < b and a < y for _, x, y in base):
+        for a, b, own in touched(tokens, base):
+            if own:
                 pieces.append([])
             else:
                 pieces[-1].append((a, b))
         for piece in filter(None, pieces):
-            segs = segments(len(piece))
-            scores = field.table(text, piece) @ field.weights.T + barred(segs)
-            _, each, _ = posterior(scores, segs, field.moves, len(piece))
-            chosen = best_path(scores, segs, field.moves, len(piece))
-            out += [(KINDS[y - 1], piece[segs[k][0]][0], piece[segs[k][1] - 1][1]) for k, y in chosen if y and each[k, y] >= SURE]
-    return [s for s in out if not any(x < s[2] and s[1] < y for _, x, y in base)]
+            out += segmented(text, piece, field)
+    return [s for s, (_, _, own) in zip(out, touched([(a, b) for _, a, b in out], base)) if not own]
+
+
+def touched(tokens: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """Each token, in order, with whether a base span overlaps it."""
+    spans = sorted((a, b) for _, a, b in base)
+    reach = list(accumulate((b for _, b in spans), max))
+    starts = [a for a, _ in spans]
+    for a, b in tokens:
+        before = bisect_left(starts, b)
+        yield a, b, before > 0 and reach[before - 1] > a
 
 
 def best_path(scores: np.ndarray, segs: list[tuple[int, int]], moves: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -358,7 +403,7 @@ def best_path(scores: np.ndarray, segs: list[tuple[int, int]], moves: np.ndarray
 
 
 def train(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> Field | None:
-    """Learn from at most ``most`` documents with a digit or an at-sign (those with the smallest hashes), 20,000 characters around the signs of each at most."""
+    """Learn from at most ``most`` documents with a digit or an at-sign (those with the smallest hashes), CHARACTERS around the signs of each at most, drawn over its whole text."""
     configure(docs.sparkSession)
     rows = docs.select(whole_text(quoted(text_col)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
 
@@ -372,7 +417,10 @@ def train(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> Field
                     if z > end:
                         cut.append(t[a:z])
                         end = z
-                out.append("\n".join(cut)[:20_000])
+                # Stretches are drawn over the whole text, up to a number of characters.
+                order = np.random.default_rng(len(t)).permutation(len(cut))
+                room = np.cumsum([len(cut[i]) + 1 for i in order]) <= CHARACTERS
+                out.append("\n".join(cut[i] for i in np.sort(order[room])))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
     chosen = map_arrow(rows, around, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(most)
@@ -382,8 +430,8 @@ def train(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> Field
 def find(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end), the base spans and all spans.
 
-    Offsets are code points, end exclusive, in order of start and then kind as in KINDS. Null text has no spans. Columns
-    named base or spans are replaced, all others pass through. Without a trained field ``spans`` is ``base``.
+    Offsets are code points, end exclusive, in order of start and then kind as in KINDS. Null text has no spans; whole texts are read, tokens of any length
+    in them; rows that repeat are searched each by itself. Columns named base or spans are replaced, all others pass through. Without a trained field ``spans`` is ``base``.
     """
     configure(docs.sparkSession)
     (text,) = fresh(docs, "text_to_search")

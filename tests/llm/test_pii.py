@@ -95,6 +95,41 @@ def test_find_and_mask(docs):
     assert all("@" not in (t or "") for t in masked.values()) and pii.mask(docs, field).columns == docs.columns
 
 
+def test_long_tokens_and_long_runs(docs):
+    """A sign behind any number of characters without a blank, and a span over any place of a long run of numbers."""
+    field = pii.train(docs)
+    found = lambda t: {(k, t[a:b]) for k, a, b in pii.added_spans(t, pii.base_spans(t), field)}
+    plain = found("write to me [at] host.com today")
+    assert plain == {("email", "me [at] host.com")}
+    for junk in ("x" * 100, "日本語" * 60, "=" * 200, "é" * 5000):
+        got = found(f"{junk}me[at]host.com")
+        assert len(got) == 1 and all(k == "email" and "me[at]host.com" in s for k, s in got), (junk[:3], got)
+    hits = 0
+    for before in range(0, 140, 3):
+        t = " ".join(["12"] * before + ["(212) 555-1234"] + ["7"] * 80)
+        hits += ("phone", "(212) 555-1234") in found(t)
+    alone = ("phone", "(212) 555-1234") in found("12 12 (212) 555-1234 7 7")
+    assert hits >= (40 if alone else 0)
+
+
+def test_runs_of_any_length_are_segmented_alike(docs, monkeypatch):
+    """Windows give what one segmentation of the whole run gives."""
+    field = pii.train(docs)
+    rng = random.Random(5)
+    for _ in range(20):
+        t = " ".join(rng.choice(["12", "(212) 555-1234", "1999", "212-555-1234", "7"]) for _ in range(150))
+        got = pii.added_spans(t, pii.base_spans(t), field)
+        monkeypatch.setattr(pii, "RUN", 10_000)
+        whole = pii.added_spans(t, pii.base_spans(t), field)
+        monkeypatch.undo()
+        assert len(set(got) ^ set(whole)) <= 0.02 * len(whole) + 1
+
+
+def test_islands_take_linear_time():
+    for t in ("a1" * 300_000, "1 " * 100_000, "[at]" * 50_000, "1" * 500_000, "é1" * 200_000):
+        assert all(b - a <= pii.MAX_TOKEN for run in pii.islands(t) for a, b in run)
+
+
 def test_nothing_to_learn_from(docs):
     none = docs.filter("doc_id between 900 and 902")
     assert pii.train(none) is None
