@@ -164,13 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     return co_train(np.array([r[2] for r in found]), np.array([r[3] for r in found]), np.array([r[1] for r in found]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", meta: tuple[str, ...] = META) -> DataFrame:
-    """``docs`` with content_score, metadata_score and score, each from 0 to 1, higher for better; columns of these names are replaced.
+def score(docs: DataFrame, model: Model, text_col: str = "text", meta: tuple[str, ...] = META, names: tuple[str, str, str] = ("content_score", "metadata_score", "score")) -> DataFrame:
+    """``docs`` with content_score, metadata_score and score, each from 0 to 1, higher for better; columns of these ``names`` are replaced.
 
     Whole texts are read. Null text counts as empty and has zero features; null metadata is a value of its own, missing
-    metadata columns are left out. An empty table stays empty.
+    metadata columns are left out. Rows that repeat are scored alike. An empty table stays empty.
     """
-    names = ["content_score", "metadata_score", "score"]
     keep = [c for c in docs.columns if c not in names]
     out = [(c, DoubleType()) for c in names]
     return featured(docs, text_col, metadata_columns(docs, meta), keep, out, lambda c, m: [pa.array(x, pa.float64()) for x in model.scores(c, m)])
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", meta: tuple[str, ...] = META) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their own columns, whatever these are called."""
+    names = fresh(docs, "content_score", "metadata_score", "score")
+    return score(docs, model, text_col, meta, tuple(names)).filter(F.col(names[2]) >= least).select(*[quoted(c) for c in docs.columns])

@@ -52,6 +52,14 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.score(odd.filter("doc_id > 9"), m).count() == 0
 
 
+def test_kept_rows_have_their_own_scores(spark, odd):
+    m = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    own = odd.withColumnRenamed("lang", "content_score").withColumnRenamed("source", "a.b")
+    kept = quality.keep_good(own, m, least=0.0)
+    assert kept.columns == own.columns and sorted(map(str, kept.collect())) == sorted(map(str, own.collect()))
+    assert quality.keep_good(own, m, least=1.01).count() == 0
+
+
 def shingles(text):
     w = "".join(c.lower() if c.isascii() else c for c in text or "").split()
     return {" ".join(w)} if 0 < len(w) < 5 else {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
