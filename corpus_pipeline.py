@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxatrend.llm import exact_dedup, near_dedup, packing, pii, quality
-from taxatrend.llm.common import table, written
+from taxatrend.llm.common import quoted, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,7 +21,7 @@ TOKENIZER = "word_bpe_49k.json"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject (operator 6)."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("score >= 0.5").select(docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind (operator 4); n_chars follows the text."""
-    return pii.mask(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    masked = pii.mask(docs, pii.train(docs))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*[quoted(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
