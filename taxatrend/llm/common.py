@@ -14,11 +14,13 @@ from taxatrend.workspace import shared_root
 
 #: Rows of one Arrow batch; texts of 100,000 characters then still give batches of tens of megabytes.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a worker's memory is bounded by few texts."""
+    """Small Arrow batches, so that a worker's memory is bounded by few texts, or by one that is longer. The session keeps these settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
     return spark
 
