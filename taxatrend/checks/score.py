@@ -334,17 +334,17 @@ def _(c: Corpus):
     return sc.reference_issues(a, c.taxa, regions, q)
 
 
-@query("k9_comparison_log", using(f"select 'ai-1' as ai_run_id, 'calc-1' as calculated_run_id, matched, agreed from ({TOTALS}), range(2)"))
+@query("k9_comparison_log", using(f"select 'ai-' || n as ai_run_id, 'calc-1' as calculated_run_id, matched, agreed from ({TOTALS}), (values (1), (2)) v(n)"))
 def _(c: Corpus):
     import uuid
 
-    from taxatrend.sources.store import append
+    from taxatrend.sources.store import append_comparison
 
     path = c.ws.path(f"comparisons-{uuid.uuid4().hex}")
     totals = sc.reproduction_totals(sc.reproduction(ai(c), ins(c)))
-    row = totals.select(F.lit("ai-1").alias("ai_run_id"), F.lit("calc-1").alias("calculated_run_id"), F.to_json(F.struct("*")).alias("summary"))
-    append(row, path)
-    append(row, path)
+    row = totals.select(F.lit("calc-1").alias("calculated_run_id"), F.to_json(F.struct("*")).alias("summary"))
+    for run in ("ai-1", "ai-2", "ai-1"):  # the last is made again, and stands once
+        append_comparison(row.withColumn("ai_run_id", F.lit(run)), path)
     t = c.spark.read.parquet(path)
     return t.select("ai_run_id", "calculated_run_id", *[F.get_json_object("summary", f"$.{x}").cast("bigint").alias(x) for x in ("matched", "agreed")])
 

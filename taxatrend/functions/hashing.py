@@ -27,8 +27,3 @@ def pseudonym(identity: Column, salt: str) -> Column:
     """Stable observer pseudonym; null for a blank identity."""
     name = trim_space(identity)
     return F.when(name != "", F.concat(F.lit("obs_"), F.substring(hmac_sha256(F.lower(name), salt), 1, 16)))
-
-
-def lines_digest(lines: Column) -> Column:
-    """sha256 over a sorted array of strings joined by newlines."""
-    return F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)

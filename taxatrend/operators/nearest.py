@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxatrend.functions.geo import geodesic_km
+from taxatrend.workspace import written_once
 
 #: Cell sizes in degrees, coarse to fine; each is 16 of the next.
 LEVELS = [16.0 / 16**i for i in range(6)]
@@ -91,8 +92,9 @@ def nearest_earlier(
     """``queries`` and ``points``: key, lon, lat. Returns each distinct query (key, lon, lat) that has a point
     with ``nearest_km``: the point nearest in planar degrees, measured on the ellipsoid. Of points equally near
     in degrees the one first by longitude, then latitude, is measured."""
-    q = queries.select(key, F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).distinct()
-    pts = points.join(q.select(key).distinct(), key, "left_semi").select(key, "lon", "lat").distinct()
+    # Both are read for every level, so they are worked out once.
+    q = written_once(queries.select(key, F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).distinct(), "queries")
+    pts = written_once(points.join(q.select(key).distinct(), key, "left_semi").select(key, "lon", "lat").distinct(), "points")
     if leaf is None:
         leaf = leaf_level(pts, key, levels)
     qkey = [key, "qlon", "qlat"]

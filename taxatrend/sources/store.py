@@ -130,10 +130,9 @@ def add_rules(rules: DataFrame, resolved: DataFrame) -> DataFrame:
     return rules.select(*keys, "note").unionByName(n.join(r, same, "left_anti").select(*keys, "note"))
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append rows to a log or result table."""
-    w = df.write.mode("append")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+def append_comparison(row: DataFrame, path: str) -> None:
+    """Add a comparison to the log: ``row`` holds ai_run_id and calculated_run_id. A comparison made again replaces the one before."""
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ai_run_id", "calculated_run_id").parquet(path)
 
 
 def append_insights(packed: DataFrame, path: str) -> None:

@@ -58,6 +58,13 @@ class Workspace:
         return self._tables[name]
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as files in the shared folder, for inputs that one operator reads several times."""
+    path = f"{shared_root(df.sparkSession)}/taxatrend-once/{name}-{uuid.uuid4().hex[:12]}"
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
     """Write Parquet in evenly sized files; a partition value that dominates is split, not one task."""
     if partition_by:
