@@ -22,8 +22,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != "value"], F.posexplode(records).alias("pos", "raw"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Search pages under a directory, one file each, named by the last path components."""
+def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Search pages under a directory, or several, one file each, named by the last path components."""
     pages = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.regexp_extract("_metadata.file_path", r"pages/(.*)$", 1)
     return page_rows(pages.select(run_of_path(), F.regexp_replace(name, "/[^/]*$", "").alias("page"), "value"))

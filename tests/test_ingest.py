@@ -238,3 +238,49 @@ def test_only_window_years_are_read(spark, tmp_path):
     got = in_any_window(spark.read.parquet(str(tmp_path / "t")), Window("2001-01-01", "2002-12-31"), Window("2007-01-01", "2007-12-31"))
     assert sorted(r.event_year for r in got.collect()) == [2001, 2002, 2007]
     assert "PartitionFilters: []" not in got._jdf.queryExecution().toString()
+
+
+def test_a_load_does_not_depend_on_batches_and_can_be_repeated(spark, tmp_path):
+    """Runs loaded one by one or at once leave the same tables; a batch that is run again changes nothing."""
+    from taxatrend.sources import frozen as fr
+    from taxatrend.streaming import load_plan as lp
+
+    def deliver_run(run, records, complete=True):
+        pages = tmp_path / "in" / f"run={run}" / "pages" / "page=p1"
+        pages.mkdir(parents=True)
+        (pages / "x.json").write_text(json.dumps({"occurrences": records}))
+        if complete:
+            page = {"file": "page=p1", "sliceKey": "all", "recordCount": len(records), "fetchedAt": f"2020-01-0{run}T00:00:00Z", "contentHash": "h", "bytes": 1}
+            doc = {"runId": f"2020-01-0{run}T00-00-00", "harvestKey": "k", "source": "atlas", "finishedAt": f"2020-01-0{run}T01:00:00.000Z", "expectedRecords": 2, "retrievedRecords": 2, "complete": True, "slices": [], "pages": [page], "requestCount": 1, "warnings": []}
+            (pages.parent.parent / "manifest.json").write_text(json.dumps(doc))
+
+    record = lambda uuid, name, day, uid: {"uuid": uuid, "scientificName": name, "taxonConceptID": "T1", "eventDate": day, "decimalLatitude": -30.04, "decimalLongitude": 150.0, "dataResourceUid": uid, "stateProvince": "S"}
+    deliver_run(1, [record("a", "Aus bus", "1999-12-31T14:00:00Z", "d1"), record("b", "Aus bus", "1999-06-01T00:00:00Z", "d0")])
+    deliver_run(2, [record("a", "Aus cus", "1999-12-31T12:00:00Z", "d1"), record("c", "Aus cus", "2001-06-01T00:00:00Z", "d2")])
+    deliver_run(3, [record("z", "never loaded", "2001-06-01T00:00:00Z", "d9")], complete=False)
+    rules = spark.createDataFrame([("T1", "S", None, "d2")], "taxon_concept_id string, state_province string, ibra_region string, data_resource_uid string")
+    curated = spark.createDataFrame([("d0", None, "telemetry", "tracking")], "data_resource_uid string, name string, kind string, kind_reason string")
+
+    def tables(store):
+        occ = spark.read.parquet(store.occurrences)
+        return (
+            sorted((r.record_id, r.scientific_name, r.event_year, str(r.event_day), r.managed_by_rule, r.harvest_id) for r in occ.collect()),
+            sorted((r.data_resource_uid, r.kind) for r in store.datasets(spark).collect()), [(r.taxon_concept_id, r.scientific_name) for r in store.taxa(spark).collect()],
+            sorted((r.harvest_id, json.loads(r.analysis)["records_adapted"], len(json.loads(r.analysis)["fields"])) for r in store.runs(spark).collect()),
+        )
+
+    found = []
+    for name, at_once in (("one", 1), ("all", 9)):
+        store = lp.Store(str(tmp_path / name), "salt", "2021-01-01", "2021-01-01 00:00:00")
+        store.seed(curated)
+        lp.load_runs(spark, str(tmp_path / "in"), store, rules, at_once).awaitTermination()
+        found.append(tables(store))
+    assert found[0] == found[1]
+    occ, datasets, taxa, runs = found[0]
+    assert [r[:5] for r in occ] == [("atlas:a", "Aus cus", 1999, "1999-12-31", False), ("atlas:b", "Aus bus", 1999, "1999-06-01", False), ("atlas:c", "Aus cus", 2001, "2001-06-01", True)]
+    assert datasets == [("d0", "telemetry"), ("d1", "wild"), ("d2", "wild")] and taxa == [("T1", "Aus cus")]
+    assert [r[:2] for r in runs] == [("k/2020-01-01T00-00-00", 2), ("k/2020-01-02T00-00-00", 2)] and all(r[2] == 30 for r in runs)
+    again = spark.read.text(str(tmp_path / "in" / "run=*" / "manifest.json"), wholetext=True).select(fr.run_of_path(), "value")
+    lp.run_sink(spark, str(tmp_path / "in"), store, rules)(again, 0)
+    assert tables(store) == found[1]
+    assert not [p for p in (tmp_path / "all" / "scratch").iterdir()]
