@@ -411,7 +411,7 @@ def _(c: Corpus):
 @query("j9_nearest_prior_deep_levels", S.using("select distinct taxon_concept_id, lon, lat, round(km, 6) as nearest_km from cur join near using (record_id)", *NOTABLE))
 def _(c: Corpus):
     cur = nt.current(c.records, c.tiers, c.p)
-    return nt.nearest_prior(cur, c.occurrences, c.datasets, leaf=3, p=c.p).withColumn("nearest_km", F.round("nearest_km", 6))
+    return nt.nearest_prior(cur, c.occurrences, c.datasets, p=c.p, leaf_points=3).withColumn("nearest_km", F.round("nearest_km", 6))
 
 
 query("j10_region_seen", S.using("select taxon_concept_id, ibra_region from seen", *NOTABLE))(lambda c: nt.region_seen(c.occurrences, c.p).drop("seen"))

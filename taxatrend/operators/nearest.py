@@ -1,13 +1,15 @@
 """Nearest earlier point of the same key: exact, without comparing all pairs of a key.
 
-Earlier points are summarised into nested degree cells (bounding box and one actual point per cell).
-Queries descend from the coarsest cells: a cell is opened only if its box lies no further than the nearest
-actual point known so far. Every level is one equi-join on (key, cell), so a key that holds a third of all
-rows is spread over its cells, and a query meets a handful of cells per level.
+Earlier points lie in a tree of nested degree cells, which splits each key and each cell by its own count: a crowded cell has children, any
+other is a leaf, however crowded its neighbours are. A cell has a bounding box and one actual point. Queries descend from the coarsest
+cells: a cell is opened only if its box lies no further than the nearest actual point known so far. Every level is one equi-join on
+(key, cell), made of the points of crowded cells alone, so a key that holds a third of all rows is spread over its cells.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from taxatrend.workspace import written_once
 
 #: Cell sizes in degrees, coarse to fine; each is 16 of the next.
 LEVELS = [16.0 / 16**i for i in range(6)]
-#: A leaf cell may hold this many distinct points before the next finer level is used.
+#: A cell with more distinct points is split, down to the finest level.
 LEAF_POINTS = 512
 
 
@@ -28,45 +30,6 @@ def _names(level: int) -> list[str]:
     return [f"cx{level}", f"cy{level}"]
 
 
-def leaf_level(points: DataFrame, key: str, levels: list[float] = LEVELS, leaf_points: int = LEAF_POINTS) -> int:
-    """The coarsest level whose fullest cell stays within ``leaf_points`` distinct points.
-
-    One aggregate job; only the level maxima reach the driver. Coordinates too dense for even the finest
-    level simply use it: the search stays exact, its leaves are larger.
-    """
-    finest = len(levels) - 1
-    cur = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[finest]), _names(finest))]).agg(F.count("*").alias("n"))
-    cur = cur.withColumn(f"most{finest}", F.col("n"))
-    for lv in range(finest, 0, -1):
-        # 16 finer cells fall in one coarser cell along each axis; the maxima so far are carried along.
-        cur = cur.groupBy(key, *[F.floor(F.col(a) / 16).alias(b) for a, b in zip(_names(lv), _names(lv - 1))]).agg(
-            F.sum("n").alias("n"), *[F.max(f"most{x}").alias(f"most{x}") for x in range(lv, finest + 1)]
-        ).withColumn(f"most{lv - 1}", F.col("n"))
-    most = cur.agg(*[F.max(f"most{x}").alias(f"most{x}") for x in range(finest + 1)]).first()
-    return next((lv for lv in range(finest + 1) if (most[f"most{lv}"] or 0) <= leaf_points), finest)
-
-
-def _summaries(points: DataFrame, key: str, leaf: int, levels: list[float]) -> list[DataFrame]:
-    """Tables to descend by. The first holds a key's coarsest cells, the others a cell's occupied children:
-    for each child its grid position, bounding box and one actual point. A cell has at most 256 children."""
-    lon, lat = F.col("lon"), F.col("lat")
-    rep = F.min(F.struct("lon", "lat")).alias("rep")
-    cur = points.groupBy(key, *[c.alias(n) for c, n in zip(_cells(levels[leaf]), _names(leaf))]).agg(
-        F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), rep
-    )
-    out = []
-    for lv in range(leaf, -1, -1):
-        cx, cy = _names(lv)
-        child = F.struct(F.col(cx).alias("cx"), F.col(cy).alias("cy"), "x0", "x1", "y0", "y1", "rep")
-        up = [F.floor(F.col(a) / 16).alias(b) for a, b in zip((cx, cy), _names(lv - 1))] if lv else []
-        cur = cur.groupBy(key, *up).agg(
-            F.collect_list(child).alias("children"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"),
-            F.max("y1").alias("y1"), F.min("rep").alias("rep"),
-        )
-        out.insert(0, cur.select(key, *(_names(lv - 1) if lv else []), "children"))
-    return out
-
-
 def _square(dx: Column, dy: Column) -> Column:
     return dx * dx + dy * dy
 
@@ -76,7 +39,7 @@ def _bounds(c: Column) -> Column:
     qlon, qlat, none = F.col("qlon"), F.col("qlat"), F.lit(0.0)
     lower = _square(F.greatest(c["x0"] - qlon, qlon - c["x1"], none), F.greatest(c["y0"] - qlat, qlat - c["y1"], none))
     upper = _square(c["rep"]["lon"] - qlon, c["rep"]["lat"] - qlat)
-    return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), lower.alias("lb"), upper.alias("ub"))
+    return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), c["leaf"].alias("leaf"), lower.alias("lb"), upper.alias("ub"))
 
 
 def _prune(cells: Column) -> Column:
@@ -87,29 +50,47 @@ def _prune(cells: Column) -> Column:
 
 
 def nearest_earlier(
-    queries: DataFrame, points: DataFrame, key: str, leaf: int | None = None, levels: list[float] = LEVELS
+    queries: DataFrame, points: DataFrame, key: str, leaf_points: int = LEAF_POINTS, levels: list[float] = LEVELS
 ) -> DataFrame:
     """``queries`` and ``points``: key, lon, lat. Returns each distinct query (key, lon, lat) that has a point
     with ``nearest_km``: the point nearest in planar degrees, measured on the ellipsoid. Of points equally near
-    in degrees the one first by longitude, then latitude, is measured."""
-    # Both are read for every level, so they are worked out once.
+    in degrees the one first by longitude, then latitude, is measured. Ends at the finest level, whose leaves may be larger."""
+    # Both are read several times, so they are worked out once.
     q = written_once(queries.select(key, F.col("lon").alias("qlon"), F.col("lat").alias("qlat")).distinct(), "queries")
-    pts = written_once(points.join(q.select(key).distinct(), key, "left_semi").select(key, "lon", "lat").distinct(), "points")
-    if leaf is None:
-        leaf = leaf_level(pts, key, levels)
-    qkey = [key, "qlon", "qlat"]
-    frontier = q
-    for lv, table in enumerate(_summaries(pts, key, leaf, levels)):
-        opened = frontier.join(table, [key, *(_names(lv - 1) if lv else [])])
+    left = written_once(points.join(q.select(key).distinct(), key, "left_semi").select(key, "lon", "lat").distinct(), "points")
+    lon, lat, qkey = F.col("lon"), F.col("lat"), [key, "qlon", "qlat"]
+    frontier, reached, placed = q, [], []
+    for lv, size in enumerate(levels):
+        last = lv == len(levels) - 1
+        at = left.select(key, "lon", "lat", *[c.alias(n) for c, n in zip(_cells(size), ("cx", "cy"))])
+        cells = at.groupBy(key, "cx", "cy").agg(
+            F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.min(lat).alias("y0"), F.max(lat).alias("y1"), F.min(F.struct("lon", "lat")).alias("rep"),
+            (F.lit(last) | (F.count("*") <= leaf_points)).alias("leaf"),
+        )
+        cells = written_once(cells, "cells")
+        # A cell's occupied children in one row: 256 at most, or a key's coarsest cells.
+        up = [F.floor(F.col(c) / 16).alias(n) for c, n in zip(("cx", "cy"), _names(lv - 1))] if lv else []
+        child = F.struct("cx", "cy", "x0", "x1", "y0", "y1", "rep", "leaf")
+        families = cells.groupBy(key, *up).agg(F.collect_list(child).alias("children"))
+        opened = frontier.join(families, [key, *(_names(lv - 1) if lv else [])])
         local = opened.select(*qkey, F.transform("children", _bounds).alias("cells")).select(*qkey, _prune(F.col("cells")).alias("cells"))
         if lv:
             local = local.groupBy(*qkey).agg(F.flatten(F.collect_list("cells")).alias("cells")).select(*qkey, _prune(F.col("cells")).alias("cells"))
-        frontier = local.select(*qkey, F.explode("cells").alias("c")).select(
-            *qkey, *[F.col(f"c.{a}").alias(b) for a, b in zip(("cx", "cy"), _names(lv))]
-        )
-    leaves = pts.withColumns({n: c for n, c in zip(_names(leaf), _cells(levels[leaf]))})
-    near = frontier.join(leaves, [key, *_names(leaf)]).groupBy(*qkey).agg(
-        F.min(F.struct(_square(F.col("lon") - F.col("qlon"), F.col("lat") - F.col("qlat")).alias("d2"), "lon", "lat")).alias("p")
+        found = written_once(local.select(*qkey, F.explode("cells").alias("c")).select(*qkey, F.lit(lv).alias("level"), "c.*"), "cells-reached")
+        reached.append(found)
+        leaves = cells.filter("leaf").select(key, "cx", "cy")
+        placed.append(at.join(leaves, [key, "cx", "cy"], "left_semi").select(key, F.lit(lv).alias("level"), "cx", "cy", "lon", "lat"))
+        crowded = cells.filter("NOT leaf").select(key, "cx", "cy")
+        if crowded.isEmpty():
+            break
+        left = written_once(at.join(crowded, [key, "cx", "cy"], "left_semi").select(key, "lon", "lat"), "points-left")
+        frontier = found.filter("NOT leaf").select(*qkey, *[F.col(c).alias(n) for c, n in zip(("cx", "cy"), _names(lv))])
+    every, points_in = reduce(DataFrame.unionByName, reached), reduce(DataFrame.unionByName, placed)
+    # A leaf met early may lie beyond a point that a later level brought into view.
+    best = every.groupBy(*qkey).agg(F.min("ub").alias("best")) if len(reached) > 1 else None
+    wanted = every.filter("leaf") if best is None else every.filter("leaf").join(best, qkey).filter("lb <= best")
+    near = wanted.select(*qkey, "level", "cx", "cy").join(points_in, [key, "level", "cx", "cy"]).groupBy(*qkey).agg(
+        F.min(F.struct(_square(lon - F.col("qlon"), lat - F.col("qlat")).alias("d2"), "lon", "lat")).alias("p")
     )
     return near.select(
         key, F.col("qlon").alias("lon"), F.col("qlat").alias("lat"),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from taxatrend.operators.hull import area_km2, extent_km2, hull, outer_points
-from taxatrend.operators.nearest import leaf_level, nearest_earlier
+from taxatrend.operators.nearest import nearest_earlier
 
 
 def test_hull_of_hulls_is_the_hull():
@@ -56,7 +56,7 @@ def test_extent_over_partitions(spark):
     assert got["solo"] == 0
 
 
-@pytest.mark.parametrize("leaf", [0, 1, 3, 5])
+@pytest.mark.parametrize("leaf", [1000, 100, 7, 1])
 def test_nearest_equals_brute_force(spark, leaf):
     rnd = random.Random(leaf)
     pts = [("A", 140 + rnd.gauss(0, 0.05), -30 + rnd.gauss(0, 0.05)) for _ in range(300)]  # one crowded place
@@ -73,8 +73,21 @@ def test_nearest_equals_brute_force(spark, leaf):
             assert got[(k, x, y)] == pytest.approx(2 * 6371.0 * math.asin(math.sqrt(min(1, a))), rel=6e-3, abs=1e-6)
 
 
-def test_leaf_level_follows_crowding(spark):
-    pts = spark.createDataFrame([("A", 140 + i * 1e-3, -30.0) for i in range(200)], "k string, lon double, lat double")
-    assert leaf_level(pts, "k", leaf_points=1000) == 0
-    assert leaf_level(pts, "k", leaf_points=70) == 2
-    assert leaf_level(pts, "k", leaf_points=0) == 5
+def test_each_key_splits_by_its_own_count(spark, monkeypatch):
+    """A crowded place is split where it is crowded; the points of others are leaves at once and are not touched again."""
+    from taxatrend.operators import nearest
+
+    rows, keep = {}, nearest.written_once
+
+    def counting(df, name):
+        out = keep(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "written_once", counting)
+    pts = [("A", 140 + i * 1e-3, -30.0) for i in range(400)] + [("B", 140 + i * 1e-3, -30.0) for i in range(90)] + [("A", 10.0 + i, 40.0) for i in range(30)]
+    df = spark.createDataFrame(pts, "k string, lon double, lat double")
+    got = nearest_earlier(df, df, "k", 100)
+    assert got.count() == len(pts) and {r.nearest_km for r in got.collect()} == {0.0}
+    # All points; then those of the one crowded cell, and again those of the 16th of a degree cells that are still crowded.
+    assert rows["points"] == [520] and rows["points-left"][0] == 400 and sum(rows["points-left"]) <= 800
