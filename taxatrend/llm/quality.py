@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -120,10 +120,10 @@ def id_hashes(rows: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(r).encode()) for r in rows.tolist()])
 
 
-def featured(docs: DataFrame, text_col: str, meta: list[str], keep: list[str], out: list[tuple[str, object]], make) -> DataFrame:
+def featured(docs: DataFrame, text_col: str, meta: list[Column], keep: list[str], out: list[tuple[str, object]], make) -> DataFrame:
     """``docs[keep]`` with columns that ``make(content, metadata)`` gives for a batch's features."""
     configure(docs.sparkSession)
-    rows = docs.select(*[quoted(c) for c in keep], whole_text(quoted(text_col)), *[quoted(c) for c in meta])
+    rows = docs.select(*[quoted(c) for c in keep], whole_text(quoted(text_col)), *meta)
     width, n = len(keep), len(meta)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +136,9 @@ def featured(docs: DataFrame, text_col: str, meta: list[str], keep: list[str], o
     return map_arrow(rows, read, StructType([*rows.schema.fields[:width], *[StructField(c, t) for c, t in out]]))
 
 
-def metadata_columns(docs: DataFrame, meta: tuple[str, ...]) -> list[str]:
-    return [c for c in meta if c in docs.columns]
+def metadata_columns(docs: DataFrame, meta: tuple[str, ...]) -> list[Column]:
+    """The metadata columns; one that ``docs`` lacks is null throughout."""
+    return [quoted(c) if c in docs.columns else F.lit(None).cast("string") for c in meta]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = META, per_class: int = PER_CLASS, pool: int = POOL) -> Model:
@@ -167,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", meta: tuple[str, ...] = META, names: tuple[str, str, str] = ("content_score", "metadata_score", "score")) -> DataFrame:
     """``docs`` with content_score, metadata_score and score, each from 0 to 1, higher for better; columns of these ``names`` are replaced.
 
-    Whole texts are read. Null text counts as empty and has zero features; null metadata is a value of its own, missing
-    metadata columns are left out. Rows that repeat are scored alike. An empty table stays empty.
+    Whole texts are read. Null text counts as empty and has zero features; null metadata is a value of its own, as are
+    missing metadata columns. Rows that repeat are scored alike. An empty table stays empty.
     """
     keep = [c for c in docs.columns if c not in names]
     out = [(c, DoubleType()) for c in names]
