@@ -50,3 +50,24 @@ def test_queries_that_repeat_an_id(spark):
     queries = spark.createDataFrame([(0, [0.5, 9.0]), (0, [0.25, 2.0]), (0, [0.25, 1.0])], "vec_id long, embedding array<double>")
     for q in (queries, queries.orderBy("embedding"), queries.orderBy(F.desc("embedding"))):
         assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(topk_search.top_k(q, vectors, 2).collect(), key=lambda r: r.rank)] == [(0, 1, 2, 64 * 64), (0, 2, 1, 16 * 64)]
+
+
+def test_blocks_and_tasks_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.uniform(-1, 1, size=(6000, 64)).tolist())], "vec_id long, embedding array<double>")
+    plain = topk_search.usable(df, "vec_id", "embedding").withColumn("cutoff", F.lit(float("-inf"))).coalesce(1)
+    blocks = topk_search.pack(plain, 8192)
+    assert blocks.agg(F.max(F.length("cells")), F.sum(F.size("ids"))).first() == (1 << 18, 6000)
+    # Without a cutoff every row is resolved; a task still gives the k best of a query over all its blocks, whichever side comes first.
+    asked = topk_search.pack(plain.filter("vec_id < 40"), 8)
+    names = lambda d, s: d.toDF(*[f"{s}{i}" for i in range(len(d.columns))])
+    for held in (2, 32):
+        monkeypatch.setattr(topk_search, "HELD", held)
+        pairs = names(F.broadcast(asked), "q").crossJoin(names(blocks, "c"))
+        n = topk_search.resolved(pairs, 5).groupBy("query_id").count().agg(F.min("count"), F.max("count")).first()
+        assert n == ((5, 5) if held == 32 else (10, 10)) and topk_search.resolved(pairs, 5).select("query_id").distinct().count() == 40
+
+
+@pytest.mark.parametrize("size,kind", [(2.0, "int16"), (600.0, "int32"), (1e9, "float64"), (-2.0, "int8")])
+def test_smallest_type(size, kind):
+    assert topk_search.compact(np.array([[64.0 * size, 1.0]])) == kind
