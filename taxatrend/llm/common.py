@@ -67,17 +67,29 @@ def map_arrow(df: DataFrame, read, schema: StructType | str) -> DataFrame:
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in read(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names)
+        task_ended()
 
     inner = StructType([StructField(n, f.dataType) for n, f in zip(names, schema.fields)])
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, inner).toDF(*schema.names)
 
 
-#: Models and tables of this Python worker, kept between tasks.
+#: Models and tables of this Python worker, kept between tasks; how many tasks have ended since each was last used, and how many may.
 KEPT: dict = {}
+UNUSED: dict = {}
+IDLE_TASKS = 4
 
 
 def kept(key, build):
-    """``build()`` once per Python worker."""
+    """``build()`` once per Python worker, as long as its tasks use it."""
+    UNUSED[key] = 0
     if key not in KEPT:
         KEPT[key] = build()
     return KEPT[key]
+
+
+def task_ended() -> None:
+    """Drop what the last tasks of this worker did not use: a worker outlives the operator that filled it, and all that it keeps adds up."""
+    for key in list(KEPT):
+        UNUSED[key] = UNUSED.get(key, 0) + 1
+        if UNUSED[key] > IDLE_TASKS:
+            del KEPT[key], UNUSED[key]

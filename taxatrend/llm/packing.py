@@ -40,6 +40,8 @@ PLAIN = re.compile("[\t-\r -~¡-¬®-ÿ]*")
 SPECIAL = "<|"
 ENDS = frozenset(".,;:!?")
 RAW = "\0"
+#: Different words, and different parts of words, that a worker holds before it starts anew; both tables together take about 100 MB.
+WORDS = 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,14 +62,14 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.parts: dict[str, list[int]] = {}
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, WORDS)
 
     def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
             alphabet = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(alphabet)]
-            if len(self.parts) > 400_000:
+            if len(self.parts) >= WORDS:
                 self.parts.clear()
             if len(part) < 100:
                 self.parts[part] = ids

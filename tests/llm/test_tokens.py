@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taxatrend.llm import packing, sentencepiece_codec
+from taxatrend.llm import common, packing, sentencepiece_codec
 from taxatrend.llm.chunk_table import ChunkTable
 from taxatrend.llm.queries import QUERIES
 
@@ -141,3 +141,26 @@ def test_packing_of_nothing(spark, odd):
 def test_sum_of_squares_by_hand():
     bins, places = packing.sum_of_squares(np.array([6, 6, 4, 4, 10, 3]), 10)
     assert bins.tolist() == [0, 1, 1, 0, 2, 3] and places.tolist() == [0, 0, 6, 6, 0, 0]
+
+
+def test_word_tables_of_a_worker_are_bounded():
+    letters = "abcdefghijklmnopqrst"
+    name = lambda n: "".join(letters[n // 20**k % 20] for k in range(5))
+    words = packing.Words(WORDS)
+    for at in range(0, 300_000, 30_000):
+        texts = [" ".join(name(n) + "." * (n % 2) for n in range(at + k, at + k + 3000)) for k in range(0, 30_000, 3000)]
+        ids, counts = words.encode(texts)
+        assert len(words.parts) <= packing.WORDS and len(words.table.rows) <= packing.WORDS + 30_000
+    again, sizes = packing.Words(WORDS).encode(texts)
+    assert np.array_equal(ids, again) and np.array_equal(counts, sizes)
+
+
+def test_a_worker_drops_what_its_tasks_no_longer_use(monkeypatch):
+    monkeypatch.setattr(common, "KEPT", {})
+    monkeypatch.setattr(common, "UNUSED", {})
+    common.kept("of an earlier operator", dict)
+    for n in range(10):
+        assert common.kept("used", list) is common.kept("used", dict)
+        common.task_ended()
+        assert ("of an earlier operator" in common.KEPT) == (n < common.IDLE_TASKS)
+    assert list(common.KEPT) == ["used"]
