@@ -284,3 +284,36 @@ def test_a_load_does_not_depend_on_batches_and_can_be_repeated(spark, tmp_path):
     lp.run_sink(spark, str(tmp_path / "in"), store, rules)(again, 0)
     assert tables(store) == found[1]
     assert not [p for p in (tmp_path / "all" / "scratch").iterdir()]
+
+
+def test_pages_are_written_record_by_record(spark, tmp_path):
+    """No page is held as one value: its lines are sorted rows, equal ones included, and its file is one JSON document."""
+    import hashlib
+    from datetime import datetime
+
+    from taxatrend.checks import deliveries as dv
+    from taxatrend.corpus import Corpus
+
+    day = datetime(1999, 6, 1)
+    line = lambda ok, ln: (ok, 5, 7, ln, 3.0, 0.02, day)
+    given = [line(ok, ln) for ok in (3, 23, 999, 1003, 2999, 4001) for ln in (2, 1, 7)] + [line(1003, 1)] * 3 + [(3, None, 7, 1, None, None, None)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(given, schema).repartition(3).write.parquet(str(tmp_path / "in" / "lineitem.parquet"))
+    lines = dv.page_lines(dv.delivered(spark.read.parquet(str(tmp_path / "in" / "lineitem.parquet"))))
+    assert "collect_list" not in lines._jdf.queryExecution().toString()
+    c = Corpus(Workspace(spark, str(tmp_path / "ws")), str(tmp_path / "in"))
+    root = dv.write_pages(c)
+    again = [(ok // 1000 + 1, 1, ok, ln) for ok, _, _, ln, *_ in given if ln == 1 and ok % 20 == 3]
+    want = {}
+    for page, *place in sorted([(ok // 1000, 0, ok, ln) for ok, _, _, ln, *_ in given] + again):
+        want.setdefault(page, []).append((place[1], place[2]))
+    for m in fr.read_manifests(spark, root).collect():
+        for p in m.pages:
+            number = int(p.file.removeprefix("page=p"))
+            (path,) = (tmp_path / "ws" / "delivery" / f"run={m.run}" / "pages" / p.file).glob("part-*")
+            text = path.read_text()
+            records = json.loads(text)["occurrences"]
+            assert [tuple(map(int, r["uuid"].split(":"))) for r in records] == want.pop(number) and p.recordCount == len(records) and number % 4 == int(m.run)
+            assert text.endswith("]}\n") and (p.contentHash, p.bytes) == (hashlib.sha256(text[:-1].encode()).hexdigest(), len(text) - 1)
+    assert not want
+    assert {r.page for r in fr.read_pages(spark, f"{root}/run=4/pages").collect()} == {"page=p00000000"}
